@@ -1,0 +1,142 @@
+"""The five derived tables in DuckDB SQL, put before a query as a WITH clause."""
+
+from __future__ import annotations
+
+_SPAN = (
+    "(CASE o_custkey%8 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 28 WHEN 3 THEN 85"
+    " WHEN 4 THEN 170 WHEN 5 THEN 360 ELSE 1500 END)"
+)
+
+
+def _day(date: str, shift: str) -> str:
+    offset = f"DATE_DIFF('day', DATE '1995-01-01', CAST({date} AS DATE)) % ({_SPAN}+1)"
+    return f"(DATE '1995-01-01' + CAST((o_custkey*13)%900 + {shift} + {offset} AS INT))"
+
+
+def _cents(units: str) -> str:
+    return f"CAST(CAST({units} AS DECIMAL(20,0))*CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2))"
+
+
+def _transactions(id_name: str, keep: str, shift: str, divisor: str, lost: str) -> str:
+    amount = _cents(f"CAST(ROUND(o_totalprice*100) AS BIGINT) // ({divisor})")
+    return f"""SELECT o_orderkey AS {id_name}, o_custkey AS user_id,
+        {_day("o_orderdate", shift)} AS process_date,
+        (o_orderkey*7919)%86400 AS process_sec,
+        o_orderpriority AS pay_method_cat,
+        {amount} AS amount,
+        CASE WHEN o_orderstatus='F' THEN '{lost}' ELSE 'S' END AS status
+    FROM orders WHERE {keep}"""
+
+
+def _play_days(units: str, name: str, keep: str) -> str:
+    return f"""SELECT user_id, play_date, CAST({units} AS INT) AS {name},
+        {_cents("SUM(stake_c)")} AS stakes, {_cents("SUM(win_c)")} AS winnings
+    FROM plays WHERE {keep} GROUP BY user_id, play_date"""
+
+
+_PLAY_SHIFT = "(CASE o_custkey%6 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END)*(1+o_custkey%9)"
+
+TABLES = {
+    "players": """SELECT c_custkey AS user_id,
+        CASE WHEN c_custkey%97<>0 THEN CAST(18+(c_custkey*37)%53 AS INT) END AS age_at_reg,
+        CASE WHEN c_custkey%101=0 THEN NULL WHEN c_custkey%10=0 THEN 'F' ELSE 'M' END AS gender,
+        c_nationkey AS country_id
+    FROM customer WHERE c_custkey%211<>0""",
+    "deposits": _transactions(
+        "deposit_id", "o_orderkey%5<>0 AND o_custkey%11<>0", "0", "100*(1+o_custkey%40)*(1+o_orderkey%9)", "F"
+    ),
+    "withdrawals": _transactions(
+        "withdrawal_id", "o_orderkey%5=0 AND o_custkey%3<>0", "(o_custkey%5)*2", "100*(2+o_custkey%40)", "R"
+    ),
+    "plays": f"""SELECT o_custkey AS user_id, {_day("l_shipdate", _PLAY_SHIFT)} AS play_date,
+        l_linestatus AS ls, CAST(l_quantity AS INT) AS qty,
+        CAST(ROUND(l_extendedprice*100) AS BIGINT)//1000 AS stake_c,
+        (CAST(ROUND(l_extendedprice*100) AS BIGINT)
+            *(10*CAST(ROUND(l_discount*100) AS BIGINT)+6*CAST(ROUND(l_tax*100) AS BIGINT))
+            *(7+o_custkey%10))//1000000 AS win_c
+    FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
+    "cash_days": _play_days("SUM(qty)", "windows", "ls='O' AND user_id%7<>0"),
+    "tourn_days": _play_days("COUNT(*)", "entries", "ls='F' AND user_id%5<>0"),
+    "play_days": """SELECT 'Cash Games' AS game_type, user_id, play_date, stakes, winnings FROM cash_days
+        UNION ALL SELECT 'Tournaments', user_id, play_date, stakes, winnings FROM tourn_days""",
+    # shared steps
+    "paid_in": "SELECT * FROM deposits WHERE status='S'",
+    "paid_out": "SELECT * FROM withdrawals WHERE status='S'",
+    "totals": "SELECT user_id, COUNT(*) AS deposit_count, SUM(amount) AS total FROM paid_in GROUP BY user_id",
+    "cut": "SELECT quantile_cont(CAST(total AS DOUBLE), 0.95) AS p95 FROM totals",
+    "vips": "SELECT user_id, total FROM totals, cut WHERE CAST(total AS DOUBLE) >= p95",
+    "firsts": """SELECT * FROM paid_in
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY process_date, process_sec, deposit_id) = 1""",
+    "in_dates": "SELECT user_id, MIN(process_date) AS first_in FROM paid_in GROUP BY user_id",
+    "out_dates": "SELECT user_id, MIN(process_date) AS first_out FROM paid_out GROUP BY user_id",
+    "spans": """SELECT user_id, MIN(play_date) AS first_play, MAX(play_date) AS last_play,
+        DATE_DIFF('day', MIN(play_date), MAX(play_date)) AS days FROM play_days GROUP BY user_id""",
+    "cash": """SELECT user_id, SUM(stakes) AS stakes, SUM(winnings) AS winnings, COUNT(*) AS days
+        FROM cash_days GROUP BY user_id""",
+    "tourn": """SELECT user_id, SUM(stakes) AS stakes, SUM(winnings) AS winnings, COUNT(*) AS days
+        FROM tourn_days GROUP BY user_id""",
+    "month_in": "SELECT CAST(date_trunc('month', process_date) AS DATE) AS month, SUM(amount) AS total"
+    " FROM paid_in GROUP BY 1",
+    "month_ggr": "SELECT CAST(date_trunc('month', play_date) AS DATE) AS month,"
+    " SUM(stakes) AS stakes, SUM(winnings) AS winnings, SUM(stakes)-SUM(winnings) AS ggr FROM cash_days GROUP BY 1",
+}
+_NEEDS = {
+    "cash_days": ["plays"],
+    "tourn_days": ["plays"],
+    "play_days": ["cash_days", "tourn_days"],
+    "paid_in": ["deposits"],
+    "paid_out": ["withdrawals"],
+    "totals": ["paid_in"],
+    "cut": ["totals"],
+    "vips": ["cut"],
+    "firsts": ["paid_in"],
+    "in_dates": ["paid_in"],
+    "out_dates": ["paid_out"],
+    "spans": ["play_days"],
+    "cash": ["cash_days"],
+    "tourn": ["tourn_days"],
+    "month_in": ["paid_in"],
+    "month_ggr": ["cash_days"],
+}
+
+
+def sql(tables: str, select: str, **steps: str) -> str:
+    """``select`` over the named tables, then any extra steps in the order given."""
+    ordered: list[str] = []
+
+    def need(name: str) -> None:
+        for other in _NEEDS.get(name, []):
+            need(other)
+        if name not in ordered:
+            ordered.append(name)
+
+    for name in tables.split():
+        need(name)
+    parts = [f"{name} AS ({TABLES[name]})" for name in ordered]
+    parts += [f"{name} AS ({text})" for name, text in steps.items()]
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+def pct(n: str, d: str, places: int = 2) -> str:
+    return f"CAST(ROUND(100.0*({n})/NULLIF({d},0), {places}) AS DOUBLE)"
+
+
+def ratio(n: str, d: str, places: int = 2) -> str:
+    return f"CAST(ROUND(1.0*({n})/NULLIF({d},0), {places}) AS DOUBLE)"
+
+
+def median(value: str, places: int) -> str:
+    exact = f"CAST(quantile_cont(CAST({value} AS DOUBLE), 0.5) AS DECIMAL(20,6))"
+    return f"CAST(ROUND({exact}, {places}) AS DOUBLE)"
+
+
+def dbl(value: str) -> str:
+    return f"CAST({value} AS DOUBLE)"
+
+
+def big(value: str) -> str:
+    return f"CAST({value} AS BIGINT)"
+
+
+def month(value: str) -> str:
+    return f"CAST(date_trunc('month', {value}) AS DATE)"
