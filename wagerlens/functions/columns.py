@@ -25,13 +25,17 @@ def _exact(value: Column) -> Column:
 
 
 def quotient(n: Column, d: Column, places: int) -> Column:
-    """``n / d`` rounded half up; NULL when ``d`` is zero."""
-    return F.round(_exact(n) / F.nullif(_exact(d), F.lit(0).cast(EXACT)), places)
+    """``n / d`` rounded half up; NULL when ``d`` is zero.
+
+    Written with ``when``: ``nullif`` plans a helper projection of its own, which would
+    hide an ``orderBy().limit()`` below it from Spark's top-n operator.
+    """
+    return F.when(d != 0, F.round(_exact(n) / _exact(d), places))
 
 
 def pct(n: Column, d: Column, places: int = 2) -> Column:
     """``100 n / d`` rounded half up; NULL when ``d`` is zero."""
-    return F.round(_exact(n) * F.lit(100) / F.nullif(_exact(d), F.lit(0).cast(EXACT)), places)
+    return F.when(d != 0, F.round(_exact(n) * F.lit(100) / _exact(d), places))
 
 
 def rounded(value: Column, places: int) -> Column:

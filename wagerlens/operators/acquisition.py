@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from wagerlens.functions.bands import AGE_AT_SIGNUP
 from wagerlens.functions.columns import pct, quotient, rounded, succeeded, with_share
 from wagerlens.model import Tables
-from wagerlens.operators.ordered import exact_percentile
+from wagerlens.operators.ordered import value_stats
 from wagerlens.operators.players import first_deposits
 
 
@@ -48,20 +48,13 @@ def acq_ftd_conversion(t: Tables) -> DataFrame:
 
 
 def acq_first_deposit_stats(t: Tables) -> DataFrame:
-    first = first_deposits(t.deposits).select("amount")
-    stats = first.agg(
-        F.count(F.lit(1)).alias("players_with_deposits"),
-        quotient(F.sum("amount"), F.count("amount"), 2).alias("avg_first_deposit"),
-        F.min("amount").alias("min_first_deposit"),
-        F.max("amount").alias("max_first_deposit"),
-    )
-    median = exact_percentile(first, "amount", 0.5, name="median")
-    return stats.crossJoin(F.broadcast(median)).select(
-        "players_with_deposits",
-        "avg_first_deposit",
+    stats = value_stats(first_deposits(t.deposits), "amount")
+    return stats.select(
+        F.col("n").alias("players_with_deposits"),
+        quotient(F.col("total"), F.col("known"), 2).alias("avg_first_deposit"),
         rounded(F.col("median"), 2).alias("median_first_deposit"),
-        "min_first_deposit",
-        "max_first_deposit",
+        F.col("least").alias("min_first_deposit"),
+        F.col("greatest").alias("max_first_deposit"),
     )
 
 

@@ -63,10 +63,10 @@ def fin_monthly_ggr(t: Tables) -> DataFrame:
 
 def fin_arpu(t: Tables) -> DataFrame:
     """Cash revenue per player who ever played cash games."""
-    per_player = stakes_and_winnings(t.cash_days, "user_id")
+    per_player = t.cash_days.groupBy("user_id").agg(F.sum(F.col("stakes") - F.col("winnings")).alias("ggr"))
     return per_player.agg(
         F.count(F.lit(1)).alias("total_players"),
-        F.sum(F.col("stakes") - F.col("winnings")).alias("total_ggr"),
+        F.sum("ggr").alias("total_ggr"),
     ).withColumn("arpu", quotient(F.col("total_ggr"), F.col("total_players"), 2))
 
 

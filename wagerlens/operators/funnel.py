@@ -22,7 +22,7 @@ from wagerlens.operators.players import (
     signups,
     withdrawal_measures,
 )
-from wagerlens.operators.vip import vips
+from wagerlens.operators.vip import flag_vips
 
 
 def _signed_up() -> Column:
@@ -146,10 +146,10 @@ def fun_time_to_first_play(t: Tables, split_negative: bool = False) -> DataFrame
 
 def fun_to_vip(t: Tables, p: float = 0.95) -> DataFrame:
     signed_up = t.players.agg(F.count(F.lit(1)).alias("signups"))
-    totals = depositor_totals(t)
-    depositors = totals.agg(F.count(F.lit(1)).alias("depositors"))
-    best = vips(totals, p).agg(F.count(F.lit(1)).alias("vips"))
-    counts = signed_up.crossJoin(F.broadcast(depositors)).crossJoin(F.broadcast(best))
+    depositors = flag_vips(depositor_totals(t), p).agg(
+        F.count(F.lit(1)).alias("depositors"), F.count(F.when(F.col("is_vip"), 1)).alias("vips")
+    )
+    counts = signed_up.crossJoin(F.broadcast(depositors))
     stages = [
         ("All Signups", F.col("signups")),
         ("Made Deposit", F.col("depositors")),

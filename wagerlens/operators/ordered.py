@@ -24,50 +24,74 @@ def magnitude_slot(value: Column) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * SLOTS_PER_E_FOLD)).cast("bigint")
 
 
-def _value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    return (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("slot", magnitude_slot(F.col("value")))
+def value_counts(df: DataFrame, value: str) -> DataFrame:
+    """Rows per distinct ``value``: ``value, n``. Sums, extremes and percentiles all follow from it."""
+    return df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _slotted(counts: DataFrame) -> DataFrame:
+    """Add the slot, and count no row for NULL, which has no place in the order."""
+    return counts.select(
+        "value",
+        F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0).alias("n"),
+        magnitude_slot(F.col("value")).alias("slot"),
     )
 
 
-def exact_percentile(df: DataFrame, value: str, p: float, by: Sequence[str] = (), name: str = "value") -> DataFrame:
-    """PERCENTILE_CONT(p) as a DOUBLE, one row per group (``by`` must have few groups).
+def _in_slots(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The values of a few slots. The null-safe match keeps Catalyst from pushing a
+    NULL check on the slot into the scan, so that both readers share one shuffle."""
+    few = F.broadcast(wanted.withColumnRenamed("slot", "wanted_slot"))
+    return counts.join(few, F.col("slot").eqNullSafe(F.col("wanted_slot"))).drop("wanted_slot")
 
-    Without ``by`` there is always one row, NULL for an empty input.
-    """
-    counts = _value_counts(df, value, by)
-    slots = counts.groupBy(*by, "slot").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(*by).orderBy("slot")
-    whole = Window.partitionBy(*by)
+
+def percentile_of(value_counts: DataFrame, p: float, name: str = "value") -> DataFrame:
+    """PERCENTILE_CONT(p) of counted values as a DOUBLE: one row, NULL for an empty input."""
+    counts = _slotted(value_counts)
+    slots = counts.groupBy("slot").agg(F.sum("n").alias("n"))
     placed = slots.select(
-        *by,
         "slot",
         "n",
-        (F.sum("n").over(upto) - F.col("n")).alias("start"),
-        ((F.sum("n").over(whole) - 1) * F.lit(float(p))).alias("target"),
+        (F.sum("n").over(Window.orderBy("slot")) - F.col("n")).alias("start"),
+        ((F.sum("n").over(Window.partitionBy()) - 1) * F.lit(float(p))).alias("target"),
     )
 
     def holds(position: Column) -> Column:
         return (position >= F.col("start")) & (position < F.col("start") + F.col("n"))
 
     low, high = F.floor("target"), F.ceil("target")
-    # at most two slots per group
-    wanted = placed.filter(holds(low) | holds(high)).select(*by, "slot", "start", "target")
-    within = Window.partitionBy(*by, "slot").orderBy("value")
+    # at most two slots
+    wanted = placed.filter(holds(low) | holds(high)).select("slot", "start", "target")
+    within = Window.partitionBy("slot").orderBy("value")
     candidates = (
-        counts.join(F.broadcast(wanted), [*by, "slot"])
+        _in_slots(counts, wanted)
         .withColumn("start", F.col("start") + F.sum("n").over(within) - F.col("n"))
         .withColumn("v", F.col("value").cast("double"))
     )
-    bounds = candidates.groupBy(*by).agg(
+    bounds = candidates.agg(
         F.max(F.when(holds(low), F.col("v"))).alias("lo"),
         F.max(F.when(holds(high), F.col("v"))).alias("hi"),
         F.max(F.col("target") - low).alias("fraction"),
     )
-    return bounds.select(*by, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")).alias(name))
+    return bounds.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("fraction")).alias(name))
+
+
+def exact_percentile(df: DataFrame, value: str, p: float, name: str = "value") -> DataFrame:
+    """PERCENTILE_CONT(p) of a column, see ``percentile_of``."""
+    return percentile_of(value_counts(df, value), p, name)
+
+
+def value_stats(df: DataFrame, value: str) -> DataFrame:
+    """One row from one pass: ``n`` rows, ``known`` values, ``total``, ``least``, ``greatest``, ``median``."""
+    counts = value_counts(df, value)
+    stats = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("known"),
+        F.sum(F.col("value") * F.col("n")).alias("total"),
+        F.min("value").alias("least"),
+        F.max("value").alias("greatest"),
+    )
+    return stats.crossJoin(F.broadcast(percentile_of(counts, 0.5, "median")))
 
 
 def rank_segments(df: DataFrame, value: str, tiles: int, segments: Sequence[tuple[int, str]]) -> DataFrame:
@@ -78,7 +102,7 @@ def rank_segments(df: DataFrame, value: str, tiles: int, segments: Sequence[tupl
     values falls on which side of a cut does not change counts or sums, so a
     value that straddles a cut is simply split by count.
     """
-    counts = _value_counts(df, value, ())
+    counts = _slotted(value_counts(df, value))
     upto = Window.orderBy(F.col("slot").desc())
     slots = (
         counts.groupBy("slot")
@@ -101,7 +125,7 @@ def rank_segments(df: DataFrame, value: str, tiles: int, segments: Sequence[tupl
     # at most one slot per cut
     split = slots.filter(is_cut()).select("slot", "start", "total")
     within = Window.partitionBy("slot").orderBy(F.col("value").desc())
-    single = counts.join(F.broadcast(split), "slot").select(
+    single = _in_slots(counts, split).select(
         (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("start"),
         "n",
         (F.col("n") * F.col("value")).alias("amount"),

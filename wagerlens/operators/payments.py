@@ -18,7 +18,7 @@ from wagerlens.functions.columns import (
 )
 from wagerlens.model import REVERSED, Tables
 from wagerlens.operators.financial import cash_flow_totals
-from wagerlens.operators.ordered import exact_percentile
+from wagerlens.operators.ordered import value_stats
 from wagerlens.operators.players import deposit_measures, per_player, withdrawal_measures
 
 # Transaction labels.
@@ -88,21 +88,13 @@ def pay_net_to_platform(t: Tables) -> DataFrame:
 
 def pay_amount_stats(t: Tables) -> DataFrame:
     def stats(label: str, df: DataFrame) -> DataFrame:
-        amounts = df.filter(succeeded()).select("amount")
-        totals = amounts.agg(
-            F.count(F.lit(1)).alias("count"),
-            quotient(F.sum("amount"), F.count("amount"), 2).alias("avg_amount"),
-            F.round(F.min("amount"), 2).alias("min_amount"),
-            F.round(F.max("amount"), 2).alias("max_amount"),
-        )
-        median = exact_percentile(amounts, "amount", 0.5, name="median")
-        return totals.crossJoin(F.broadcast(median)).select(
+        return value_stats(df.filter(succeeded()), "amount").select(
             F.lit(label).alias("type"),
-            "count",
-            "avg_amount",
+            F.col("n").alias("count"),
+            quotient(F.col("total"), F.col("known"), 2).alias("avg_amount"),
             rounded(F.col("median"), 2).alias("median_amount"),
-            "min_amount",
-            "max_amount",
+            F.round("least", 2).alias("min_amount"),
+            F.round("greatest", 2).alias("max_amount"),
         )
 
     rows = [stats(label, df) for label, df in _both(t)]

@@ -1,11 +1,14 @@
 """Per-player building blocks.
 
 Questions that compare what a player did in several tables are answered from one
-frame with one row per player. ``per_player`` builds it from a union of narrow
-projections and a single ``groupBy(user_id)``: one shuffle however many tables
-take part, with the facts reduced on the map side first. All measures are
-fixed-width, so Spark aggregates by hash, and it prunes the measures a question
-does not use.
+frame with one row per player. ``per_player`` reduces each table to its own
+measures per player, and then groups the union of these by player once more. Each
+table is shuffled once, by player, after a map-side reduction; Spark 4.1 sees that
+all parts of the union are already partitioned by player and adds no shuffle for the
+second step (earlier versions move one row per player and table). No side is
+broadcast, no join order matters, and a player missing from a table needs no outer
+join. All measures are fixed-width, so Spark aggregates by hash, and it prunes the
+measures a question does not use.
 """
 
 from __future__ import annotations
@@ -72,7 +75,12 @@ def withdrawal_measures(t: Tables, attempts: bool = False) -> Measures:
     return Measures(rows.select("user_id", *columns), how)
 
 
-_CASH_HOW = {"cash_play_days": F.sum, "cash_stakes": F.sum, "cash_winnings": F.sum}
+_CASH_HOW = {"cash_play_days": F.sum, "cash_stakes": F.sum, "cash_winnings": F.sum, "cash_profit": F.sum}
+
+
+def _profit() -> Column:
+    """A player-day from the player's side; one sum where stakes and winnings would be two."""
+    return F.col("winnings") - F.col("stakes")
 
 
 def cash_measures(t: Tables) -> Measures:
@@ -81,12 +89,13 @@ def cash_measures(t: Tables) -> Measures:
         F.lit(1).cast("bigint").alias("cash_play_days"),
         F.col("stakes").alias("cash_stakes"),
         F.col("winnings").alias("cash_winnings"),
+        _profit().alias("cash_profit"),
     )
     return Measures(rows, dict(_CASH_HOW))
 
 
 def play_measures(t: Tables) -> Measures:
-    """Both games side by side, and the first and last day of any play."""
+    """Both games side by side; first and last day of any play, and the profit over both."""
     cash = F.col("game_type") == CASH
     tourn = F.col("game_type") == TOURNAMENT
     rows = t.play_days.select(
@@ -94,42 +103,54 @@ def play_measures(t: Tables) -> Measures:
         _one_if(cash).alias("cash_play_days"),
         F.when(cash, F.col("stakes")).alias("cash_stakes"),
         F.when(cash, F.col("winnings")).alias("cash_winnings"),
+        F.when(cash, _profit()).alias("cash_profit"),
         F.when(cash, F.col("play_date")).alias("cash_first"),
         F.when(cash, F.col("play_date")).alias("cash_last"),
         _one_if(tourn).alias("tourn_play_days"),
-        F.when(tourn, F.col("stakes")).alias("tourn_stakes"),
-        F.when(tourn, F.col("winnings")).alias("tourn_winnings"),
         F.when(tourn, F.col("play_date")).alias("tourn_first"),
         F.when(tourn, F.col("play_date")).alias("tourn_last"),
         F.col("play_date").alias("first_play"),
         F.col("play_date").alias("last_play"),
+        _profit().alias("profit"),
     )
     how = {
         **_CASH_HOW,
         "cash_first": F.min,
         "cash_last": F.max,
         "tourn_play_days": F.sum,
-        "tourn_stakes": F.sum,
-        "tourn_winnings": F.sum,
         "tourn_first": F.min,
         "tourn_last": F.max,
         "first_play": F.min,
         "last_play": F.max,
+        "profit": F.sum,
     }
     return Measures(rows, how)
 
 
 def per_player(*parts: Measures) -> DataFrame:
     """One row per player found in any part; measures of the other parts are NULL."""
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [part.rows for part in parts])
-    aggregates = [how(name).alias(name) for part in parts for name, how in part.how.items()]
-    return rows.groupBy("user_id").agg(*aggregates)
+
+    def reduced(rows: DataFrame, *measures: Measures) -> DataFrame:
+        aggregates = [how(name).alias(name) for part in measures for name, how in part.how.items()]
+        return rows.groupBy("user_id").agg(*aggregates)
+
+    frames = [reduced(part.rows, part) for part in parts]
+    if len(frames) == 1:
+        return frames[0]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduced(rows, *parts)
+
+
+def _has_player() -> Column:
+    """True for every row. Said out loud, so that a reader that joins on ``user_id`` and
+    one that does not get the same plan and share one scan and shuffle."""
+    return F.col("user_id").isNotNull()
 
 
 def depositor_totals(t: Tables) -> DataFrame:
     """Successful deposits per player: ``deposit_count``, ``total_deposited``."""
     return (
-        t.deposits.filter(succeeded())
+        t.deposits.filter(succeeded() & _has_player())
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("deposit_count"), F.sum("amount").alias("total_deposited"))
     )
@@ -138,7 +159,8 @@ def depositor_totals(t: Tables) -> DataFrame:
 def cash_results(t: Tables) -> DataFrame:
     """Cash play per player: stakes, winnings, ``net_profit`` from the player's side, days."""
     return (
-        t.cash_days.groupBy("user_id")
+        t.cash_days.filter(_has_player())
+        .groupBy("user_id")
         .agg(
             F.sum("stakes").alias("total_stakes"),
             F.sum("winnings").alias("total_winnings"),
@@ -151,7 +173,8 @@ def cash_results(t: Tables) -> DataFrame:
 def lifespans(t: Tables) -> DataFrame:
     """First and last day of play in any game, and the days between them."""
     return (
-        t.play_days.groupBy("user_id")
+        t.play_days.filter(_has_player())
+        .groupBy("user_id")
         .agg(F.min("play_date").alias("first_play"), F.max("play_date").alias("last_play"))
         .withColumn("lifespan_days", F.datediff("last_play", "first_play"))
     )

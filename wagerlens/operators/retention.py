@@ -96,8 +96,13 @@ def ret_inactive_90d(t: Tables, days: int = 90) -> DataFrame:
 
 
 def ret_session_gaps(t: Tables) -> DataFrame:
-    """Days between one play day and the next, in any game."""
-    days = t.play_days.select("user_id", "play_date").distinct()
+    """Days between one play day and the next, in any game.
+
+    Play days are already unique per game, so a reduction before the shuffle would
+    find nothing to merge: the days go straight to their player's partition, where both
+    the distinct and the window run.
+    """
+    days = t.play_days.select("user_id", "play_date").repartition("user_id").distinct()
     previous = F.lag("play_date").over(Window.partitionBy("user_id").orderBy("play_date"))
     gap = F.col("gap")
     return (

@@ -16,6 +16,7 @@ from wagerlens.operators.players import (
     cash_measures,
     cash_results,
     deposit_measures,
+    depositor_totals,
     per_player,
     signups,
     withdrawal_measures,
@@ -94,7 +95,8 @@ def _low_play(min_deposited: float, ratio: float) -> Column:
 def risk_low_play(t: Tables, min_deposited: float = 100, ratio: float = 0.5) -> DataFrame:
     """Deposited ``min_deposited`` or more, but staked less than ``ratio`` of it in cash games."""
     return (
-        per_player(deposit_measures(t), cash_measures(t))
+        depositor_totals(t)
+        .join(per_player(cash_measures(t)), "user_id", "left")
         .filter(_low_play(min_deposited, ratio))
         .select(
             "user_id",
@@ -134,9 +136,7 @@ def _flag_rules() -> dict[str, Column]:
         "withdrawal_reversal_flag": _often("withdrawals_reversed", "withdrawal_attempts", 3, 70),
         "quick_withdrawal_flag": _days_to_withdraw() <= 1,
         "low_play_flag": _low_play(100, 0.5),
-        "high_win_rate_flag": _wins_too_much(
-            F.col("cash_winnings") - F.col("cash_stakes"), F.col("cash_stakes"), 100, 20
-        ),
+        "high_win_rate_flag": _wins_too_much(F.col("cash_profit"), F.col("cash_stakes"), 100, 20),
     }
 
 

@@ -10,7 +10,7 @@ from wagerlens.functions.bands import AGE_DECADE
 from wagerlens.functions.columns import month_of, pct, quotient, rounded, rows_from, weekday_name, weekday_of, with_share
 from wagerlens.model import CASH, TOURNAMENT, Tables
 from wagerlens.operators.financial import fin_total_ggr, stakes_and_winnings, with_hold
-from wagerlens.operators.ordered import exact_percentile
+from wagerlens.operators.ordered import value_stats
 from wagerlens.operators.players import cash_measures, cash_results, per_player, play_measures, signups
 
 
@@ -45,14 +45,10 @@ def trd_pnl_distribution(
 
     Without ``break_even`` there are two statuses and a zero result counts as losing.
     """
-    zero = F.lit(0).cast("decimal(25,5)")
-    cash = F.coalesce(F.col("cash_winnings") - F.col("cash_stakes"), zero)
     if TOURNAMENT in games:
-        players = per_player(play_measures(t))
-        net = cash + F.coalesce(F.col("tourn_winnings") - F.col("tourn_stakes"), zero)
+        players, net = per_player(play_measures(t)), F.col("profit")
     else:
-        players = per_player(cash_measures(t))
-        net = cash
+        players, net = per_player(cash_measures(t)), F.col("cash_profit")
     status = F.when(net > 0, "Profitable")
     if break_even:
         status = status.when(net == 0, "Break Even")
@@ -99,10 +95,8 @@ def trd_top_losers(t: Tables, n: int = 20) -> DataFrame:
 
 def _cash_players(t: Tables) -> DataFrame:
     """Registered players with cash play, with their sign-up data and net result."""
-    return (
-        per_player(signups(t), cash_measures(t))
-        .filter((F.col("signed_up") > 0) & (F.col("cash_play_days") > 0))
-        .withColumn("net_profit", F.col("cash_winnings") - F.col("cash_stakes"))
+    return per_player(signups(t), cash_measures(t)).filter(
+        (F.col("signed_up") > 0) & (F.col("cash_play_days") > 0)
     )
 
 
@@ -114,8 +108,8 @@ def trd_pnl_by_age(t: Tables) -> DataFrame:
         .groupBy(AGE_DECADE.label(age).alias("age_group"), AGE_DECADE.position(age).alias("position"))
         .agg(
             F.count(F.lit(1)).alias("player_count"),
-            quotient(F.sum("net_profit"), F.count("net_profit"), 2).alias("avg_profit_loss"),
-            F.round(F.sum("net_profit"), 2).alias("total_profit_loss"),
+            quotient(F.sum("cash_profit"), F.count("cash_profit"), 2).alias("avg_profit_loss"),
+            F.round(F.sum("cash_profit"), 2).alias("total_profit_loss"),
         )
         .orderBy("position")
         .drop("position")
@@ -123,7 +117,7 @@ def trd_pnl_by_age(t: Tables) -> DataFrame:
 
 
 def trd_revenue_by_country(t: Tables, n: int = 15) -> DataFrame:
-    revenue = -F.col("net_profit")
+    revenue = -F.col("cash_profit")
     return (
         _cash_players(t)
         .filter(F.col("country_id").isNotNull())
@@ -155,17 +149,11 @@ def trd_game_preference(t: Tables) -> DataFrame:
 
 def trd_session_size(t: Tables) -> DataFrame:
     """Tables open per player-day of cash play."""
-    stats = t.cash_days.agg(
-        quotient(F.sum("windows"), F.count("windows"), 1).alias("avg_windows_per_session"),
-        F.min("windows").alias("min_windows"),
-        F.max("windows").alias("max_windows"),
-    )
-    median = exact_percentile(t.cash_days, "windows", 0.5, name="median")
-    return stats.crossJoin(F.broadcast(median)).select(
-        "avg_windows_per_session",
+    return value_stats(t.cash_days, "windows").select(
+        quotient(F.col("total"), F.col("known"), 1).alias("avg_windows_per_session"),
         rounded(F.col("median"), 1).alias("median_windows"),
-        "min_windows",
-        "max_windows",
+        F.col("least").alias("min_windows"),
+        F.col("greatest").alias("max_windows"),
     )
 
 

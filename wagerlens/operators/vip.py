@@ -16,9 +16,9 @@ from wagerlens.functions.columns import pct, quotient
 from wagerlens.model import Tables
 from wagerlens.operators.ordered import exact_percentile, rank_segments
 from wagerlens.operators.players import (
-    cash_measures,
-    deposit_measures,
+    cash_results,
     depositor_totals,
+    lifespans,
     per_player,
     play_measures,
 )
@@ -29,7 +29,7 @@ TOP_AND_OTHER = ((1, "Top 5%"), (20, "Other"))
 
 
 def flag_vips(totals: DataFrame, p: float) -> DataFrame:
-    """Add ``is_vip``; players without deposits (NULL total) are neither counted nor VIP."""
+    """Add ``is_vip`` to depositors' totals."""
     threshold = exact_percentile(totals, "total_deposited", p, name="threshold")
     return totals.crossJoin(F.broadcast(threshold)).withColumn(
         "is_vip", F.col("total_deposited").cast("double") >= F.col("threshold")
@@ -97,13 +97,18 @@ def vip_profile(t: Tables, p: float = 0.95) -> DataFrame:
 
 def vip_vs_regular(t: Tables, p: float = 0.95) -> DataFrame:
     """Cash stakes of VIP and other depositors, as shares of all cash stakes (depositor or not)."""
-    people = flag_vips(per_player(deposit_measures(t), cash_measures(t)), p)
-    depositor = F.col("deposits_ok").isNotNull()
-    segment = F.when(depositor & F.col("is_vip"), "VIP").when(depositor, "Regular")
-    sums = people.groupBy(segment.alias("segment")).agg(
-        F.count(F.lit(1)).alias("player_count"),
-        F.count("cash_stakes").alias("stakers"),
-        F.sum("cash_stakes").alias("stakes"),
+    depositors = flag_vips(depositor_totals(t), p).select(
+        "user_id", F.when(F.col("is_vip"), "VIP").otherwise("Regular").alias("segment")
+    )
+    cash = cash_results(t).select("user_id", "total_stakes")
+    sums = (
+        depositors.join(cash, "user_id", "full")
+        .groupBy("segment")
+        .agg(
+            F.count(F.lit(1)).alias("player_count"),
+            F.count("total_stakes").alias("stakers"),
+            F.sum("total_stakes").alias("stakes"),
+        )
     )
     whole = F.sum("stakes").over(Window.partitionBy())
     return (
@@ -121,11 +126,12 @@ def vip_vs_regular(t: Tables, p: float = 0.95) -> DataFrame:
 
 def vip_at_risk(t: Tables, p: float = 0.95) -> DataFrame:
     """VIPs by days since their last play; one who never played counts as Active."""
-    people = per_player(deposit_measures(t), play_measures(t)).select("user_id", "total_deposited", "last_play")
-    as_of = people.agg(F.max("last_play").alias("as_of"))
+    spans = lifespans(t).select("user_id", "last_play")
+    as_of = spans.agg(F.max("last_play").alias("as_of"))
     inactive = F.col("days_inactive")
     return (
-        vips(people, p)
+        vips(depositor_totals(t), p)
+        .join(spans, "user_id", "left")
         .crossJoin(F.broadcast(as_of))
         .select(
             "user_id",
@@ -140,7 +146,7 @@ def vip_at_risk(t: Tables, p: float = 0.95) -> DataFrame:
 
 def vip_clv(t: Tables, n: int = 20) -> DataFrame:
     """Cash revenue per month of activity (30 days) for the players who brought most."""
-    revenue = F.col("cash_stakes") - F.col("cash_winnings")
+    revenue = -F.col("cash_profit")
     top = (
         per_player(play_measures(t))
         .filter(F.col("cash_play_days") > 0)

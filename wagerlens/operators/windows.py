@@ -27,7 +27,7 @@ def win_rank_deposits(t: Tables, n: int = 20) -> DataFrame:
     differ by at most one row, the larger ones first.
     """
     totals = depositor_totals(t).select("user_id", "total_deposited")
-    people = totals.agg(F.count(F.lit(1)).alias("people"))
+    people = totals.agg(F.count("total_deposited").alias("people"))
     order = Window.orderBy(F.desc("total_deposited"))
     size, larger = F.expr("people div 10"), F.col("people") % 10
     in_larger = larger * (size + 1)
@@ -103,17 +103,19 @@ def running_totals(deposits: DataFrame) -> DataFrame:
 
 
 def win_running_total(t: Tables, min_deposits: int = 10, players: int | None = 5) -> DataFrame:
-    """Running deposits of the first ``players`` ids with ``min_deposits`` tries; None for everyone."""
+    """Running deposits of the first ``players`` ids with ``min_deposits`` tries, in time order.
+
+    With None, those of everyone, without sorting the whole table.
+    """
     deposits = t.deposits.filter(succeeded()).select(
         "user_id", "process_date", "process_ts", "deposit_id", "amount"
     )
     if players is not None:
         deposits = rows_of(deposits, lowest_ids(t.deposits, players, min_deposits))
-    return (
-        running_totals(deposits)
-        .orderBy("user_id", "process_ts", "deposit_id")
-        .select("user_id", "process_date", "amount", "running_total", "deposit_number")
-    )
+    running = running_totals(deposits)
+    if players is not None:
+        running = running.orderBy("user_id", "process_ts", "deposit_id")
+    return running.select("user_id", "process_date", "amount", "running_total", "deposit_number")
 
 
 def win_days_since_prev(t: Tables, n: int = 50, direction: str = "prev") -> DataFrame:
