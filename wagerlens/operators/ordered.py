@@ -4,9 +4,9 @@ A window ordered over the whole table, and Spark's exact ``percentile``, both en
 with every value in one task. Here values are first counted (``groupBy(value)``,
 pre-aggregated, so a value shared by a third of the rows is one row), then the
 counts are summed into *slots*: a monotone function of the value with a fixed
-number of outcomes (about 90,000 for the whole DECIMAL(38) range). Running counts
-over the slots tell which slot holds a wanted position; only the values of that
-slot are looked at one by one.
+number of outcomes (2,048 for each factor of e, some 40,000 up to a billion). Running
+counts over the slots tell which slot holds a wanted position; only the values of
+that slot are looked at one by one, and they differ by less than 0.05 %.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOTS_PER_E_FOLD = 512
+SLOTS_PER_E_FOLD = 2048
 
 
 def magnitude_slot(value: Column) -> Column:

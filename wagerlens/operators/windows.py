@@ -70,35 +70,38 @@ def running_totals(deposits: DataFrame) -> DataFrame:
     """Running sum and count per player in time order; deposits of the same moment share both.
 
     Done in two steps so that no task needs all rows of one player: totals per
-    player and day carry the sum of earlier days, and a window within the day
+    player and hour carry the sum of earlier hours, and a window within the hour
     adds the rest.
     """
-    days = deposits.groupBy("user_id", "process_date").agg(
-        F.sum("amount").alias("day_amount"), F.count(F.lit(1)).alias("day_count")
+    hourly = ["user_id", "process_date", "hour"]
+    deposits = deposits.withColumn("hour", F.hour("process_ts"))
+    hours = deposits.groupBy(*hourly).agg(
+        F.sum("amount").alias("hour_amount"), F.count(F.lit(1)).alias("hour_count")
     )
-    earlier = Window.partitionBy("user_id").orderBy("process_date").rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select(
-        "user_id",
-        "process_date",
-        F.sum("day_amount").over(earlier).alias("amount_before"),
-        F.coalesce(F.sum("day_count").over(earlier), F.lit(0)).alias("count_before"),
+    earlier = (
+        Window.partitionBy("user_id").orderBy("process_date", "hour").rowsBetween(Window.unboundedPreceding, -1)
     )
-    within = Window.partitionBy("user_id", "process_date").orderBy("process_ts")
-    today = F.sum("amount").over(within)
+    before = hours.select(
+        *hourly,
+        F.sum("hour_amount").over(earlier).alias("amount_before"),
+        F.coalesce(F.sum("hour_count").over(earlier), F.lit(0)).alias("count_before"),
+    )
+    within = Window.partitionBy(*hourly).orderBy("process_ts")
+    so_far = F.sum("amount").over(within)
     money = "decimal(24,2)"
     # SUM skips NULL amounts: the total is NULL only until the first known amount
     total = F.coalesce(
-        F.col("amount_before").cast(money) + F.col("amount_today").cast(money),
+        F.col("amount_before").cast(money) + F.col("amount_in_hour").cast(money),
         F.col("amount_before").cast(money),
-        F.col("amount_today").cast(money),
+        F.col("amount_in_hour").cast(money),
     )
     return (
-        deposits.withColumns({"amount_today": today, "count_today": F.count(F.lit(1)).over(within)})
-        .join(before, ["user_id", "process_date"])
+        deposits.withColumns({"amount_in_hour": so_far, "count_in_hour": F.count(F.lit(1)).over(within)})
+        .join(before, hourly)
         .withColumns(
-            {"running_total": total, "deposit_number": F.col("count_before") + F.col("count_today")}
+            {"running_total": total, "deposit_number": F.col("count_before") + F.col("count_in_hour")}
         )
-        .drop("amount_today", "count_today", "amount_before", "count_before")
+        .drop("hour", "amount_in_hour", "count_in_hour", "amount_before", "count_before")
     )
 
 

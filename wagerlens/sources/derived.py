@@ -35,8 +35,13 @@ def _cents(units: Column) -> Column:
     return (units.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")
 
 
-def _whole_cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+def _hundredths(column: str) -> Column:
+    """A two-decimal double as a whole number. ``round`` on doubles goes through BigDecimal, this does not."""
+    return F.floor(F.col(column) * 100 + 0.5)
+
+
+def _div(n: Column, d: Column | int) -> Column:
+    return F.call_function("div", n, F.lit(d).cast("bigint"))
 
 
 class DerivedTables:
@@ -66,9 +71,9 @@ class DerivedTables:
             )
         )
 
-    def _transactions(self, id_name: str, keep: Column, shift: Column, divisor: str, failed_status: str) -> DataFrame:
+    def _transactions(self, id_name: str, keep: Column, shift: Column, divisor: Column, failed_status: str) -> DataFrame:
         seconds = (F.col("o_orderkey") * 7919) % 86400
-        amount = F.expr(f"cast(round(o_totalprice * 100) as bigint) div ({divisor})")
+        amount = _div(_hundredths("o_totalprice"), divisor)
         dated = (
             self.read("orders")
             .filter(keep)
@@ -103,7 +108,7 @@ class DerivedTables:
             # keep equal scans from being shared
             F.least(F.col("o_orderkey") % 5, F.col("o_custkey") % 11) > 0,
             F.lit(0),
-            "100 * (1 + o_custkey % 40) * (1 + o_orderkey % 9)",
+            100 * (1 + F.col("o_custkey") % 40) * (1 + F.col("o_orderkey") % 9),
             "F",
         )
 
@@ -113,7 +118,7 @@ class DerivedTables:
             "withdrawal_id",
             (F.col("o_orderkey") % 5 == 0) & (F.col("o_custkey") % 3 != 0),
             (F.col("o_custkey") % 5) * 2,
-            "100 * (2 + o_custkey % 40)",
+            100 * (2 + F.col("o_custkey") % 40),
             "R",
         )
 
@@ -121,6 +126,8 @@ class DerivedTables:
         orders = self.read("orders").select("o_orderkey", "o_custkey")
         user = F.col("o_custkey")
         shift = _lookup(PLAY_SHIFT, user % 6) * (1 + user % 9)
+        price = _hundredths("l_extendedprice")
+        take = 10 * _hundredths("l_discount") + 6 * _hundredths("l_tax")
         return (
             self.read("lineitem")
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -130,12 +137,8 @@ class DerivedTables:
                 user.alias("user_id"),
                 _day("o_custkey", "l_shipdate", shift).alias("play_date"),
                 F.col("l_quantity").cast("int").alias("qty"),
-                F.expr("cast(round(l_extendedprice * 100) as bigint) div 1000").alias("stake"),
-                F.expr(
-                    "(cast(round(l_extendedprice * 100) as bigint)"
-                    " * (10 * cast(round(l_discount * 100) as bigint) + 6 * cast(round(l_tax * 100) as bigint))"
-                    " * (7 + o_custkey % 10)) div 1000000"
-                ).alias("win"),
+                _div(price, 1000).alias("stake"),
+                _div(price * take * (7 + user % 10), 1000000).alias("win"),
             )
         )
 
