@@ -590,6 +590,9 @@ ORACLES["win_running_total"] = sql(
     ),
 )
 ORACLES["win_running_total_all"] = sql("paid_in", _RUNNING.format(where=""))
+ORACLES["win_running_total_by_day"] = sql(
+    "paid_in", _RUNNING.format(where="").replace("process_date, process_sec)", "process_date)")
+)
 _NEIGHBOUR = (
     "SELECT user_id, process_date, process_sec, deposit_id, amount, {f}(process_date) OVER"
     " (PARTITION BY user_id ORDER BY process_date, process_sec, deposit_id) AS other FROM paid_in"

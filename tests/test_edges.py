@@ -237,6 +237,8 @@ def test_peers_share_the_running_total(tables, rows):
         (2, 7.0, 7.0, 1),
     ]
     assert rows(win.win_running_total(t, min_deposits=2, players=1), "user_id") == [(1,)] * 4
+    daily = rows(win.win_running_total(t, players=None, by_day=True), "user_id", "running_total", "deposit_number")
+    assert sorted(daily) == [(1, 35.0, 3)] * 3 + [(1, 36.0, 4), (2, 7.0, 1)]
 
 
 def test_gap_lists(tables, rows):

@@ -7,6 +7,8 @@ a last day after the first day, which needs no distinct count.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wagerlens.functions.bands import AGE_DECADE, TIME_TO_PLAY
@@ -34,6 +36,39 @@ def _count(name: str) -> Column:
     return F.count(F.col(name))
 
 
+def funnel(counts: DataFrame, stages: Sequence[tuple[str, str, str]], first: str) -> DataFrame:
+    """A one-row frame of counts as stages ``(label, stage, stage before)``, as shares of ``first`` and of the one before."""
+    return rows_from(
+        counts,
+        *[
+            {
+                "stage": F.lit(label),
+                "count": F.col(stage),
+                "pct_of_signups": pct(F.col(stage), F.col(first)),
+                "pct_of_prev_stage": pct(F.col(stage), F.col(previous)),
+            }
+            for label, stage, previous in stages
+        ],
+    )
+
+
+def dropoff(counts: DataFrame, steps: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """A one-row frame of counts as steps ``(label, from, to)`` with the loss between; a gain is negative."""
+    return rows_from(
+        counts,
+        *[
+            {
+                "stage": F.lit(label),
+                "from_count": F.col(before),
+                "to_count": F.col(after),
+                "dropped": F.col(before) - F.col(after),
+                "drop_rate_pct": pct(F.col(before) - F.col(after), F.col(before)),
+            }
+            for label, before, after in steps
+        ],
+    )
+
+
 def fun_full(t: Tables) -> DataFrame:
     repeated = (F.col("cash_last") > F.col("cash_first")) | (F.col("tourn_last") > F.col("tourn_first"))
     counts = (
@@ -54,18 +89,7 @@ def fun_full(t: Tables) -> DataFrame:
         ("Made Repeat Play", "repeated", "played"),
         ("Made Withdrawal", "withdrew", "repeated"),
     ]
-    return rows_from(
-        counts,
-        *[
-            {
-                "stage": F.lit(label),
-                "count": F.col(stage),
-                "pct_of_signups": pct(F.col(stage), F.col("signed_up")),
-                "pct_of_prev_stage": pct(F.col(stage), F.col(previous)),
-            }
-            for label, stage, previous in stages
-        ],
-    )
+    return funnel(counts, stages, "signed_up")
 
 
 def _conversion(players: DataFrame, by: list[Column], played: str) -> DataFrame:
@@ -177,16 +201,4 @@ def fun_dropoff(t: Tables) -> DataFrame:
         ("Deposit → Play", "depositors", "players"),
         ("Play → Withdraw", "players", "withdrawers"),
     ]
-    return rows_from(
-        counts,
-        *[
-            {
-                "stage": F.lit(label),
-                "from_count": F.col(before),
-                "to_count": F.col(after),
-                "dropped": F.col(before) - F.col(after),
-                "drop_rate_pct": pct(F.col(before) - F.col(after), F.col(before)),
-            }
-            for label, before, after in steps
-        ],
-    )
+    return dropoff(counts, steps)

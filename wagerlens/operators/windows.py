@@ -8,12 +8,13 @@ players.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wagerlens.functions.columns import month_of, pct, quotient, succeeded
 from wagerlens.model import Tables
 from wagerlens.operators.financial import monthly_cash_ggr
 from wagerlens.operators.players import depositor_totals, first_deposits, lowest_ids, rows_of
+from wagerlens.operators.series import cumulative, moving_average, period_change
 
 
 def _by_total() -> list[Column]:
@@ -66,56 +67,62 @@ def win_rank_in_country(t: Tables, n: int = 50) -> DataFrame:
     return top.withColumn("rank_in_country", rank).orderBy(*order)
 
 
-def running_totals(deposits: DataFrame) -> DataFrame:
+def running_totals(deposits: DataFrame, by_day: bool = False) -> DataFrame:
     """Running sum and count per player in time order; deposits of the same moment share both.
 
     Done in two steps so that no task needs all rows of one player: totals per
     player and hour carry the sum of earlier hours, and a window within the hour
-    adds the rest.
+    adds the rest. With ``by_day`` a moment is a whole day, and the carried sums
+    are all there is to it.
     """
-    hourly = ["user_id", "process_date", "hour"]
-    deposits = deposits.withColumn("hour", F.hour("process_ts"))
-    hours = deposits.groupBy(*hourly).agg(
-        F.sum("amount").alias("hour_amount"), F.count(F.lit(1)).alias("hour_count")
-    )
-    earlier = (
-        Window.partitionBy("user_id").orderBy("process_date", "hour").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    before = hours.select(
-        *hourly,
-        F.sum("hour_amount").over(earlier).alias("amount_before"),
-        F.coalesce(F.sum("hour_count").over(earlier), F.lit(0)).alias("count_before"),
-    )
-    within = Window.partitionBy(*hourly).orderBy("process_ts")
-    so_far = F.sum("amount").over(within)
-    money = "decimal(24,2)"
-    # SUM skips NULL amounts: the total is NULL only until the first known amount
-    total = F.coalesce(
-        F.col("amount_before").cast(money) + F.col("amount_in_hour").cast(money),
-        F.col("amount_before").cast(money),
-        F.col("amount_in_hour").cast(money),
+    if by_day:
+        unit = ["user_id", "process_date"]
+        upto = 0
+    else:
+        unit = ["user_id", "process_date", "hour"]
+        upto = -1
+        deposits = deposits.withColumn("hour", F.hour("process_ts"))
+    per_unit = deposits.groupBy(*unit).agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("n"))
+    carry = Window.partitionBy("user_id").orderBy(*unit[1:]).rowsBetween(Window.unboundedPreceding, upto)
+    carried = per_unit.select(
+        *unit,
+        F.sum("sum").over(carry).cast("decimal(24,2)").alias("running_total"),
+        F.coalesce(F.sum("n").over(carry), F.lit(0)).alias("deposit_number"),
     )
+    if by_day:
+        return deposits.join(carried, unit)
+
+    within = Window.partitionBy(*unit).orderBy("process_ts")
+    known = F.sum("amount").over(within).cast("decimal(24,2)")
+    before, so_far = F.col("running_total"), F.col("sum_in_hour")
     return (
-        deposits.withColumns({"amount_in_hour": so_far, "count_in_hour": F.count(F.lit(1)).over(within)})
-        .join(before, hourly)
+        deposits.withColumns({"sum_in_hour": known, "count_in_hour": F.count(F.lit(1)).over(within)})
+        .join(carried, unit)
         .withColumns(
-            {"running_total": total, "deposit_number": F.col("count_before") + F.col("count_in_hour")}
+            {
+                # SUM skips NULL amounts: the total is NULL only until the first known amount
+                "running_total": F.coalesce(before + so_far, before, so_far),
+                "deposit_number": F.col("deposit_number") + F.col("count_in_hour"),
+            }
         )
-        .drop("hour", "amount_in_hour", "count_in_hour", "amount_before", "count_before")
+        .drop("hour", "sum_in_hour", "count_in_hour")
     )
 
 
-def win_running_total(t: Tables, min_deposits: int = 10, players: int | None = 5) -> DataFrame:
+def win_running_total(
+    t: Tables, min_deposits: int = 10, players: int | None = 5, by_day: bool = False
+) -> DataFrame:
     """Running deposits of the first ``players`` ids with ``min_deposits`` tries, in time order.
 
-    With None, those of everyone, without sorting the whole table.
+    With None, those of everyone, without sorting the whole table. With ``by_day``,
+    deposits of one day share their running total.
     """
     deposits = t.deposits.filter(succeeded()).select(
         "user_id", "process_date", "process_ts", "deposit_id", "amount"
     )
     if players is not None:
         deposits = rows_of(deposits, lowest_ids(t.deposits, players, min_deposits))
-    running = running_totals(deposits)
+    running = running_totals(deposits, by_day)
     if players is not None:
         running = running.orderBy("user_id", "process_ts", "deposit_id")
     return running.select("user_id", "process_date", "amount", "running_total", "deposit_number")
@@ -193,46 +200,33 @@ def _monthly_deposits(t: Tables) -> DataFrame:
     )
 
 
-def _by_month() -> WindowSpec:
-    """A window over all months: one row per calendar month."""
-    return Window.orderBy("month")
-
-
 def win_mom_deposits(t: Tables) -> DataFrame:
-    previous = F.col("prev_month_total")
-    change = F.col("monthly_total") - previous
-    return (
-        _monthly_deposits(t)
-        .withColumn("prev_month_total", F.lag("monthly_total").over(_by_month()))
-        .select(
-            "*",
-            change.alias("mom_change"),
-            pct(change, previous).alias("mom_change_pct"),
-        )
-        .orderBy("month")
-    )
+    months = period_change(_monthly_deposits(t), "month", "monthly_total", "prev_month_total")
+    change = F.col("change")
+    return months.select(
+        "month",
+        "monthly_total",
+        "prev_month_total",
+        change.alias("mom_change"),
+        pct(change, F.col("prev_month_total")).alias("mom_change_pct"),
+    ).orderBy("month")
 
 
 def win_mom_ggr(t: Tables) -> DataFrame:
-    previous = F.col("prev_month_ggr")
-    change = F.col("ggr") - previous
-    return (
-        monthly_cash_ggr(t)
-        .select("month", "ggr", F.lag("ggr").over(_by_month()).alias("prev_month_ggr"))
-        .select(
-            "month",
-            F.round("ggr", 2).alias("ggr"),
-            F.round(previous, 2).alias("prev_month_ggr"),
-            F.round(change, 2).alias("mom_change"),
-            pct(change, F.abs(previous)).alias("mom_change_pct"),
-        )
-        .orderBy("month")
-    )
+    """Revenue may be negative, so the change is taken relative to the size of the month before."""
+    months = period_change(monthly_cash_ggr(t).select("month", "ggr"), "month", "ggr", "prev_month_ggr")
+    change, previous = F.col("change"), F.col("prev_month_ggr")
+    return months.select(
+        "month",
+        F.round("ggr", 2).alias("ggr"),
+        F.round(previous, 2).alias("prev_month_ggr"),
+        F.round(change, 2).alias("mom_change"),
+        pct(change, F.abs(previous)).alias("mom_change_pct"),
+    ).orderBy("month")
 
 
 def win_cumulative_deposits(t: Tables) -> DataFrame:
-    cumulative = F.sum("monthly_total").over(_by_month())
-    return _monthly_deposits(t).withColumn("cumulative_deposits", cumulative).orderBy("month")
+    return cumulative(_monthly_deposits(t), "month", "monthly_total", "cumulative_deposits").orderBy("month")
 
 
 def win_first_last_deposit(t: Tables, n: int = 20) -> DataFrame:
@@ -254,11 +248,10 @@ def win_first_last_deposit(t: Tables, n: int = 20) -> DataFrame:
 
 
 def win_moving_avg_ggr(t: Tables, months: int = 3) -> DataFrame:
-    frame = _by_month().rowsBetween(1 - months, 0)
-    mean = quotient(F.sum("ggr").over(frame), F.count("ggr").over(frame), 2)
+    revenue = monthly_cash_ggr(t).select("month", "ggr")
     return (
-        monthly_cash_ggr(t)
-        .select("month", F.round("ggr", 2).alias("ggr"), mean.alias(f"moving_avg_{months}m"))
+        moving_average(revenue, "month", "ggr", months, f"moving_avg_{months}m")
+        .withColumn("ggr", F.round("ggr", 2))
         .orderBy("month")
     )
 

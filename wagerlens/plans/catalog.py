@@ -136,6 +136,7 @@ SEGMENTS: dict[str, dict[str, Report]] = {
     )
     | {
         "win_running_total_all": partial(win.win_running_total, players=None),
+        "win_running_total_by_day": partial(win.win_running_total, players=None, by_day=True),
         "win_days_to_next": partial(win.win_days_since_prev, direction="next"),
     },
 }

@@ -3,6 +3,10 @@
 Each player gets a start day and a span of days from ``user_id``; order and ship
 dates are folded into that span, so that every retention band is filled.
 All rules use integer arithmetic. See FIXTURES.md for the SQL form.
+
+Every given order and line is read. The remainders below deal the rows out among the
+tables (an order becomes a deposit or a withdrawal) and leave each table without some
+players, so that outer joins and funnels have something to find.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from wagerlens.model import CASH, TOURNAMENT, Tables
 from wagerlens.sources.text import RAW_COLUMNS
@@ -32,7 +37,8 @@ def _day(user: str, date: str, shift: Column) -> Column:
 
 
 def _cents(units: Column) -> Column:
-    return (units.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")
+    # twelve digits are all that DECIMAL(12,2) can hold, and keep the product in a machine word
+    return (units.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")
 
 
 def _hundredths(column: str) -> Column:
@@ -44,6 +50,9 @@ def _div(n: Column, d: Column | int) -> Column:
     return F.call_function("div", n, F.lit(d).cast("bigint"))
 
 
+_KNOWN_SCHEMAS: dict[str, StructType] = {}
+
+
 class DerivedTables:
     """Same attributes as ``Tables``; each frame is built on first use."""
 
@@ -52,7 +61,11 @@ class DerivedTables:
         self._directory = directory
 
     def read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        """A given table. Its schema is read from a footer once per process, not once per query."""
+        path = f"{self._directory}/{name}.parquet"
+        if path not in _KNOWN_SCHEMAS:
+            _KNOWN_SCHEMAS[path] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def players(self) -> DataFrame:
