@@ -1,5 +1,5 @@
 """DuckDB SQL that answers each report on its own, for checking Spark's results."""
 
-from oracle.reports import ORACLES
+from sqlcheck.reports import ORACLES
 
 __all__ = ["ORACLES"]

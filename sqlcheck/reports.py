@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import big, dbl, median, month, pct, ratio, sql
+from sqlcheck.base import big, dbl, median, month, pct, ratio, sql
 
 OK = "status='S'"
 ORACLES: dict[str, str] = {}
