@@ -18,11 +18,14 @@ def oracle():
     return open_oracle(SF_DIR)
 
 
+OURS = sorted(set(driver.queries()) - set(driver._training_data()[0]))
+
+
 def test_every_report_has_a_twin():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(OURS) == set(driver.oracle_sql()) - set(driver._training_data()[1])
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", OURS)
 def test_report(spark, oracle, name):
     assert difference(driver.queries()[name](spark, SF_DIR), oracle, driver.oracle_sql()[name]) is None
 
