@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +16,20 @@ BROADCAST_ROWS = 200_000
 ASCII_SPACE = "\\x20\\x09-\\x0D"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, as ``--py-files`` would, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_wagerlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    bundle = Path(tempfile.mkdtemp(prefix="wagerlens-")) / "wagerlens.zip"
+    with zipfile.ZipFile(bundle, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    context._wagerlens_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,10 +53,12 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The two columns (doc_id, text) only, whatever else the frame holds."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

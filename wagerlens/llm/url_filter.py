@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from wagerlens.llm.common import BROADCAST_ROWS
+from wagerlens.llm.common import BROADCAST_ROWS, table
 
 #: Rules of the registered query. Fixed values.
 RULES = (
@@ -143,7 +143,7 @@ def judge_urls(
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL against the fixed rules."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, [Rule.of(*rule) for rule in RULES])
 
 
