@@ -1,10 +1,10 @@
-"""From raw documents to packed training sequences, in four stages (in the making)."""
+"""From raw documents to packed training sequences, in four stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wagerlens.llm import compression_rules, gam_quality
+from wagerlens.llm import compression_rules, gam_quality, ngram_join, packing
 from wagerlens.llm.common import table, written
 
 
@@ -18,7 +18,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression_rules.apply_rules(docs)
 
 
-STAGES = [("quality_classifier", classify), ("quality_rules", rules)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram Jaccard join links: the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bins of what is left: one row for each document piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", rules), ("ngram_jaccard_join", near_copies), ("best_fit_packing", pack)]
 
 ORACLE_SQL = None
 

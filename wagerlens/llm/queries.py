@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from wagerlens.llm import url_filter
 from wagerlens.llm.bpe_count import op6_token_counts
 from wagerlens.llm.compression_rules import op8_quality_rules
+from wagerlens.llm.embedding_dedup import op2_embedding_dedup
 from wagerlens.llm.gam_quality import op4_quality_classifier
+from wagerlens.llm.ngram_join import op3_ngram_jaccard_join
+from wagerlens.llm.packing import op10_best_fit_packing
+from wagerlens.llm.piece_codec import op9_sentencepiece_codec
+from wagerlens.llm.token_shards import op7_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op7_token_shards": op7_token_shards,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece_codec": op9_sentencepiece_codec,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
