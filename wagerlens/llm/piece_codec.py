@@ -46,6 +46,8 @@ class Pieces:
     byte_ids: tuple[int, ...]
     unknown: int
     longest: int
+    #: The longest stable piece by its last two characters.
+    tails: dict[str, int]
     cut_at_marks: bool
     #: What each id decodes to.
     bytes_of_id: tuple[bytes, ...]
@@ -92,13 +94,16 @@ def read_pieces(path: str) -> Pieces:
     for piece in ids:
         if len(piece) > 1 and (merges := merge_all(piece, ranks)) and "".join(merges[-1]) == piece:
             halves[piece] = merges[-1]
+    tails: dict[str, int] = {}
+    for piece in halves:
+        tails[piece[-2:]] = max(len(piece), tails.get(piece[-2:], 1))
     decoded = [
         bytes([int(text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else text[i].replace(MARK, " ").encode()
         for i in range(size)
     ]
     return Pieces(
         ids, ranks, halves, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(),
-        max(map(len, halves), default=1), not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
+        max(map(len, halves), default=1), tails, not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
     )
 
 
@@ -128,11 +133,11 @@ def stable(left: str, right: str, pieces: Pieces) -> bool:
 
 def committed(text: str, pieces: Pieces, is_stable: Callable[[tuple[str, str]], bool]) -> Iterator[list[str]]:
     """The pieces of a text, in lists that are emitted as soon as all surviving paths agree on them."""
-    longest, halves = pieces.longest, pieces.halves
+    longest, halves, tails = pieces.longest, pieces.halves, pieces.tails
     done = 0
     back: list[int] = []  # where the survivor at each position after ``done`` starts
     for end in range(1, len(text) + 1):
-        for start in range(max(done, end - longest), end):
+        for start in range(max(done, end - tails.get(text[max(end - 2, 0) : end], 1)), end):
             piece = text[start:end]
             if (end - start == 1 or piece in halves) and (start == 0 or is_stable((text[back[start - done - 1] if start > done else before : start], piece))):
                 back.append(start)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wagerlens.llm import url_filter
+from wagerlens.llm import backoff, url_filter
 from wagerlens.llm.bpe_count import op6_token_counts
 from wagerlens.llm.compression_rules import op8_quality_rules
 from wagerlens.llm.embedding_dedup import op2_embedding_dedup
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": backoff.op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op7_token_shards": op7_token_shards,
     "op8_quality_rules": op8_quality_rules,
@@ -28,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op5_lm_scoring": backoff.ORACLE_SQL}
