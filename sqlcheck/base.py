@@ -14,22 +14,29 @@ def _day(date: str, shift: str) -> str:
 
 
 def _cents(units: str) -> str:
-    return f"CAST(CAST({units} AS DECIMAL(20,0))*CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2))"
+    return f"CAST(CAST({units} AS DECIMAL(18,0))*CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2))"
+
+
+_USER = "CASE WHEN o_custkey%211=0 THEN o_custkey+1000000000000 ELSE o_custkey END"
+_IS_WITHDRAWAL = "((o_orderkey%5=0 AND o_custkey%3<>0) OR o_custkey%11=0)"
 
 
 def _transactions(id_name: str, keep: str, shift: str, divisor: str, lost: str) -> str:
     amount = _cents(f"CAST(ROUND(o_totalprice*100) AS BIGINT) // ({divisor})")
-    return f"""SELECT o_orderkey AS {id_name}, o_custkey AS user_id,
-        {_day("o_orderdate", shift)} AS process_date,
-        (o_orderkey*7919)%86400 AS process_sec,
-        o_orderpriority AS pay_method_cat,
-        {amount} AS amount,
-        CASE WHEN o_orderstatus='F' THEN '{lost}' ELSE 'S' END AS status
+    return f"""SELECT CASE WHEN o_orderkey%1009=0 THEN o_orderkey-1 ELSE o_orderkey END AS {id_name},
+        {_USER} AS user_id,
+        CASE WHEN o_orderkey%109<>0 THEN {_day("o_orderdate", shift)} END AS process_date,
+        CASE WHEN o_orderkey%101<>0 AND o_orderkey%109<>0 THEN (o_orderkey*7919)%86400 END AS process_sec,
+        'method ' || (o_orderkey%3) AS pay_method,
+        CASE WHEN o_orderkey%113<>0 THEN o_orderpriority END AS pay_method_cat,
+        CASE WHEN o_orderkey%4<>0 THEN 'card ' || (o_orderkey%5) END AS card_type,
+        CASE WHEN o_orderkey%107<>0 THEN {amount} END AS amount,
+        CASE WHEN o_orderkey%499=0 THEN 'X' WHEN o_orderstatus='F' THEN '{lost}' ELSE 'S' END AS status
     FROM orders WHERE {keep}"""
 
 
 def _play_days(units: str, name: str, keep: str) -> str:
-    return f"""SELECT user_id, play_date, CAST({units} AS INT) AS {name},
+    return f"""SELECT user_id, play_date, CAST({units} AS BIGINT) AS {name},
         {_cents("SUM(stake_c)")} AS stakes, {_cents("SUM(win_c)")} AS winnings
     FROM plays WHERE {keep} GROUP BY user_id, play_date"""
 
@@ -39,24 +46,27 @@ _PLAY_SHIFT = "(CASE o_custkey%6 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END)*(1+o_cu
 TABLES = {
     "players": """SELECT c_custkey AS user_id,
         CASE WHEN c_custkey%97<>0 THEN CAST(18+(c_custkey*37)%53 AS INT) END AS age_at_reg,
-        CASE WHEN c_custkey%101=0 THEN NULL WHEN c_custkey%10=0 THEN 'F' ELSE 'M' END AS gender,
+        CASE WHEN c_custkey%101=0 THEN NULL WHEN c_custkey%10=0 THEN 'F' WHEN c_custkey%103=0 THEN 'X' ELSE 'M' END
+            AS gender,
         c_nationkey AS country_id
-    FROM customer WHERE c_custkey%211<>0""",
+    FROM customer""",
     "deposits": _transactions(
-        "deposit_id", "o_orderkey%5<>0 AND o_custkey%11<>0", "0", "100*(1+o_custkey%40)*(1+o_orderkey%9)", "F"
+        "deposit_id", f"NOT {_IS_WITHDRAWAL}", "0", "100*(1+o_custkey%40)*(1+o_orderkey%9)", "F"
     ),
     "withdrawals": _transactions(
-        "withdrawal_id", "o_orderkey%5=0 AND o_custkey%3<>0", "(o_custkey%5)*2", "100*(2+o_custkey%40)", "R"
+        "withdrawal_id", _IS_WITHDRAWAL, "(o_custkey%5)*2", "100*(2+o_custkey%40)", "R"
     ),
-    "plays": f"""SELECT o_custkey AS user_id, {_day("l_shipdate", _PLAY_SHIFT)} AS play_date,
-        l_linestatus AS ls, CAST(l_quantity AS INT) AS qty,
-        CAST(ROUND(l_extendedprice*100) AS BIGINT)//1000 AS stake_c,
-        (CAST(ROUND(l_extendedprice*100) AS BIGINT)
+    "plays": f"""SELECT {_USER} AS user_id, {_day("l_shipdate", _PLAY_SHIFT)} AS play_date,
+        CASE WHEN (l_linestatus='F' AND o_custkey%5<>0) OR o_custkey%7=0 THEN 'T' ELSE 'C' END AS game,
+        CAST(l_quantity AS INT) AS qty,
+        CASE WHEN o_custkey%83<>0 THEN CAST(ROUND(l_extendedprice*100) AS BIGINT)//1000 END AS stake_c,
+        CASE WHEN o_custkey%53=0 THEN CAST(ROUND(l_extendedprice*100) AS BIGINT)//1000
+            WHEN o_custkey%89<>0 THEN (CAST(ROUND(l_extendedprice*100) AS BIGINT)
             *(10*CAST(ROUND(l_discount*100) AS BIGINT)+6*CAST(ROUND(l_tax*100) AS BIGINT))
-            *(7+o_custkey%10))//1000000 AS win_c
+            *(7+o_custkey%10))//1000000 END AS win_c
     FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
-    "cash_days": _play_days("SUM(qty)", "windows", "ls='O' AND user_id%7<>0"),
-    "tourn_days": _play_days("COUNT(*)", "entries", "ls='F' AND user_id%5<>0"),
+    "cash_days": _play_days("SUM(qty)", "windows", "game='C'"),
+    "tourn_days": _play_days("COUNT(*)", "entries", "game='T'"),
     "play_days": """SELECT 'Cash Games' AS game_type, user_id, play_date, stakes, winnings FROM cash_days
         UNION ALL SELECT 'Tournaments', user_id, play_date, stakes, winnings FROM tourn_days""",
     # shared steps

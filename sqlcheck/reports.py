@@ -67,7 +67,7 @@ for _name, _table, _id in (
 ):
     ORACLES[_name] = sql(
         _table,
-        f"SELECT {_id}, user_id, process_date AS summary_date, process_date, pay_method_cat,"
+        f"SELECT {_id}, user_id, process_date AS summary_date, process_date, pay_method, pay_method_cat, card_type,"
         f" {dbl('amount')} AS amount, status,"
         " CAST(TIME '00:00:00' + to_seconds(process_sec) AS VARCHAR) AS process_time"
         f" FROM {_table}",
@@ -94,10 +94,10 @@ ORACLES["fin_monthly_ggr"] = sql(
     f" {pct('ggr', 'stakes')} AS hold_pct FROM month_ggr",
 )
 ORACLES["fin_arpu"] = sql(
-    "cash_days",
+    "cash",
     "SELECT COUNT(DISTINCT user_id) AS total_players,"
     f" {dbl('SUM(stakes-winnings)')} AS total_ggr,"
-    f" {ratio('SUM(stakes-winnings)', 'COUNT(DISTINCT user_id)')} AS arpu FROM cash_days",
+    f" {ratio('SUM(stakes-winnings)', 'COUNT(DISTINCT user_id)')} AS arpu FROM cash",
 )
 _FLOW = "(SELECT SUM(amount) AS i FROM paid_in), (SELECT SUM(amount) AS o FROM paid_out)"
 _FLOW_COLUMNS = f"{dbl('i')} AS total_deposits, {dbl('o')} AS total_withdrawals, {dbl('i-o')} AS net_to_platform"
@@ -113,9 +113,11 @@ ORACLES["acq_by_country"] = sql(
     " FROM players WHERE country_id IS NOT NULL GROUP BY players.country_id ORDER BY 2 DESC, 1 LIMIT 15",
 )
 _AGE = (
-    "CASE WHEN age_at_reg IS NULL THEN 'Unknown' WHEN age_at_reg<=20 THEN 'Under 21' WHEN age_at_reg<=25 THEN '21-25'"
-    " WHEN age_at_reg<=30 THEN '26-30' WHEN age_at_reg<=35 THEN '31-35' WHEN age_at_reg<=40 THEN '36-40'"
-    " WHEN age_at_reg<=45 THEN '41-45' WHEN age_at_reg<=55 THEN '46-55' ELSE '55+' END"
+    # fixed values: the labels and limits of the age bands
+    "CASE WHEN age_at_reg IS NULL THEN 'Unknown' WHEN age_at_reg<21 THEN 'Under 21'"
+    " WHEN age_at_reg BETWEEN 21 AND 25 THEN '21-25' WHEN age_at_reg BETWEEN 26 AND 30 THEN '26-30'"
+    " WHEN age_at_reg BETWEEN 31 AND 35 THEN '31-35' WHEN age_at_reg BETWEEN 36 AND 40 THEN '36-40'"
+    " WHEN age_at_reg BETWEEN 41 AND 45 THEN '41-45' WHEN age_at_reg BETWEEN 46 AND 55 THEN '46-55' ELSE '55+' END"
 )
 ORACLES["acq_age_distribution"] = sql(
     "players",
@@ -379,8 +381,8 @@ ORACLES["pay_time_to_first_withdrawal"] = sql(
 ORACLES["pay_never_withdrew"] = sql(
     "in_dates out_dates",
     f"SELECT n AS total_depositors, w AS depositors_who_withdrew, n-w AS never_withdrew, {pct('n-w', 'n')}"
-    " AS never_withdrew_pct FROM (SELECT COUNT(*) AS n, COUNT(first_out) AS w"
-    " FROM in_dates LEFT JOIN out_dates USING (user_id))",
+    " AS never_withdrew_pct FROM (SELECT COUNT(*) AS n, COUNT(o.user_id) AS w"
+    " FROM in_dates i LEFT JOIN out_dates o ON i.user_id=o.user_id)",
 )
 ORACLES["pay_monthly_trend"] = sql(
     "deposits withdrawals",
@@ -402,8 +404,9 @@ ORACLES["pay_peak_weekdays"] = sql(
 )
 ORACLES["pay_amount_buckets"] = sql(
     "paid_in",
-    "SELECT CASE WHEN amount>1000 THEN '€1000+' WHEN amount>500 THEN '€500-1000' WHEN amount>100 THEN '€100-500'"
-    " WHEN amount>50 THEN '€50-100' WHEN amount>20 THEN '€20-50' WHEN amount>=10 THEN '€10-20' ELSE '< €10' END"
+    "SELECT CASE WHEN amount<10 THEN '< €10' WHEN amount BETWEEN 10 AND 20 THEN '€10-20' WHEN amount BETWEEN 20 AND 50"
+    " THEN '€20-50' WHEN amount BETWEEN 50 AND 100 THEN '€50-100' WHEN amount BETWEEN 100 AND 500 THEN '€100-500'"
+    " WHEN amount BETWEEN 500 AND 1000 THEN '€500-1000' ELSE '€1000+' END"
     f" AS deposit_bucket, COUNT(*) AS count, {dbl('SUM(amount)')} AS total_amount FROM paid_in GROUP BY 1",
 )
 
@@ -427,7 +430,7 @@ ORACLES["trd_pnl_distribution"] = sql(
     "cash tourn",
     "SELECT CASE sign(profit) WHEN 1 THEN 'Profitable' WHEN 0 THEN 'Break Even' ELSE 'Losing' END AS player_status,"
     f" COUNT(*) AS player_count, {_SHARE_OF_NET} AS pct FROM net GROUP BY 1",
-    net="SELECT cash.user_id, cash.winnings-cash.stakes+COALESCE(tourn.winnings-tourn.stakes,0) AS profit"
+    net="SELECT cash.user_id, COALESCE(cash.winnings-cash.stakes,0)+COALESCE(tourn.winnings-tourn.stakes,0) AS profit"
     " FROM cash LEFT JOIN tourn USING (user_id)",
 )
 ORACLES["trd_pnl_cash_only"] = sql(
@@ -449,13 +452,14 @@ ORACLES["trd_top_losers"] = sql(
     " ORDER BY stakes-winnings DESC, user_id LIMIT 20",
 )
 _DECADE = (
-    "CASE WHEN age_at_reg>=55 THEN '55+' WHEN age_at_reg>=45 THEN '45-54' WHEN age_at_reg>=35 THEN '35-44'"
-    " WHEN age_at_reg>=25 THEN '25-34' WHEN age_at_reg IS NOT NULL THEN 'Under 25' END"
+    # fixed values: the labels and limits of the age bands
+    "CASE WHEN age_at_reg<25 THEN 'Under 25' WHEN age_at_reg BETWEEN 25 AND 34 THEN '25-34'"
+    " WHEN age_at_reg BETWEEN 35 AND 44 THEN '35-44' WHEN age_at_reg BETWEEN 45 AND 54 THEN '45-54' ELSE '55+' END"
 )
 ORACLES["trd_pnl_by_age"] = sql(
     "cash players",
     f"SELECT {_DECADE} AS age_group, COUNT(*) AS player_count,"
-    f" {ratio('SUM(winnings-stakes)', 'COUNT(*)')} AS avg_profit_loss,"
+    f" {ratio('SUM(winnings-stakes)', 'COUNT(winnings-stakes)')} AS avg_profit_loss,"
     f" {dbl('SUM(winnings-stakes)')} AS total_profit_loss"
     " FROM cash JOIN players USING (user_id) WHERE age_at_reg IS NOT NULL GROUP BY 1",
 )
@@ -463,7 +467,7 @@ ORACLES["trd_revenue_by_country"] = sql(
     "cash players",
     f"SELECT {big('country_id')} AS country_id, COUNT(*) AS player_count,"
     f" {dbl('SUM(stakes-winnings)')} AS total_house_revenue,"
-    f" {ratio('SUM(stakes-winnings)', 'COUNT(*)')} AS avg_revenue_per_player"
+    f" {ratio('SUM(stakes-winnings)', 'COUNT(stakes-winnings)')} AS avg_revenue_per_player"
     " FROM cash JOIN players USING (user_id) WHERE country_id IS NOT NULL GROUP BY players.country_id"
     " ORDER BY 3 DESC, 1 LIMIT 15",
 )
@@ -603,7 +607,7 @@ def _neighbour(function: str, other: str, days: str) -> str:
     return sql(
         "paid_in",
         f"SELECT user_id, process_date, {dbl('amount')} AS amount, other AS {other},"
-        f" abs(DATE_DIFF('day', other, process_date)) AS {days} FROM pairs WHERE other IS NOT NULL"
+        f" abs(DATE_DIFF('day', other, process_date)) AS {days} FROM pairs WHERE DATE_DIFF('day', other, process_date) IS NOT NULL"
         " ORDER BY user_id, process_date, process_sec, deposit_id LIMIT 50",
         pairs=_NEIGHBOUR.format(f=function),
     )
@@ -632,14 +636,15 @@ ORACLES["win_mom_ggr"] = sql(
 ORACLES["win_cumulative_deposits"] = sql(
     "month_in",
     f"SELECT month, {dbl('total')} AS monthly_total,"
-    f" {dbl('(SELECT SUM(total) FROM month_in e WHERE e.month<=month_in.month)')} AS cumulative_deposits FROM month_in",
+    f" {dbl('SUM(total) OVER (ORDER BY month NULLS LAST)')} AS cumulative_deposits FROM month_in",
 )
 ORACLES["win_first_last_deposit"] = sql(
     "paid_in",
-    "SELECT user_id, arg_min(process_date, m) AS first_deposit_date,"
-    f" {dbl('arg_min(amount, m)')} AS first_deposit_amount, arg_max(process_date, m) AS last_deposit_date,"
-    f" {dbl('arg_max(amount, m)')} AS last_deposit_amount FROM stamped GROUP BY user_id ORDER BY user_id LIMIT 20",
-    stamped="SELECT *, (process_date, process_sec, deposit_id) AS m FROM paid_in",
+    "SELECT DISTINCT user_id, FIRST_VALUE(process_date) OVER w AS first_deposit_date,"
+    f" {dbl('FIRST_VALUE(amount) OVER w')} AS first_deposit_amount, LAST_VALUE(process_date) OVER w AS last_deposit_date,"
+    f" {dbl('LAST_VALUE(amount) OVER w')} AS last_deposit_amount FROM paid_in"
+    " WINDOW w AS (PARTITION BY user_id ORDER BY process_date NULLS LAST, process_sec NULLS LAST, deposit_id"
+    " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ORDER BY user_id LIMIT 20",
 )
 ORACLES["win_moving_avg_ggr"] = sql(
     "month_ggr",

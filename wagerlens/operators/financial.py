@@ -58,12 +58,12 @@ def fin_hold_by_game(t: Tables) -> DataFrame:
 
 
 def fin_monthly_ggr(t: Tables) -> DataFrame:
-    return monthly_cash_ggr(t).orderBy("month")
+    return monthly_cash_ggr(t).orderBy(F.asc_nulls_last("month"))
 
 
 def fin_arpu(t: Tables) -> DataFrame:
     """Cash revenue per player who ever played cash games."""
-    per_player = t.cash_days.groupBy("user_id").agg(F.sum(F.col("stakes") - F.col("winnings")).alias("ggr"))
+    per_player = stakes_and_winnings(t.cash_days, "user_id").withColumn("ggr", F.col("stakes") - F.col("winnings"))
     return per_player.agg(
         F.count(F.lit(1)).alias("total_players"),
         F.sum("ggr").alias("total_ggr"),

@@ -75,12 +75,18 @@ def withdrawal_measures(t: Tables, attempts: bool = False) -> Measures:
     return Measures(rows.select("user_id", *columns), how)
 
 
-_CASH_HOW = {"cash_play_days": F.sum, "cash_stakes": F.sum, "cash_winnings": F.sum, "cash_profit": F.sum}
+_CASH_HOW = {"cash_play_days": F.sum, "cash_stakes": F.sum, "cash_winnings": F.sum}
 
 
-def _profit() -> Column:
-    """A player-day from the player's side; one sum where stakes and winnings would be two."""
-    return F.col("winnings") - F.col("stakes")
+def cash_profit() -> Column:
+    """A player's net result: the difference of two sums, so that a day with one unknown side still counts with the other."""
+    return F.col("cash_winnings") - F.col("cash_stakes")
+
+
+def profit_over_both() -> Column:
+    """The net results of both games together; a game without known sums counts as nothing."""
+    nothing = F.lit(0).cast("decimal(22,5)")
+    return F.coalesce(cash_profit(), nothing) + F.coalesce(F.col("tourn_winnings") - F.col("tourn_stakes"), nothing)
 
 
 def cash_measures(t: Tables) -> Measures:
@@ -89,13 +95,12 @@ def cash_measures(t: Tables) -> Measures:
         F.lit(1).cast("bigint").alias("cash_play_days"),
         F.col("stakes").alias("cash_stakes"),
         F.col("winnings").alias("cash_winnings"),
-        _profit().alias("cash_profit"),
     )
     return Measures(rows, dict(_CASH_HOW))
 
 
 def play_measures(t: Tables) -> Measures:
-    """Both games side by side; first and last day of any play, and the profit over both."""
+    """Both games side by side; first and last day of any play."""
     cash = F.col("game_type") == CASH
     tourn = F.col("game_type") == TOURNAMENT
     rows = t.play_days.select(
@@ -103,26 +108,27 @@ def play_measures(t: Tables) -> Measures:
         _one_if(cash).alias("cash_play_days"),
         F.when(cash, F.col("stakes")).alias("cash_stakes"),
         F.when(cash, F.col("winnings")).alias("cash_winnings"),
-        F.when(cash, _profit()).alias("cash_profit"),
         F.when(cash, F.col("play_date")).alias("cash_first"),
         F.when(cash, F.col("play_date")).alias("cash_last"),
         _one_if(tourn).alias("tourn_play_days"),
+        F.when(tourn, F.col("stakes")).alias("tourn_stakes"),
+        F.when(tourn, F.col("winnings")).alias("tourn_winnings"),
         F.when(tourn, F.col("play_date")).alias("tourn_first"),
         F.when(tourn, F.col("play_date")).alias("tourn_last"),
         F.col("play_date").alias("first_play"),
         F.col("play_date").alias("last_play"),
-        _profit().alias("profit"),
     )
     how = {
         **_CASH_HOW,
         "cash_first": F.min,
         "cash_last": F.max,
         "tourn_play_days": F.sum,
+        "tourn_stakes": F.sum,
+        "tourn_winnings": F.sum,
         "tourn_first": F.min,
         "tourn_last": F.max,
         "first_play": F.min,
         "last_play": F.max,
-        "profit": F.sum,
     }
     return Measures(rows, how)
 
@@ -180,13 +186,24 @@ def lifespans(t: Tables) -> DataFrame:
     )
 
 
+def in_time_order() -> list[Column]:
+    """Transactions by day, then by moment, unknown ones last, then by id."""
+    return [F.asc_nulls_last("process_date"), F.asc_nulls_last("process_ts"), F.asc("deposit_id")]
+
+
+def moment(*more: str) -> Column:
+    """The same order as a struct for a minimum or maximum; ``more`` are carried along."""
+    unknown_day, unknown_time = F.isnull("process_date").alias("no_day"), F.isnull("process_ts").alias("no_time")
+    return F.struct(unknown_day, "process_date", unknown_time, "process_ts", "deposit_id", *more)
+
+
 def first_deposits(deposits: DataFrame) -> DataFrame:
     """Each player's first successful deposit by time, ties broken by ``deposit_id``.
 
     The minimum of a struct is taken per task before the shuffle, so one row per
     player and task moves, however many deposits a player made.
     """
-    first = F.min(F.struct("process_ts", "deposit_id", "process_date", "amount", "pay_method_cat"))
+    first = F.min(moment("amount", "pay_method_cat"))
     return (
         deposits.filter(succeeded())
         .groupBy("user_id")
@@ -208,6 +225,6 @@ def lowest_ids(df: DataFrame, n: int, at_least: int = 1) -> DataFrame:
 
 
 def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the players in ``ids``, a frame made with a row limit and so safe to broadcast."""
-    return df.join(F.broadcast(ids), "user_id", "left_semi")
+    """Rows of the players in ``ids``. Whether these few or many ids are broadcast is left to adaptive execution."""
+    return df.join(ids, "user_id", "left_semi")
 

@@ -72,7 +72,7 @@ def ret_mau(t: Tables, games: Sequence[str] = BOTH_GAMES) -> DataFrame:
         plays_in(t, games)
         .groupBy(month_of("play_date").alias("month"))
         .agg(F.countDistinct("user_id").alias("monthly_active_players"))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -98,11 +98,10 @@ def ret_inactive_90d(t: Tables, days: int = 90) -> DataFrame:
 def ret_session_gaps(t: Tables) -> DataFrame:
     """Days between one play day and the next, in any game.
 
-    Play days are already unique per game, so a reduction before the shuffle would
-    find nothing to merge: the days go straight to their player's partition, where both
-    the distinct and the window run.
+    Days are made distinct first, map-side, so that a player is at most one row per calendar
+    day in the window, however often a day is repeated.
     """
-    days = t.play_days.select("user_id", "play_date").repartition("user_id").distinct()
+    days = t.play_days.select("user_id", "play_date").distinct()
     previous = F.lag("play_date").over(Window.partitionBy("user_id").orderBy("play_date"))
     gap = F.col("gap")
     return (

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wagerlens.functions.columns import count_if, number, pct
 from wagerlens.model import FAILED, REVERSED, SUCCESS, Tables
 from wagerlens.operators.players import (
+    cash_profit,
     cash_measures,
     cash_results,
     deposit_measures,
@@ -136,7 +137,7 @@ def _flag_rules() -> dict[str, Column]:
         "withdrawal_reversal_flag": _often("withdrawals_reversed", "withdrawal_attempts", 3, 70),
         "quick_withdrawal_flag": _days_to_withdraw() <= 1,
         "low_play_flag": _low_play(100, 0.5),
-        "high_win_rate_flag": _wins_too_much(F.col("cash_profit"), F.col("cash_stakes"), 100, 20),
+        "high_win_rate_flag": _wins_too_much(cash_profit(), F.col("cash_stakes"), 100, 20),
     }
 
 

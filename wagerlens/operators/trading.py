@@ -11,7 +11,15 @@ from wagerlens.functions.columns import month_of, pct, quotient, rounded, rows_f
 from wagerlens.model import CASH, TOURNAMENT, Tables
 from wagerlens.operators.financial import fin_total_ggr, stakes_and_winnings, with_hold
 from wagerlens.operators.ordered import value_stats
-from wagerlens.operators.players import cash_measures, cash_results, per_player, play_measures, signups
+from wagerlens.operators.players import (
+    cash_measures,
+    cash_profit,
+    cash_results,
+    per_player,
+    play_measures,
+    profit_over_both,
+    signups,
+)
 
 
 def trd_margin(t: Tables) -> DataFrame:
@@ -46,9 +54,9 @@ def trd_pnl_distribution(
     Without ``break_even`` there are two statuses and a zero result counts as losing.
     """
     if TOURNAMENT in games:
-        players, net = per_player(play_measures(t)), F.col("profit")
+        players, net = per_player(play_measures(t)), profit_over_both()
     else:
-        players, net = per_player(cash_measures(t)), F.col("cash_profit")
+        players, net = per_player(cash_measures(t)), cash_profit()
     status = F.when(net > 0, "Profitable")
     if break_even:
         status = status.when(net == 0, "Break Even")
@@ -108,8 +116,8 @@ def trd_pnl_by_age(t: Tables) -> DataFrame:
         .groupBy(AGE_DECADE.label(age).alias("age_group"), AGE_DECADE.position(age).alias("position"))
         .agg(
             F.count(F.lit(1)).alias("player_count"),
-            quotient(F.sum("cash_profit"), F.count("cash_profit"), 2).alias("avg_profit_loss"),
-            F.round(F.sum("cash_profit"), 2).alias("total_profit_loss"),
+            quotient(F.sum(cash_profit()), F.count(cash_profit()), 2).alias("avg_profit_loss"),
+            F.round(F.sum(cash_profit()), 2).alias("total_profit_loss"),
         )
         .orderBy("position")
         .drop("position")
@@ -117,7 +125,7 @@ def trd_pnl_by_age(t: Tables) -> DataFrame:
 
 
 def trd_revenue_by_country(t: Tables, n: int = 15) -> DataFrame:
-    revenue = -F.col("cash_profit")
+    revenue = -cash_profit()
     return (
         _cash_players(t)
         .filter(F.col("country_id").isNotNull())

@@ -16,6 +16,7 @@ from wagerlens.functions.columns import pct, quotient
 from wagerlens.model import Tables
 from wagerlens.operators.ordered import exact_percentile, rank_segments
 from wagerlens.operators.players import (
+    cash_profit,
     cash_results,
     depositor_totals,
     lifespans,
@@ -146,7 +147,7 @@ def vip_at_risk(t: Tables, p: float = 0.95) -> DataFrame:
 
 def vip_clv(t: Tables, n: int = 20) -> DataFrame:
     """Cash revenue per month of activity (30 days) for the players who brought most."""
-    revenue = -F.col("cash_profit")
+    revenue = -cash_profit()
     top = (
         per_player(play_measures(t))
         .filter(F.col("cash_play_days") > 0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wagerlens.functions.columns import month_of, pct, quotient, succeeded
 from wagerlens.model import Tables
 from wagerlens.operators.financial import monthly_cash_ggr
-from wagerlens.operators.players import depositor_totals, first_deposits, lowest_ids, rows_of
+from wagerlens.operators.players import depositor_totals, first_deposits, in_time_order, lowest_ids, moment, rows_of
 from wagerlens.operators.series import cumulative, moving_average, period_change
 
 
@@ -83,21 +83,28 @@ def running_totals(deposits: DataFrame, by_day: bool = False) -> DataFrame:
         upto = -1
         deposits = deposits.withColumn("hour", F.hour("process_ts"))
     per_unit = deposits.groupBy(*unit).agg(F.sum("amount").alias("sum"), F.count(F.lit(1)).alias("n"))
-    carry = Window.partitionBy("user_id").orderBy(*unit[1:]).rowsBetween(Window.unboundedPreceding, upto)
+    unknown_last = [F.asc_nulls_last(c) for c in unit[1:]]
+    carry = Window.partitionBy("user_id").orderBy(*unknown_last).rowsBetween(Window.unboundedPreceding, upto)
     carried = per_unit.select(
-        *unit,
+        *[F.col(c).alias(f"unit_{c}") for c in unit],
         F.sum("sum").over(carry).cast("decimal(24,2)").alias("running_total"),
         F.coalesce(F.sum("n").over(carry), F.lit(0)).alias("deposit_number"),
     )
+    # a day or an hour that is not known is a unit like any other, so the units are joined null-safe
+    same_unit = F.col("user_id") == F.col("unit_user_id")
+    for c in unit[1:]:
+        same_unit = same_unit & F.col(c).eqNullSafe(F.col(f"unit_{c}"))
+    of_unit = [f"unit_{c}" for c in unit]
     if by_day:
-        return deposits.join(carried, unit)
+        return deposits.join(carried, same_unit).drop(*of_unit)
 
     within = Window.partitionBy(*unit).orderBy("process_ts")
     known = F.sum("amount").over(within).cast("decimal(24,2)")
     before, so_far = F.col("running_total"), F.col("sum_in_hour")
     return (
         deposits.withColumns({"sum_in_hour": known, "count_in_hour": F.count(F.lit(1)).over(within)})
-        .join(carried, unit)
+        .join(carried, same_unit)
+        .drop(*of_unit)
         .withColumns(
             {
                 # SUM skips NULL amounts: the total is NULL only until the first known amount
@@ -124,7 +131,7 @@ def win_running_total(
         deposits = rows_of(deposits, lowest_ids(t.deposits, players, min_deposits))
     running = running_totals(deposits, by_day)
     if players is not None:
-        running = running.orderBy("user_id", "process_ts", "deposit_id")
+        running = running.orderBy("user_id", *in_time_order())
     return running.select("user_id", "process_date", "amount", "running_total", "deposit_number")
 
 
@@ -133,16 +140,17 @@ def win_days_since_prev(t: Tables, n: int = 50, direction: str = "prev") -> Data
 
     The first ``n`` rows in player order lie within the first ``2n + 1`` deposits
     of the ``n`` lowest ids that deposited twice, as each of them loses one row.
+    A deposit without a day comes last and is no day's distance from any other, so it is left out at once.
     """
-    deposits = t.deposits.filter(succeeded())
-    order = ["user_id", "process_ts", "deposit_id"]
+    deposits = t.deposits.filter(succeeded() & F.col("process_date").isNotNull())
+    order = [F.asc("user_id"), *in_time_order()]
     head = (
         rows_of(deposits, lowest_ids(deposits, n, at_least=2))
-        .select(*order, "process_date", "amount")
+        .select("user_id", "process_date", "process_ts", "deposit_id", "amount")
         .orderBy(*order)
         .limit(2 * n + 1)
     )
-    window = Window.partitionBy("user_id").orderBy("process_ts", "deposit_id")
+    window = Window.partitionBy("user_id").orderBy(*in_time_order())
     if direction == "prev":
         other, name, days = F.lag("process_date"), "prev_deposit_date", "days_since_prev"
     else:
@@ -164,7 +172,8 @@ def win_avg_gap(t: Tables, min_gaps: int = 5, n: int = 20) -> DataFrame:
     row per calendar day. Deposits of one day are zero days apart, and all gaps
     of a player add up to the span from the first day to the last.
     """
-    days = t.deposits.filter(succeeded()).groupBy("user_id", "process_date").agg(F.count(F.lit(1)).alias("n"))
+    dated = t.deposits.filter(succeeded() & F.col("process_date").isNotNull())
+    days = dated.groupBy("user_id", "process_date").agg(F.count(F.lit(1)).alias("n"))
     previous = F.lag("process_date").over(Window.partitionBy("user_id").orderBy("process_date"))
     per_player = (
         days.withColumn("gap", F.datediff("process_date", previous))
@@ -209,7 +218,7 @@ def win_mom_deposits(t: Tables) -> DataFrame:
         "prev_month_total",
         change.alias("mom_change"),
         pct(change, F.col("prev_month_total")).alias("mom_change_pct"),
-    ).orderBy("month")
+    ).orderBy(F.asc_nulls_last("month"))
 
 
 def win_mom_ggr(t: Tables) -> DataFrame:
@@ -222,20 +231,19 @@ def win_mom_ggr(t: Tables) -> DataFrame:
         F.round(previous, 2).alias("prev_month_ggr"),
         F.round(change, 2).alias("mom_change"),
         pct(change, F.abs(previous)).alias("mom_change_pct"),
-    ).orderBy("month")
+    ).orderBy(F.asc_nulls_last("month"))
 
 
 def win_cumulative_deposits(t: Tables) -> DataFrame:
-    return cumulative(_monthly_deposits(t), "month", "monthly_total", "cumulative_deposits").orderBy("month")
+    return cumulative(_monthly_deposits(t), "month", "monthly_total", "cumulative_deposits").orderBy(F.asc_nulls_last("month"))
 
 
 def win_first_last_deposit(t: Tables, n: int = 20) -> DataFrame:
     deposits = t.deposits.filter(succeeded())
-    moment = F.struct("process_ts", "deposit_id", "process_date", "amount")
     return (
         rows_of(deposits, lowest_ids(deposits, n))
         .groupBy("user_id")
-        .agg(F.min(moment).alias("first"), F.max(moment).alias("last"))
+        .agg(F.min(moment("amount")).alias("first"), F.max(moment("amount")).alias("last"))
         .select(
             "user_id",
             F.col("first.process_date").alias("first_deposit_date"),
@@ -252,7 +260,7 @@ def win_moving_avg_ggr(t: Tables, months: int = 3) -> DataFrame:
     return (
         moving_average(revenue, "month", "ggr", months, f"moving_avg_{months}m")
         .withColumn("ggr", F.round("ggr", 2))
-        .orderBy("month")
+        .orderBy(F.asc_nulls_last("month"))
     )
 
 
@@ -275,7 +283,8 @@ def win_pct_of_total(t: Tables, n: int = 30) -> DataFrame:
     return (
         totals.orderBy(*_by_total())
         .limit(n)
-        .join(F.broadcast(running), "total_deposited")
+        .join(running, running["total_deposited"].eqNullSafe(totals["total_deposited"]))
+        .drop(running["total_deposited"])
         .crossJoin(F.broadcast(whole))
         .select(
             "user_id",

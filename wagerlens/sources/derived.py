@@ -4,9 +4,10 @@ Each player gets a start day and a span of days from ``user_id``; order and ship
 dates are folded into that span, so that every retention band is filled.
 All rules use integer arithmetic. See FIXTURES.md for the SQL form.
 
-Every given order and line is read. The remainders below deal the rows out among the
-tables (an order becomes a deposit or a withdrawal) and leave each table without some
-players, so that outer joins and funnels have something to find.
+Every given row is in one of the tables: an order is a deposit or a withdrawal, a line is cash or tournament
+play, a customer is a player. The remainders below say which, so that each table lacks some players; the
+facts of a few customers go by another ``user_id`` that has no player row. Some facts are not
+known, a few keys are repeated and a few codes are wrong, so that outer joins, sums over NULL and checks have something to find.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from wagerlens.sources.text import RAW_COLUMNS
 EPOCH = "1995-01-01"
 SPAN_DAYS = (0, 6, 28, 85, 170, 360, 1500, 1500)
 PLAY_SHIFT = (3, 1, 0, 0, 0, 0)
+UNREGISTERED = 1_000_000_000_000
 
 
 def _lookup(values: tuple[int, ...], index: Column) -> Column:
@@ -37,8 +39,18 @@ def _day(user: str, date: str, shift: Column) -> Column:
 
 
 def _cents(units: Column) -> Column:
-    # twelve digits are all that DECIMAL(12,2) can hold, and keep the product in a machine word
-    return (units.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(12,2)")
+    # wide enough for one player with a third of a large table on one day
+    return (units.cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
+
+
+def _fact_user() -> Column:
+    """The player of an order; some customers' facts belong to players who never signed up."""
+    user = F.col("o_custkey")
+    return F.when(user % 211 == 0, user + UNREGISTERED).otherwise(user)
+
+
+def _unless(unknown: Column, value: Column) -> Column:
+    return F.when(~unknown, value)
 
 
 def _hundredths(column: str) -> Column:
@@ -70,34 +82,37 @@ class DerivedTables:
     @cached_property
     def players(self) -> DataFrame:
         key = F.col("c_custkey")
-        return (
-            self.read("customer")
-            .filter(key % 211 != 0)
-            .select(
-                key.alias("user_id"),
-                F.when(key % 97 != 0, (18 + (key * 37) % 53).cast("int")).alias("age_at_reg"),
-                F.when(key % 101 == 0, F.lit(None).cast("string"))
-                .when(key % 10 == 0, F.lit("F"))
-                .otherwise(F.lit("M"))
-                .alias("gender"),
-                F.col("c_nationkey").alias("country_id"),
-            )
+        return self.read("customer").select(
+            key.alias("user_id"),
+            _unless(key % 97 == 0, (18 + (key * 37) % 53).cast("int")).alias("age_at_reg"),
+            F.when(key % 101 == 0, F.lit(None).cast("string"))
+            .when(key % 10 == 0, F.lit("F"))
+            .when(key % 103 == 0, F.lit("X"))
+            .otherwise(F.lit("M"))
+            .alias("gender"),
+            F.col("c_nationkey").alias("country_id"),
         )
 
     def _transactions(self, id_name: str, keep: Column, shift: Column, divisor: Column, failed_status: str) -> DataFrame:
-        seconds = (F.col("o_orderkey") * 7919) % 86400
-        amount = _div(_hundredths("o_totalprice"), divisor)
+        order = F.col("o_orderkey")
+        seconds = _unless(order % 101 == 0, (order * 7919) % 86400)
+        amount = _unless(order % 107 == 0, _div(_hundredths("o_totalprice"), divisor))
         dated = (
             self.read("orders")
             .filter(keep)
             .select(
-                F.col("o_orderkey").alias(id_name),
-                F.col("o_custkey").alias("user_id"),
-                _day("o_custkey", "o_orderdate", shift).alias("process_date"),
+                F.when(order % 1009 == 0, order - 1).otherwise(order).alias(id_name),
+                _fact_user().alias("user_id"),
+                _unless(order % 109 == 0, _day("o_custkey", "o_orderdate", shift)).alias("process_date"),
                 seconds.alias("seconds"),
-                F.col("o_orderpriority").alias("pay_method_cat"),
+                F.concat(F.lit("method "), (order % 3).cast("string")).alias("pay_method"),
+                _unless(order % 113 == 0, F.col("o_orderpriority")).alias("pay_method_cat"),
+                _unless(order % 4 == 0, F.concat(F.lit("card "), (order % 5).cast("string"))).alias("card_type"),
                 _cents(amount).alias("amount"),
-                F.when(F.col("o_orderstatus") == "F", failed_status).otherwise("S").alias("status"),
+                F.when(order % 499 == 0, F.lit("X"))
+                .when(F.col("o_orderstatus") == "F", failed_status)
+                .otherwise("S")
+                .alias("status"),
             )
         )
         return dated.select(
@@ -107,19 +122,26 @@ class DerivedTables:
             F.timestamp_add("SECOND", F.col("seconds").cast("int"), F.col("process_date").cast("timestamp_ntz")).alias(
                 "process_ts"
             ),
+            "pay_method",
             "pay_method_cat",
+            "card_type",
             "amount",
             "status",
         )
 
+    @staticmethod
+    def _is_withdrawal() -> Column:
+        """A fifth of most players' orders; all those of some players, none of others. One predicate, never NULL,
+        so that it stays on this table."""
+        order, user = F.col("o_orderkey"), F.col("o_custkey")
+        fifth = F.when(order % 5 == 0, user % 3).otherwise(F.lit(0).cast("bigint"))
+        return F.greatest(fifth, F.when(user % 11 == 0, 1).otherwise(0)) > 0
+
     @cached_property
     def deposits(self) -> DataFrame:
         return self._transactions(
             "deposit_id",
-            # both remainders above zero; as one predicate it stays on this table, where a bare
-            # filter on the player would be copied to the other side of some joins only and
-            # keep equal scans from being shared
-            F.least(F.col("o_orderkey") % 5, F.col("o_custkey") % 11) > 0,
+            ~self._is_withdrawal(),
             F.lit(0),
             100 * (1 + F.col("o_custkey") % 40) * (1 + F.col("o_orderkey") % 9),
             "F",
@@ -129,13 +151,13 @@ class DerivedTables:
     def withdrawals(self) -> DataFrame:
         return self._transactions(
             "withdrawal_id",
-            (F.col("o_orderkey") % 5 == 0) & (F.col("o_custkey") % 3 != 0),
+            self._is_withdrawal(),
             (F.col("o_custkey") % 5) * 2,
             100 * (2 + F.col("o_custkey") % 40),
             "R",
         )
 
-    def _plays(self, keep: Column) -> DataFrame:
+    def _plays(self) -> DataFrame:
         orders = self.read("orders").select("o_orderkey", "o_custkey")
         user = F.col("o_custkey")
         shift = _lookup(PLAY_SHIFT, user % 6) * (1 + user % 9)
@@ -144,49 +166,53 @@ class DerivedTables:
         return (
             self.read("lineitem")
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-            .filter(keep)
             .select(
-                F.when(F.col("l_linestatus") == "O", CASH).otherwise(TOURNAMENT).alias("game_type"),
-                user.alias("user_id"),
+                F.when(self._is_tourn(), TOURNAMENT).otherwise(CASH).alias("game_type"),
+                _fact_user().alias("user_id"),
                 _day("o_custkey", "l_shipdate", shift).alias("play_date"),
                 F.col("l_quantity").cast("int").alias("qty"),
-                _div(price, 1000).alias("stake"),
-                _div(price * take * (7 + user % 10), 1000000).alias("win"),
+                _unless(user % 83 == 0, _div(price, 1000)).alias("stake"),
+                # some players break even, of some the winnings are not known
+                F.when(user % 53 == 0, _div(price, 1000))
+                .when(user % 89 != 0, _div(price * take * (7 + user % 10), 1000000))
+                .alias("win"),
             )
         )
 
-    _is_cash = staticmethod(lambda: (F.col("l_linestatus") == "O") & (F.col("o_custkey") % 7 != 0))
-    _is_tourn = staticmethod(lambda: (F.col("l_linestatus") == "F") & (F.col("o_custkey") % 5 != 0))
+    @staticmethod
+    def _is_tourn() -> Column:
+        user = F.col("o_custkey")
+        return ((F.col("l_linestatus") == "F") & (user % 5 != 0)) | (user % 7 == 0)
 
     @staticmethod
     def _daily(plays: DataFrame, *keys: str, units: Column, name: str) -> DataFrame:
         return plays.groupBy(*keys).agg(
-            units.cast("int").alias(name),
+            units.cast("bigint").alias(name),
             _cents(F.sum("stake")).alias("stakes"),
             _cents(F.sum("win")).alias("winnings"),
         )
 
     @cached_property
     def cash_days(self) -> DataFrame:
-        plays = self._plays(self._is_cash())
+        plays = self._plays().filter(F.col("game_type") == CASH)
         return self._daily(plays, "user_id", "play_date", units=F.sum("qty"), name="windows")
 
     @cached_property
     def tourn_days(self) -> DataFrame:
-        plays = self._plays(self._is_tourn())
+        plays = self._plays().filter(F.col("game_type") == TOURNAMENT)
         return self._daily(plays, "user_id", "play_date", units=F.count(F.lit(1)), name="entries")
 
     @cached_property
     def play_days(self) -> DataFrame:
         """Both games from one join, where the plain union would join twice."""
-        plays = self._plays(self._is_cash() | self._is_tourn())
+        plays = self._plays()
         return plays.groupBy("game_type", "user_id", "play_date").agg(
             _cents(F.sum("stake")).alias("stakes"), _cents(F.sum("win")).alias("winnings")
         )
 
 
 def as_text(t: Tables, table: str) -> DataFrame:
-    """A table back in its raw all-text form, NULL as blank text."""
+    """A table back in its raw all-text form; what is not known is blank where blank text is cleaned, else NULL."""
     df = getattr(t, table)
     ours = {
         "players": ["user_id", "age_at_reg", "gender", "country_id"],
@@ -203,15 +229,15 @@ def as_text(t: Tables, table: str) -> DataFrame:
             F.col("process_date"),
             F.col("process_date"),
             F.substring(F.col("process_ts").cast("string"), 12, 8),
-            F.lit(""),
+            F.col("pay_method"),
             F.col("pay_method_cat"),
-            F.lit(""),
+            F.col("card_type"),
             F.col("amount"),
             F.col("status"),
         ]
     return df.select(
         *[
-            F.coalesce(column.cast("string"), F.lit("")).alias(raw)
+            (F.coalesce(column.cast("string"), F.lit("")) if table == "players" else column.cast("string")).alias(raw)
             for column, raw in zip(columns, RAW_COLUMNS[table])
         ]
     )
