@@ -39,9 +39,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/wagerlens-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+#: Rows that one task writes of a step whose number of rows is known beforehand.
+TASK_ROWS = 100_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write a step to the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
+
+    If about so many ``rows`` are expected, they are written by as many tasks as these need, four at least.
+    """
     folder = shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // TASK_ROWS)))
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

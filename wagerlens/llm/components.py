@@ -11,7 +11,7 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, count: int) -> DataFrame:
     """Hang each node's larger (or smaller) neighbours on the least node among it and them.
 
     The least neighbour is a map-side minimum; it is written, so that joining it back is a broadcast when it is
@@ -20,13 +20,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     if not large:
         both = both.filter("v < u")
-    least = written(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
+    least = written(both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), count)
     hung = both.join(small_enough(least), "u")
     hung = hung.filter("v > u") if large else hung
     moved = hung.select(F.col("v").alias("u"), F.col("least").alias("v"))
     if not large:
         moved = moved.union(least.select("u", F.col("least").alias("v")))
-    return written(moved.filter("u <> v").distinct())
+    return written(moved.filter("u <> v").distinct(), count)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = written(links.distinct())
     before = _digest(current)
     while before[0]:
-        current = _stars(_stars(current, large=True), large=False)
+        # As many edges as there are now, or fewer: steps on few edges take few tasks.
+        current = _stars(_stars(current, True, before[0]), False, before[0])
         after = _digest(current)
         if after == before:
             break

@@ -12,8 +12,9 @@ Steps, each written to the shared folder:
 1. One pass over the texts gives each document's set size and 64-bit class (equal sets are one class from here on) and the
    tokens that repeat within a few million tokens of a task. Their summed counts are lower bounds of the true ones
    (lossy counting). The ``HEAVY_TOKENS`` most frequent form the order's heavy end; any order gives the same links.
-2. A second pass files the prefixes. Classes that meet under a key are kept with the key's pivot (its smallest set).
-3. Each class is compared with the pivot that it meets most often. Components of those links are contracted.
+2. A second pass files the prefixes. Only keys under which different classes meet are kept.
+3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
+   meets most often outside its component. Links join components. Rounds go on while large groups fall together.
 4. All pairs that meet under a key and are still in different components are compared. What is left
    out is connected already, so no component is missed, whatever the groups' sizes.
 
@@ -44,6 +45,11 @@ SHARE = (4, 5)
 HEAVY_TOKENS = 1 << 17
 #: Tokens that a task looks at together when it counts, and the least count there that it passes on.
 COUNT_WINDOW, COUNT_LEAST = 1 << 22, 4
+#: Pivots of a key and round, rounds at most, and how many pairs for each row that meets are left to the last step at once.
+#: They bear on the work, not on the result: what the rounds leave is compared in the last step.
+PIVOTS, ROUNDS, PAIRS_FOR_EACH = 4, 5, 2
+#: Tokens of the sets that a task remembers while it compares.
+REMEMBERED = 1 << 22
 #: Sizes from here on are one class of the cost model; enumeration never pays there.
 LARGEST_BOUNDARY = 512
 
@@ -216,14 +222,26 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, by their whole texts; a pair's texts are compared once."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        known: dict[int, np.ndarray] = {}
+        held = 0
+
+        def tokens_of(name: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            found = known.get(name)
+            if found is None:
+                found = shingles(text.as_py())
+                if held > REMEMBERED:
+                    known.clear()
+                    held = 0
+                known[name] = found
+                held += len(found)
+            return found
+
         for batch in batches:
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
             links = []
             for i, (left, right) in enumerate(zip(batch["text_a"], batch["text_b"])):
-                if b[i] != last[0]:  # rows come sorted by b
-                    last = b[i], shingles(right.as_py())
-                one, other = shingles(left.as_py()), last[1]
+                one, other = tokens_of(a[i], left), tokens_of(b[i], right)
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 if SHARE[1] * shared >= SHARE[0] * (len(one) + len(other) - shared):
                     links.append((a[i], b[i]))
@@ -235,6 +253,47 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
 
 
+def _pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """(a, b, n), a < b: pairs of a class and one of its keys' pivots in another component, by the keys that offer them.
+
+    A key's pivots are its first classes by ``PIVOTS`` hash orders, other ones each turn. They are
+    minima, so a key's rows are not gathered.
+    """
+    of_key = Window.partitionBy("key")
+    pivots = [
+        F.min(F.struct(F.xxhash64("class", F.lit(turn * PIVOTS + k)), "class", "size", "part")).over(of_key).alias(f"pivot_{k}") for k in range(PIVOTS)
+    ]
+    offered = apart.select("key", "class", "size", "part", *pivots)
+    offered = offered.select("key", "class", "size", "part", F.explode(F.array_distinct(F.array(*(f"pivot_{k}" for k in range(PIVOTS))))).alias("pivot"))
+    apart_yet = offered.filter("part <> pivot.part").filter(_can_link("size", "pivot.size"))
+    pair = F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")
+    return apart_yet.groupBy(*pair).agg(F.count("*").alias("n"))
+
+
+def _most_met(candidates: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, n), those that are among the ``PIVOTS`` most met of either class."""
+    both = candidates.select(F.col("a").alias("of"), "a", "b", "n").union(candidates.select(F.col("b").alias("of"), "a", "b", "n"))
+    # A pivot of thousands has as many rows here; they come in order and only the first are kept on either side of the shuffle.
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "a", "b"))
+    return both.withColumn("place", place).filter(f"place <= {PIVOTS}").select("a", "b").distinct()
+
+
+def _apart(met: DataFrame, components: DataFrame) -> DataFrame:
+    """The meetings (key, class, size, part) under keys where more than one component meets."""
+    joined = small_enough(written(components).withColumnRenamed("node", "class"))
+    of_key = Window.partitionBy("key")
+    parts = met.join(joined, "class", "left").select("key", "class", "size", F.coalesce("component", "class").alias("part"))
+    return parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high")).filter("low <> high").select("key", "class", "size", "part")
+
+
+def _pairs_left(apart: DataFrame) -> tuple[int, int]:
+    """How many pairs of rows meet under a key in different components, and how many rows there are."""
+    of_part = apart.groupBy("key", "part").agg(F.count("*").cast("double").alias("n"))
+    of_key = of_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    pairs, rows = of_key.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
+    return int(pairs or 0), int(rows or 0)
+
+
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(class, text) of the representatives of the classes in ``members`` (class, doc_id)."""
     wanted = members.select("doc_id").distinct()
@@ -265,33 +324,30 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     filed = _file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight, boundary)
     of_key = Window.partitionBy("key")
     met = written(
-        filed.select("*", F.min("class").over(of_key).alias("low"), F.max("class").over(of_key).alias("high"), F.min(F.struct("size", "class")).over(of_key).alias("pivot"))
-        .filter("low <> high").select("key", "class", "size", "pivot")
+        filed.select("*", F.min("class").over(of_key).alias("low"), F.max("class").over(of_key).alias("high"))
+        .filter("low <> high").select("key", "class", "size").distinct()
     )
     nodes = written(met.select("class").distinct())
     bodies = _bodies(rows, classes.join(nodes, "class", "left_semi"))
 
-    votes = (
-        met.filter("class <> pivot.class").filter(_can_link("size", "pivot.size"))
-        .groupBy("class", "pivot.class").agg(F.count("*").alias("n")).toDF("a", "b", "n")
-        .groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    )
-    tried = written(votes)
-    links = written(_linked(tried, bodies))
-
-    # Pairs that are still apart, under the keys where more than one component meets.
-    joined = small_enough(written(connected_components(links)))
-    left = met.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
-        "key", "class", "size", F.coalesce("component", "class").alias("part")
-    )
-    apart = written(
-        left.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high")).filter("low <> high").select("key", "class", "size", "part").distinct()
-    )
+    apart = met.withColumn("part", F.col("class"))
+    tried = links = None
+    for turn in range(ROUNDS):
+        candidates = _pivot_pairs(apart, turn)
+        if tried is not None:
+            candidates = candidates.join(tried, ["a", "b"], "left_anti")
+        now = written(_most_met(candidates))
+        found = written(_linked(now, bodies))
+        tried, links = (now.select("a", "b"), found) if tried is None else (tried.union(now.select("a", "b")), links.union(found))
+        apart = written(_apart(met, connected_components(links)))
+        pairs, meetings = _pairs_left(apart)
+        if pairs <= PAIRS_FOR_EACH * meetings:
+            break
     one, other = apart.toDF("key", "a", "size_a", "part_a"), apart.toDF("key", "b", "size_b", "part_b")
     rest = (
         one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
         .select("a", "b").distinct()
-        .join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     all_links = links.union(_linked(written(rest), bodies))
 
