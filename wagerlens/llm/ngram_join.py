@@ -15,8 +15,8 @@ Steps, each written to the shared folder:
 2. A second pass files the prefixes. Only keys under which different classes meet are kept.
 3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
    meets most often outside its component. Links join components. Rounds go on while large groups fall together.
-4. All pairs that meet under a key and are still in different components are compared. What is left
-   out is connected already, so no component is missed, whatever the groups' sizes.
+4. All pairs that meet under a key, are still in different components and meet often and early enough for the threshold
+   are compared. What is left out is connected already or cannot link, so no component is missed, whatever the groups' sizes.
 
 Comparisons are exact on 64-bit token hashes of whole texts.
 
@@ -47,7 +47,11 @@ HEAVY_TOKENS = 1 << 17
 COUNT_WINDOW, COUNT_LEAST = 1 << 22, 4
 #: Pivots of a key and round, rounds at most, and how many pairs for each row that meets are left to the last step at once.
 #: They bear on the work, not on the result: what the rounds leave is compared in the last step.
-PIVOTS, ROUNDS, PAIRS_FOR_EACH = 4, 5, 2
+PIVOTS, ROUNDS, PAIRS_FOR_EACH = 4, 3, 2
+#: Lists longer than this are long in the last step.
+LONG_LIST = 32
+#: Bits of a class's sketch.
+SKETCH = 1024
 #: Tokens of the sets that a task remembers while it compares.
 REMEMBERED = 1 << 22
 #: Sizes from here on are one class of the cost model; enumeration never pays there.
@@ -82,6 +86,15 @@ def class_of(tokens: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], np.uint64).view(np.int64)[0])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH`` cells hold an odd number of tokens, as 64-bit words.
+
+    Two sketches differ in at most as many bits as the sets differ in tokens.
+    """
+    odd = np.bincount((tokens % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def least_overlap(size: int) -> int:
     """Tokens that a set of this size shares with any set that it links with, at least."""
     return -(-SHARE[0] * size // SHARE[1])
@@ -173,16 +186,16 @@ def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
 
 
 def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray, boundary: int) -> DataFrame:
-    """(key, class, size): what each class files; once for each task that meets it."""
+    """(key, class, size, place): what each class files, with the token's place in its prefix or -1 for a subset; once a task."""
     order = docs.sparkSession.sparkContext.broadcast((heavy, weight))
     # Small sets from this size on can match a large one.
-    also_listed = least_overlap(boundary + 1)
+    listed = least_overlap(boundary + 1)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_heavy, weights = order.value
         seen: set[int] = set()
         for batch in batches:
-            keys, names, sizes = [], [], []
+            keys, names, sizes, places = [], [], [], []
             for raw in batch["text"].to_pylist():
                 tokens = shingles(raw)
                 size = len(tokens)
@@ -198,19 +211,22 @@ def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray, bound
                 if size <= boundary:
                     first, second = np.triu_indices(prefix_length(size, 2), 1)
                     low, high = np.minimum(tokens[first], tokens[second]), np.maximum(tokens[first], tokens[second])
-                    own.append(_mixed(low * _ODD[0] + high * _ODD[1] + _ODD[2]))
-                if size >= also_listed:
-                    own.append(tokens[: prefix_length(size, 1)])
-                for part in own:
+                    own.append((_mixed(low * _ODD[0] + high * _ODD[1] + _ODD[2]), np.full(len(low), -1)))
+                if size >= listed:
+                    width = prefix_length(size, 1)
+                    own.append((tokens[:width], np.arange(width)))
+                for part, place in own:
+                    places.append(place.astype(np.int32))
                     keys.append(part)
                     names.append(np.full(len(part), name, np.int64))
                     sizes.append(np.full(len(part), size, np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate(keys)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes))], ["key", "class", "size"]
+                    [_long(np.concatenate(keys)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
+                    ["key", "class", "size", "place"],
                 )
 
-    return docs.mapInArrow(filed, "key long, class long, size int")
+    return docs.mapInArrow(filed, "key long, class long, size int, place int")
 
 
 def _can_link(a: str, b: str) -> str:
@@ -218,6 +234,66 @@ def _can_link(a: str, b: str) -> str:
     return f"{SHARE[1]} * least({a}, {b}) >= {SHARE[0]} * greatest({a}, {b})"
 
 
+def _prefix(size: str) -> str:
+    return f"({size} - ceil({SHARE[0]} * {size} / {SHARE[1]}) + 1)"
+
+
+def _sure(a: str, b: str) -> str:
+    """How many tokens linked sets of these sizes have in both prefixes, at least.
+
+    Of the tokens that they share, the first k are at most ``k - 1 + size - overlap`` places from the start of either, so
+    those with places below the prefix length meet: ``prefix - (size - overlap)`` of them at least, for either set.
+    """
+    overlap = f"ceil({SHARE[0]} * ({a} + {b}) / {SHARE[0] + SHARE[1]})"
+    return f"least({_prefix(a)} - ({a} - {overlap}), {_prefix(b)} - ({b} - {overlap}))"
+
+
+def _enough_met(a: str, b: str, n: str, listed: int) -> str:
+    """Whether two sets that meet under at most ``n`` keys can link, for sets that file whole prefixes (``listed`` tokens or more)."""
+    return f"least({a}, {b}) < {listed} or {n} >= {_sure(a, b)}"
+
+
+def _pairs_to_compare(apart: DataFrame, bodies: DataFrame, listed: int) -> DataFrame:
+    """(a, b), a < b: the pairs of classes in different components that can link, by all keys under which they meet.
+
+    Short lists give their pairs with the number of keys shared; with as many more as both have keys in long lists, that
+    must be enough. Pairs that share keys of long lists only must have the first of these early enough in both
+    prefixes for the others to follow it, and sketches that do not differ by more than linked sets can.
+    """
+    rows = apart.withColumn("length", F.count("*").over(Window.partitionBy("key")))
+    is_long = F.expr(f"length > {LONG_LIST} and place >= 0")
+    rows = written(rows.withColumn("is_long", is_long))
+    longs = small_enough(written(rows.filter("is_long").groupBy("class").agg(F.count("*").alias("longs"))))
+    rows = rows.join(longs, "class", "left").select("key", "class", "size", "place", "part", F.coalesce("longs", F.lit(0)).alias("longs"), "is_long")
+    rows = written(rows)
+
+    def meeting(lists: DataFrame) -> DataFrame:
+        one, other = (lists.drop("is_long").toDF("key", x, f"size_{x}", f"place_{x}", f"part_{x}", f"longs_{x}") for x in "ab")
+        return one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
+
+    first = lambda *names: [F.first(n).alias(n) for n in names]
+    few = (
+        meeting(rows.filter("not is_long"))
+        .groupBy("a", "b").agg(F.count(F.when(F.expr("place_a >= 0 and place_b >= 0"), 1)).alias("n"), *first("size_a", "size_b", "longs_a", "longs_b"))
+        .filter(_enough_met("size_a", "size_b", "n + least(longs_a, longs_b)", listed))
+    )
+    sure = _sure("size_a", "size_b")
+    words = SKETCH // 64
+    sketches = bodies.select("class", *(F.col("sketch")[k].alias(f"s{k}") for k in range(words))).dropDuplicates(["class"])
+    long_rows = rows.filter("is_long").join(sketches, "class")
+    one, other = (
+        long_rows.select("key", F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "part", "longs", *(f"s{k}" for k in range(words)))))
+        for x in "ab"
+    )
+    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(words))
+    many = (
+        one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
+        .filter(f"{SHARE[0] + SHARE[1]} * ({differ}) <= {SHARE[1] - SHARE[0]} * (size_a + size_b)")
+        .filter(f"least(longs_a, longs_b) >= {sure} and place_a <= {_prefix('size_a')} - {sure} and place_b <= {_prefix('size_b')} - {sure}")
+    )
+    return few.select("a", "b").union(many.select("a", "b")).distinct()
+
+
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar, by their whole texts; a pair's texts are compared once."""
 
@@ -254,7 +330,7 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """(a, b, n), a < b: pairs of a class and one of its keys' pivots in another component, by the keys that offer them.
+    """(a, b, n, size_a, size_b), a < b: pairs of a class and one of its keys' pivots in another component, by the keys that offer them.
 
     A key's pivots are its first classes by ``PIVOTS`` hash orders, other ones each turn. They are
     minima, so a key's rows are not gathered.
@@ -266,8 +342,11 @@ def _pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
     offered = apart.select("key", "class", "size", "part", *pivots)
     offered = offered.select("key", "class", "size", "part", F.explode(F.array_distinct(F.array(*(f"pivot_{k}" for k in range(PIVOTS))))).alias("pivot"))
     apart_yet = offered.filter("part <> pivot.part").filter(_can_link("size", "pivot.size"))
-    pair = F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")
-    return apart_yet.groupBy(*pair).agg(F.count("*").alias("n"))
+    own, other = F.struct("class", "size"), F.struct("pivot.class", "pivot.size")
+    low, high = F.least(own, other), F.greatest(own, other)
+    pair = apart_yet.select("key", low["class"].alias("a"), high["class"].alias("b"), low["size"].alias("size_a"), high["size"].alias("size_b"))
+    # Two pivots of one key offer their pair twice.
+    return pair.distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
 
 
 def _most_met(candidates: DataFrame) -> DataFrame:
@@ -279,11 +358,11 @@ def _most_met(candidates: DataFrame) -> DataFrame:
 
 
 def _apart(met: DataFrame, components: DataFrame) -> DataFrame:
-    """The meetings (key, class, size, part) under keys where more than one component meets."""
+    """The meetings (key, class, size, place, part) under keys where more than one component meets."""
     joined = small_enough(written(components).withColumnRenamed("node", "class"))
     of_key = Window.partitionBy("key")
-    parts = met.join(joined, "class", "left").select("key", "class", "size", F.coalesce("component", "class").alias("part"))
-    return parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high")).filter("low <> high").select("key", "class", "size", "part")
+    parts = met.join(joined, "class", "left").select("key", "class", "size", "place", F.coalesce("component", "class").alias("part"))
+    return parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high")).filter("low <> high").drop("low", "high")
 
 
 def _pairs_left(apart: DataFrame) -> tuple[int, int]:
@@ -295,16 +374,18 @@ def _pairs_left(apart: DataFrame) -> tuple[int, int]:
 
 
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(class, text) of the representatives of the classes in ``members`` (class, doc_id)."""
+    """(class, text, sketch) of the representatives of the classes in ``members`` (class, doc_id)."""
     wanted = members.select("doc_id").distinct()
     found = docs.join(small_enough(written(wanted)), "doc_id", "left_semi")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [class_of(tokens) if len(tokens := shingles(raw)) else None for raw in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"]], ["class", "text"])
+            sets = [shingles(raw) for raw in batch["text"].to_pylist()]
+            names = [class_of(tokens) if len(tokens) else None for tokens in sets]
+            cells = pa.array([sketch(tokens) for tokens in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"], cells], ["class", "text", "sketch"])
 
-    return written(found.select("text").mapInArrow(named, "class long, text binary").filter("class is not null"))
+    return written(found.select("text").mapInArrow(named, "class long, text binary, sketch array<long>").filter("class is not null"))
 
 
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -325,15 +406,16 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of_key = Window.partitionBy("key")
     met = written(
         filed.select("*", F.min("class").over(of_key).alias("low"), F.max("class").over(of_key).alias("high"))
-        .filter("low <> high").select("key", "class", "size").distinct()
+        .filter("low <> high").select("key", "class", "size", "place").distinct()
     )
     nodes = written(met.select("class").distinct())
     bodies = _bodies(rows, classes.join(nodes, "class", "left_semi"))
 
     apart = met.withColumn("part", F.col("class"))
+    listed = least_overlap(boundary + 1)
     tried = links = None
     for turn in range(ROUNDS):
-        candidates = _pivot_pairs(apart, turn)
+        candidates = _pivot_pairs(apart, turn).filter(_enough_met("size_a", "size_b", "n", listed))
         if tried is not None:
             candidates = candidates.join(tried, ["a", "b"], "left_anti")
         now = written(_most_met(candidates))
@@ -341,14 +423,9 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
         tried, links = (now.select("a", "b"), found) if tried is None else (tried.union(now.select("a", "b")), links.union(found))
         apart = written(_apart(met, connected_components(links)))
         pairs, meetings = _pairs_left(apart)
-        if pairs <= PAIRS_FOR_EACH * meetings:
-            break
-    one, other = apart.toDF("key", "a", "size_a", "part_a"), apart.toDF("key", "b", "size_b", "part_b")
-    rest = (
-        one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
-        .select("a", "b").distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+        if pairs <= PAIRS_FOR_EACH * meetings or 50 * found.count() < links.count():
+            break  # little is left, or the rounds find little more
+    rest = _pairs_to_compare(apart, bodies, listed).join(tried, ["a", "b"], "left_anti")
     all_links = links.union(_linked(written(rest), bodies))
 
     linked = written(connected_components(all_links)).withColumnRenamed("node", "class")
