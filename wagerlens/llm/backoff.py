@@ -36,8 +36,6 @@ BLOCK_BYTES = 16 << 20
 DIGITS = 6
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-#: The key under which blocks add up their words.
-_TOTAL = np.uint64(0)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[bytes]]]:
@@ -75,10 +73,20 @@ def gram_keys(words: np.ndarray, places: np.ndarray, order: int) -> list[np.ndar
             total += words[ends - k] * _ODD[k]
             total = (total ^ (total >> np.uint64(29))) * _ODD[-1]
         total ^= total >> np.uint64(32)
-        found.append(np.maximum(total, np.uint64(1)))
+        found.append(np.maximum(total, np.uint64(1)))  # key 0 is for the number of words
     return found
 
 
+def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs; sorted in place, as a block's keys are what a worker's memory goes to."""
+    joined = np.concatenate(grams)
+    joined.sort()
+    first = np.ones(len(joined), bool)
+    np.not_equal(joined[1:], joined[:-1], out=first[1:])
+    place = np.flatnonzero(first)
+    return joined[place], np.diff(place, append=len(joined))
+
+
 def _places(ends: np.ndarray) -> np.ndarray:
     """Each word's place in its text."""
     sizes = np.diff(ends, prepend=0)
@@ -121,10 +129,9 @@ def backoff_scores(
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, raws in _blocks(batches):
             words, ends = word_hashes(raws)
-            grams = gram_keys(words, _places(ends), order)
-            keys, times = np.unique(np.concatenate(grams), return_counts=True)
-            del grams
-            keys, times = np.concatenate([[_TOTAL], keys]), np.concatenate([[len(words)], times])
+            keys, times = _distinct([np.zeros(1, np.uint64), *gram_keys(words, _places(ends), order)])
+            times[0] = len(words)  # of the key under which words are added up
+            del words, raws
             cuts = [*np.searchsorted(keys, np.array(starts, np.uint64)), len(keys)]
             parts = [p for p in range(len(starts)) if cuts[p] < cuts[p + 1]]
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +174,7 @@ def backoff_scores(
         places = _places(ends)
         grams = gram_keys(words, places, order)
         del words
-        known = np.unique(np.concatenate(grams))
+        known, _ = _distinct(grams)
         corpus = np.concatenate([_counts(data) for data in counts.sort_by("part")["times"].to_pylist()])
         total, corpus = float(corpus[0]), corpus[1:]
         level = np.ones(len(places), np.int64)
