@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from wagerlens.functions.columns import as_report
 from wagerlens.model import CASH
@@ -17,6 +18,7 @@ from wagerlens.operators import risk
 from wagerlens.operators import trading as trd
 from wagerlens.operators import vip
 from wagerlens.operators import windows as win
+from wagerlens.operators.players import first_deposits
 from wagerlens.plans.catalog import REPORTS
 
 
@@ -286,3 +288,36 @@ def test_decile_equals_ntile(tables, rows, spark, people):
     spark.createDataFrame([(u,) for u in range(people)], "u long").createOrReplaceTempView("people")
     want = [tuple(r) for r in spark.sql("SELECT u, ntile(10) OVER (ORDER BY u) FROM people ORDER BY u").collect()]
     assert rows(win.win_rank_deposits(t, n=50), "user_id", "decile") == want
+
+
+def _unknowns(tables, spark):
+    """A player with a deposit without a time, one without a day, and days with one side unknown."""
+    t = tables(
+        players=[(1, 30, "M", 1), (2, 40, "F", 1), (3, 50, "M", 1)],
+        cash=[(1, "2020-01-01", 1, "100.50", "90.25"), (1, "2020-01-02", 1, 50, None), (3, "2020-01-01", 1, 10, 12)],
+        deposits=[(1, "2020-02-01 10:00:00", 10, "S"), (1, "2020-02-02 10:00:00", 20, "S"), (1, "2020-02-03 09:00:00", 30, "S"), (1, "2020-02-04 09:00:00", 40, "S")],
+    )
+    second, fourth = F.col("deposit_id") == 2, F.col("deposit_id") == 4
+    t.deposits = t.deposits.withColumn("process_ts", F.when(~second & ~fourth, F.col("process_ts"))).withColumn(
+        "process_date", F.when(~fourth, F.col("process_date"))
+    )
+    return t
+
+
+def test_unknown_moments_come_last_and_lose_no_row(tables, spark, rows):
+    t = _unknowns(tables, spark)
+    for by_day in (False, True):
+        found = rows(win.win_running_total(t, players=None, by_day=by_day), "amount", "running_total", "deposit_number")
+        assert sorted(found) == [(10.0, 10.0, 1), (20.0, 30.0, 2), (30.0, 60.0, 3), (40.0, 100.0, 4)]
+    assert rows(first_deposits(t.deposits), "deposit_id") == [(1,)]
+    assert rows(win.win_first_last_deposit(t), "first_deposit_amount", "last_deposit_amount") == [(10.0, 40.0)]
+    assert [r[-1] for r in rows(win.win_days_since_prev(t))] == [1, 1]
+
+
+def test_one_unknown_side_does_not_take_the_other_away(tables, spark, rows):
+    t = _unknowns(tables, spark)
+    assert rows(fin.fin_total_ggr(t), "ggr")[0] == (58.25,)
+    assert rows(fin.fin_arpu(t), "total_players", "total_ggr") == [(2, 58.25)]
+    assert sorted(rows(trd.trd_pnl_distribution(t), "player_status", "player_count")) == [("Losing", 1), ("Profitable", 1)]
+    unknown = tables(cash=[(2, "2020-01-01", 1, 50, None)])
+    assert rows(trd.trd_pnl_distribution(unknown), "player_status", "player_count") == [("Break Even", 1)]

@@ -13,7 +13,7 @@ from wagerlens.operators.financial import fin_total_ggr
 from wagerlens.operators.payments import pay_peak_hours
 from wagerlens.sources.checks import check_domains, check_keys, verify_row_counts
 from wagerlens.sources.cleaning import clean_all, clean_deposits, clean_players, split_bad_rows
-from wagerlens.sources.store import load, prepare
+from wagerlens.sources.store import bad_rows, load, prepare, write_part
 from wagerlens.sources.text import RAW_COLUMNS, export_result, raw_schema, read_table
 from wagerlens.streaming.ingest import ingest_new_files
 
@@ -121,7 +121,7 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     landing, store = tmp_path / "landing", str(tmp_path / f"store-{uuid.uuid4().hex}")
     landing.mkdir()
     header = ",".join(RAW_COLUMNS["players"])
-    read = lambda: sorted(r.user_id for r in spark.read.schema(SCHEMAS["players"]).parquet(f"{store}/players").collect())
+    read = lambda: sorted(r.user_id for r in spark.read.schema(SCHEMAS["players"]).parquet(f"{store}/players/*").collect())
 
     (landing / "a.csv").write_text(f"{header}\n1,34,M,40\n2,,F,\n")
     ingest_new_files(spark, "players", str(landing), store).awaitTermination()
@@ -148,3 +148,56 @@ def test_load_and_report_jobs(spark, raw_dir, tmp_path):
     ]
     with pytest.raises(ValueError, match="no such report: nothing"):
         main(["report", store, str(out), "nothing"])
+
+
+def _store(tmp_path):
+    return str(tmp_path / f"store-{uuid.uuid4().hex}")
+
+
+def test_a_store_can_be_loaded_and_topped_up(spark, raw_dir, tmp_path):
+    store, landing = _store(tmp_path), tmp_path / "landing"
+    landing.mkdir()
+    prepare(spark, raw_dir, store)
+    before = load(spark, store).players.count()
+    header = ",".join(RAW_COLUMNS["players"])
+    for k, name in enumerate("ab"):
+        (landing / f"{name}.csv").write_text(f"{header}\n{9000 + k},34,M,40\n")
+        ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+        assert load(spark, store).players.count() == before + k + 1
+    prepare(spark, raw_dir, store)  # a second load replaces the first
+    assert load(spark, store).players.count() == before + 2
+
+
+def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
+    store = _store(tmp_path)
+    raw = spark.createDataFrame([("1", "34", "M", "40")], raw_schema("players"))
+    for _ in range(2):
+        write_part(raw, "players", store, "batch-000000000")
+    assert spark.read.parquet(f"{store}/players/*").count() == 1
+
+
+def test_ingest_refuses_a_swapped_header(spark, tmp_path):
+    store, landing = _store(tmp_path), tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text("UserID,CountryID,Gender,SystemAgeAsOfReg\n5,276,M,33\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+
+
+def test_tolerant_jobs_set_bad_rows_aside(spark, tmp_path, capsys):
+    from wagerlens.__main__ import main
+
+    store, landing = _store(tmp_path), tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text(",".join(RAW_COLUMNS["players"]) + "\n1,34,M,40\nx,34,M,40\n2,old,M,40\n")
+    main(["ingest", "players", str(landing), store, "--tolerant"])
+    assert spark.read.parquet(f"{store}/players/*").count() == 1
+    assert sorted(r.UserID for r in bad_rows(spark, store, "players").collect()) == ["2", "x"]
+    assert "players: 2 rows set aside" in capsys.readouterr().out
+
+
+def test_strict_cleaning_refuses_a_missing_owner(spark):
+    row = {name: None for name in RAW_COLUMNS["deposits"]} | {"DepositID": "5", "Amount": "1.00", "Status": "S"}
+    raw = spark.createDataFrame([tuple(row.values())], raw_schema("deposits"))
+    with pytest.raises(Exception, match="user_id is missing"):
+        clean_deposits(raw).collect()

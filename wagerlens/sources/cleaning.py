@@ -1,7 +1,7 @@
 """From all-text frames to typed tables.
 
 ``clean_*`` is strict: text that does not parse fails the job, as a column type
-change does in a database. ``split_bad_rows`` is the tolerant path for feeds with
+change does in a database, and so does a missing key or player. ``split_bad_rows`` is the tolerant path for feeds with
 damaged rows; it keeps every row, on one side or the other.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructField
 
 from wagerlens.model import SCHEMAS, Tables
 
@@ -49,7 +50,8 @@ COLUMN_SOURCES: dict[str, dict[str, str | tuple[str, str]]] = {
     "deposits": {"deposit_id": "DepositID", **_PAYMENT_COLUMNS},
     "withdrawals": {"withdrawal_id": "WithdrawalID", **_PAYMENT_COLUMNS},
 }
-# Columns in which blank text means "not known".
+# Columns in which blank text means "not known". The files' own cleaning says so of age and country; a blank
+# gender is taken the same way.
 BLANK_IS_NULL = {"age_at_reg", "gender", "country_id"}
 
 
@@ -62,12 +64,13 @@ def _text(name: str, source: str | tuple[str, str]) -> Column:
 
 
 def _clean(raw: DataFrame, table: str) -> DataFrame:
-    return raw.select(
-        *[
-            _text(field.name, COLUMN_SOURCES[table][field.name]).cast(field.dataType).alias(field.name)
-            for field in SCHEMAS[table].fields
-        ]
-    )
+    def typed(field: StructField) -> Column:
+        value = _text(field.name, COLUMN_SOURCES[table][field.name]).cast(field.dataType)
+        if not field.nullable:
+            value = F.coalesce(value, F.raise_error(F.lit(f"{table}: {field.name} is missing")).cast(field.dataType))
+        return value.alias(field.name)
+
+    return raw.select(*[typed(field) for field in SCHEMAS[table].fields])
 
 
 def clean_players(raw: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The cleaned tables as Parquet: load once, query many times.
+"""The cleaned tables as Parquet: load, top up, query many times.
+
+A table is a folder of parts: ``load`` from the full load, one more for each batch that was
+ingested. A part is written whole, and again if its job is repeated, so no row is lost or
+doubled whichever job wrote it. Rows that do not parse go to ``_bad/<table>`` in the same
+parts, when a load is asked to be tolerant.
 
 The facts are not bucketed by player. Every per-player question pre-aggregates
 before its shuffle, so a player who owns a third of all rows costs a few partial
@@ -7,23 +12,39 @@ rows per task; one bucket per player hash would put those rows in a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from wagerlens.model import SCHEMAS, Tables
-from wagerlens.sources.cleaning import CLEANERS
-from wagerlens.sources.text import read_table
+from wagerlens.sources.cleaning import CLEANERS, split_bad_rows
+from wagerlens.sources.text import RAW_COLUMNS, raw_schema, read_table
+
+LOAD = "load"
+
 
+def write_part(raw: DataFrame, table: str, store_dir: str, part: str, tolerant: bool = False) -> None:
+    """Clean raw rows into one part of a stored table; with ``tolerant``, set aside the rows that do not parse."""
+    if tolerant:
+        good, bad = split_bad_rows(raw, table)
+        bad.write.mode("overwrite").parquet(f"{store_dir}/_bad/{table}/{part}")
+    else:
+        good = CLEANERS[table](raw)
+    good.write.mode("overwrite").parquet(f"{store_dir}/{table}/{part}")
 
-def prepare(spark: SparkSession, raw_dir: str, store_dir: str) -> None:
-    """Text files ``raw_dir/<table>.csv`` to Parquet ``store_dir/<table>``, one map-only job each."""
-    for table, clean in CLEANERS.items():
-        clean(read_table(spark, table, f"{raw_dir}/{table}.csv")).write.mode("overwrite").parquet(
-            f"{store_dir}/{table}"
-        )
+
+def prepare(spark: SparkSession, raw_dir: str, store_dir: str, tolerant: bool = False) -> None:
+    """Text files ``raw_dir/<table>.csv`` to the store, map-only. A second load replaces the first, not what was ingested."""
+    for table in CLEANERS:
+        write_part(read_table(spark, table, f"{raw_dir}/{table}.csv"), table, store_dir, LOAD, tolerant)
 
 
 def load(spark: SparkSession, store_dir: str) -> Tables:
-    """Open a prepared store. The schema is given, so no footers are read to infer it."""
-    return Tables(
-        **{name: spark.read.schema(schema).parquet(f"{store_dir}/{name}") for name, schema in SCHEMAS.items()}
-    )
+    """Open a store. The schema is given, so no footers are read to infer it."""
+    return Tables(**{name: spark.read.schema(schema).parquet(f"{store_dir}/{name}/*") for name, schema in SCHEMAS.items()})
+
+
+def bad_rows(spark: SparkSession, store_dir: str, table: str) -> DataFrame:
+    """The raw rows of a table that tolerant loads set aside; none if there was no such load."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store_dir}/_bad/{table}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], raw_schema(table)).select(RAW_COLUMNS[table])
+    return spark.read.schema(raw_schema(table)).parquet(f"{store_dir}/_bad/{table}/*")

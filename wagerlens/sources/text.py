@@ -21,14 +21,18 @@ def raw_schema(table: str) -> StructType:
     return StructType([StructField(name, StringType()) for name in RAW_COLUMNS[table]])
 
 
+# One definition for batch and stream: a header that does not match the columns is refused.
+CSV_OPTIONS = {"header": True, "enforceSchema": False}
+
+
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Read one raw table as text: fixed columns, no inference pass over the data."""
-    return (
-        spark.read.schema(raw_schema(table))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    return spark.read.schema(raw_schema(table)).options(**CSV_OPTIONS).csv(path)
+
+
+def stream_table(spark: SparkSession, table: str, folder: str) -> DataFrame:
+    """The same for files that arrive in a folder."""
+    return spark.readStream.schema(raw_schema(table)).options(**CSV_OPTIONS).csv(folder)
 
 
 def export_result(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -1,19 +1,20 @@
 """The load-and-clean job for a landing folder that keeps receiving raw files.
 
 Reports are batch queries over whole tables; only the load is incremental. Each
-file is cleaned once, by the same rules as a full load, and the file sink makes
-the rows of a batch visible all at once.
+file is cleaned once, by the same reader and rules as a full load. A batch is one part of
+the store, named by the job's checkpoint and the batch number: a batch that is
+repeated after a failure overwrites its part, and a full load lies beside it.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from wagerlens.sources.cleaning import CLEANERS
-from wagerlens.sources.text import raw_schema
+from wagerlens.sources.store import write_part
+from wagerlens.sources.text import stream_table
 
 
 def checkpoint_folder(spark: SparkSession, store_dir: str, table: str) -> str:
@@ -25,13 +26,18 @@ def checkpoint_folder(spark: SparkSession, store_dir: str, table: str) -> str:
     return f"{base}/ingest/{store}/{table}"
 
 
-def ingest_new_files(spark: SparkSession, table: str, landing_dir: str, store_dir: str) -> StreamingQuery:
+def ingest_new_files(
+    spark: SparkSession, table: str, landing_dir: str, store_dir: str, tolerant: bool = False
+) -> StreamingQuery:
     """Append files not seen before from ``landing_dir`` to the stored ``table``, then stop."""
-    raw = spark.readStream.schema(raw_schema(table)).option("header", True).csv(landing_dir)
+
+    def add(batch: DataFrame, number: int) -> None:
+        write_part(batch, table, store_dir, f"batch-{number:09d}", tolerant)
+
     return (
-        CLEANERS[table](raw)
-        .writeStream.format("parquet")
+        stream_table(spark, table, landing_dir)
+        .writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint_folder(spark, store_dir, table))
         .trigger(availableNow=True)
-        .start(f"{store_dir}/{table}")
+        .start()
     )
