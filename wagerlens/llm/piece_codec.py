@@ -77,7 +77,7 @@ def merge_all(text: str, ranks: dict[str, float]) -> list[tuple[str, str]]:
 
 
 def read_pieces(path: str) -> Pieces:
-    """Read a ``.model`` file of the BPE kind with identity normalisation (checked on samples), through its library."""
+    """Read a ``.model`` file of the BPE kind with identity normalisation, through its library; other kinds are refused on a sample."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,10 +101,14 @@ def read_pieces(path: str) -> Pieces:
         bytes([int(text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else text[i].replace(MARK, " ").encode()
         for i in range(size)
     ]
-    return Pieces(
+    found = Pieces(
         ids, ranks, halves, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(),
         max(map(len, halves), default=1), tails, not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
     )
+    sample = " ".join(piece.replace(MARK, " ") + other for piece, other in zip(list(ids)[:500], reversed(list(ids))))
+    if np.frombuffer(encoder(found)(sample), np.int32).tolist() != model.encode(sample):
+        raise ValueError("the model does not merge pieces by rank")
+    return found
 
 
 def stable(left: str, right: str, pieces: Pieces) -> bool:
