@@ -113,8 +113,9 @@ def test_shards_round_trip(spark, documents, odd_rows, tmp_path):
     ranks = S.read_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = documents(odd_rows).coalesce(2)
-    manifest = S.write_shards(docs, RANKS, str(tmp_path / "s"), length=64, per_shard=50).collect()
-    total = len(manifest)
+    manifest, total = S.write_shards(docs, RANKS, str(tmp_path / "s"), length=64, per_shard=50)
+    manifest = manifest.collect()
+    assert total == len(manifest)
     assert sorted(r.slot for r in manifest) == sorted(r.sequence for r in manifest) == list(range(total))
     body = {r.slot: r for r in S.read_slots(spark, str(tmp_path / "s"), 0, total, 64, 50).collect()}
     assert len(body) == total and all(r.shard == s // 50 and r.offset == s % 50 * 129 for s, r in body.items())
@@ -125,12 +126,23 @@ def test_shards_round_trip(spark, documents, odd_rows, tmp_path):
     assert resumed == set(range(45, min(60, total)))
     owners = {i for r in manifest for i in r.doc_ids}
     assert owners == {i for i, _, _ in odd_rows}
-    again = S.write_shards(docs, RANKS, str(tmp_path / "t"), length=64, per_shard=50).collect()
+    again = S.write_shards(docs, RANKS, str(tmp_path / "t"), length=64, per_shard=50)[0].collect()
     assert sorted(map(str, again)) == sorted(map(str, manifest))
 
 
 def test_shards_of_nothing(documents, tmp_path):
-    assert S.write_shards(documents([]), RANKS, str(tmp_path / "s")).count() == 0
+    manifest, total = S.write_shards(documents([]), RANKS, str(tmp_path / "s"))
+    assert manifest.count() == total == 0
+
+
+def test_ids_match_the_library(strange_texts):
+    import tiktoken
+
+    ranks = S.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    write = S.id_writer(ranks)
+    texts = [*strange_texts, " a b", "a b ", "a\nb c", "a b\n", " "]
+    assert [np.frombuffer(write(x), np.uint16).tolist() for x in texts] == [library.encode_ordinary(x) for x in texts]
 
 
 def test_registered_shards(spark):

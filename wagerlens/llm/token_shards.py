@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -50,10 +52,25 @@ def id_writer(ranks: dict[bytes, int]) -> Callable[[str], bytes]:
     """A function from a text to its ids as 16-bit integers; pieces seen of late come from a bounded memo."""
     import tiktoken
 
+    if sys.byteorder != "little":
+        raise RuntimeError("records are little-endian")
     library = tiktoken.Encoding("given", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
-    memo = Memo(lambda piece: np.array(library.encode_ordinary(piece), np.uint16).tobytes(), MEMO_ENTRIES)
+
+    def ids(piece: str) -> bytes:
+        return array("H", library.encode_ordinary(piece)).tobytes()
+
+    plain, spaced = Memo(ids, MEMO_ENTRIES), Memo(lambda word: ids(" " + word), MEMO_ENTRIES)
     cut = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
-    return lambda text: b"".join(map(memo.__getitem__, cut(text)))
+    beside_space = re.compile(f" [{WHITE_SPACE}]|[{WHITE_SPACE}] ").search
+
+    def write(text: str) -> bytes:
+        if beside_space(text):
+            return b"".join(map(plain.__getitem__, cut(text)))
+        # Where single spaces stand between other text, the library cuts before each of them.
+        words = text.split(" ")
+        return plain[words[0]] + b"".join(map(spaced.__getitem__, words[1:]))
+
+    return write
 
 
 def feistel(index: np.ndarray, count: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -99,8 +116,8 @@ def _streams(write: Callable[[str], bytes], end: bytes, batches: Iterator[pa.Rec
 
 def write_shards(
     docs: DataFrame, path: str, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """Write the shards below ``folder``; return slot, sequence, n_tokens, doc_ids of every sequence, a lazy frame."""
+) -> tuple[DataFrame, int]:
+    """Write the shards below ``folder``; return slot, sequence, n_tokens, doc_ids of every sequence, and how many there are."""
     spark = docs.sparkSession
     rows = texts(docs, id_column, text_column)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -153,7 +170,7 @@ def write_shards(
             records.repartition(-(-count // per_shard), "shard").sortWithinPartitions("shard", "slot").select("shard", "record")
             .write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(folder)
         )
-    return plan.mapInArrow(placed, f"slot long, sequence long, n_tokens int, doc_ids array<{kind}>")
+    return plan.mapInArrow(placed, f"slot long, sequence long, n_tokens int, doc_ids array<{kind}>"), count
 
 
 def _groups(items: Iterator[tuple[bytes, list]], most: int = 1024) -> Iterator[list[tuple[bytes, list]]]:
@@ -163,16 +180,23 @@ def _groups(items: Iterator[tuple[bytes, list]], most: int = 1024) -> Iterator[l
 
 def read_slots(spark: SparkSession, folder: str, start: int, stop: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """slot, shard, offset, body of the slots from ``start`` to before ``stop``; only the shards that hold them are read."""
-    stride = 2 * length + 1
+    size = 2 * length
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     wanted = files.filter(F.col("shard").between(start // per_shard, max(start, stop - 1) // per_shard))
-    record = F.expr(
-        f"transform(sequence(0, cast(length / {stride} as int) - 1), "
-        f"n -> named_struct('place', cast(n as long), 'body', substring(content, n * {stride} + 1, {2 * length})))"
-    )
-    found = wanted.select(F.col("shard").cast("long").alias("shard"), F.explode(record).alias("record"))
-    slot = F.col("shard") * per_shard + F.col("record.place")
-    return found.select(slot.alias("slot"), "shard", (F.col("record.place") * stride).alias("offset"), "record.body").filter(F.col("slot").between(start, stop - 1))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(batch["shard"].to_pylist(), batch["content"]):
+                body = memoryview(content.as_buffer())
+                places = [k for k in range(len(body) // (size + 1)) if start <= shard * per_shard + k < stop]
+                for some in (places[k : k + 1024] for k in range(0, len(places), 1024)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard * per_shard + k for k in some], pa.int64()), pa.array([shard] * len(some), pa.int64()),
+                         pa.array([k * (size + 1) for k in some], pa.int64()), pa.array([bytes(body[k * (size + 1) :][:size]) for k in some], pa.binary())],
+                        ["slot", "shard", "offset", "body"],
+                    )
+
+    return wanted.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(records, "slot long, shard long, offset long, body binary")
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +204,9 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_folder(spark)
-    manifest = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), folder)
-    if manifest.isEmpty():
-        return manifest.select("slot", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("offset"), "sequence", "n_tokens", "doc_ids", F.lit(0).cast("long").alias("crc"))
-    back = read_slots(spark, folder, 0, 1 << 62).select("slot", "shard", "offset", F.crc32("body").alias("crc"))
+    manifest, count = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), folder)
+    if not count:
+        nothing = F.lit(0).cast("long")
+        return manifest.select("slot", nothing.alias("shard"), nothing.alias("offset"), "sequence", "n_tokens", "doc_ids", nothing.alias("crc"))
+    back = read_slots(spark, folder, 0, count).select("slot", "shard", "offset", F.crc32("body").alias("crc"))
     return manifest.join(back, "slot").select("slot", "shard", "offset", "sequence", "n_tokens", "doc_ids", "crc")
