@@ -13,7 +13,8 @@ from wagerlens.operators import payments as pay
 from wagerlens.operators import vip
 from wagerlens.operators import windows as win
 from wagerlens.plans.catalog import REPORTS
-from wagerlens.sources.store import load
+from wagerlens.operators import retention as ret
+from wagerlens.sources.store import LOAD, load
 
 ROWS = 30_000
 
@@ -114,7 +115,7 @@ def plan_of(spark, tmp_path_factory):
     from wagerlens.model import SCHEMAS
 
     for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.parquet(f"{store}/{name}")
+        spark.createDataFrame([], schema).write.parquet(f"{store}/{name}/{LOAD}")
     stored = load(spark, store)
 
     def plan(name):
@@ -189,3 +190,23 @@ def test_amount_filter_reaches_the_scan(plan_of):
     plan = plan_of("win_mom_deposits")
     assert "PushedFilters: [IsNotNull(status), EqualTo(status,S)]" in plan
     assert "ReadSchema: struct<process_date:date,amount:decimal(12,2),status:string>" in plan
+
+
+def test_session_gaps_reduce_repeated_days_before_the_shuffle(spark, skewed, plan_of):
+    repeated = Tables(skewed.players, skewed.cash_days.unionAll(skewed.cash_days).unionAll(skewed.cash_days), skewed.tourn_days, skewed.deposits, skewed.withdrawals)
+    same(ret.ret_session_gaps(repeated), ret.ret_session_gaps(skewed))
+    plan = plan_of("ret_session_gaps")
+    below = plan[plan.rindex("hashpartitioning(user_id") :]
+    assert re.search(r"HashAggregate\(keys=\[user_id#\d+L?, play_date#\d+\], functions=\[\]", below)
+
+
+def test_long_lists_are_not_broadcast_by_force(spark, skewed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for report in (win.win_first_record, win.win_days_since_prev, win.win_pct_of_total, win.win_first_last_deposit):
+            long = report(skewed, n=1_000_000)
+            plan = long._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"BroadcastHashJoin", plan), report.__name__
+            assert long.count() >= report(skewed).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -2,7 +2,8 @@
 
 Money and percentages stay DECIMAL. Sums are cast to ``EXACT`` before a division
 so that Spark keeps ten or more decimals of the quotient; the half-up rounding
-that follows is then the rounding of the true value.
+that follows is then the rounding of the true value but for quotients within
+10^-10 of a rounding limit, which were rounded there already.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ pre-aggregated, so a value shared by a third of the rows is one row), then the
 counts are summed into *slots*: a monotone function of the value with a fixed
 number of outcomes (2,048 for each factor of e, some 40,000 up to a billion). Running
 counts over the slots tell which slot holds a wanted position; only the values of
-that slot are looked at one by one, and they differ by less than 0.05 %.
+that slot are looked at one by one, in one task. They differ by less than 0.05 %, so there are
+at most as many as distinct cents within 0.05 % of the value: 50 at 1,000, 50,000 at a million.
 """
 
 from __future__ import annotations

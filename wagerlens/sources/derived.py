@@ -62,22 +62,20 @@ def _div(n: Column, d: Column | int) -> Column:
     return F.call_function("div", n, F.lit(d).cast("bigint"))
 
 
-_KNOWN_SCHEMAS: dict[str, StructType] = {}
-
-
 class DerivedTables:
     """Same attributes as ``Tables``; each frame is built on first use."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._directory = directory
+        self._schemas: dict[str, StructType] = {}
 
     def read(self, name: str) -> DataFrame:
-        """A given table. Its schema is read from a footer once per process, not once per query."""
+        """A given table. Its schema is read from a footer once, however many frames use it."""
         path = f"{self._directory}/{name}.parquet"
-        if path not in _KNOWN_SCHEMAS:
-            _KNOWN_SCHEMAS[path] = self._spark.read.parquet(path).schema
-        return self._spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self._spark.read.parquet(path).schema
+        return self._spark.read.schema(self._schemas[path]).parquet(path)
 
     @cached_property
     def players(self) -> DataFrame:
