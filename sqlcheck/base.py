@@ -127,12 +127,17 @@ def sql(tables: str, select: str, **steps: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
+# A quotient that lies on a rounding limit in decimals may lie a hair below it as a DOUBLE. Other quotients of
+# cents and counts are further from a limit than this lifts them.
+_TO_LIMIT = "(1+1e-12)"
+
+
 def pct(n: str, d: str, places: int = 2) -> str:
-    return f"CAST(ROUND(100.0*({n})/NULLIF({d},0), {places}) AS DOUBLE)"
+    return f"CAST(ROUND(100.0*({n})/NULLIF({d},0)*{_TO_LIMIT}, {places}) AS DOUBLE)"
 
 
 def ratio(n: str, d: str, places: int = 2) -> str:
-    return f"CAST(ROUND(1.0*({n})/NULLIF({d},0), {places}) AS DOUBLE)"
+    return f"CAST(ROUND(1.0*({n})/NULLIF({d},0)*{_TO_LIMIT}, {places}) AS DOUBLE)"
 
 
 def median(value: str, places: int) -> str:
