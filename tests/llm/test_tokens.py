@@ -72,8 +72,9 @@ def test_the_window_stays_small():
 
     pieces = C.read_pieces(PIECES)
     text = "".join(random.Random(2).choice(["the", "ing", "er", "tion", "x", "q"]) for _ in range(5000))
-    parts = list(C.committed(text, pieces, lambda pair: C.stable(*pair, pieces)))
-    assert len(parts) > 100 and max(sum(map(len, part)) for part in parts) < 40 * pieces.longest
+    lattice = C.Lattice(pieces)
+    parts = list(lattice.committed(text))
+    assert len(parts) > 100 and max(sum(len(lattice.units[unit]) for unit, _ in part) for part in parts) < 40 * pieces.longest
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     whole = np.frombuffer(C.encoder(pieces)(text), np.int32).tolist()
     assert whole == library.encode(text)

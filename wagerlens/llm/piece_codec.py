@@ -32,7 +32,9 @@ from wagerlens.llm.bpe_count import Memo
 from wagerlens.llm.common import table, texts
 
 MAX_PIECES = 1_000_000
-MEMO_ENTRIES, MEMO_LENGTH = 150_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 200_000, 48
+#: Pairs of units that a worker remembers as stable or not.
+DECIDED = 1_000_000
 MARK = "▁"
 
 
@@ -46,8 +48,6 @@ class Pieces:
     byte_ids: tuple[int, ...]
     unknown: int
     longest: int
-    #: The longest stable piece by its last two characters.
-    tails: dict[str, int]
     cut_at_marks: bool
     #: What each id decodes to.
     bytes_of_id: tuple[bytes, ...]
@@ -94,16 +94,13 @@ def read_pieces(path: str) -> Pieces:
     for piece in ids:
         if len(piece) > 1 and (merges := merge_all(piece, ranks)) and "".join(merges[-1]) == piece:
             halves[piece] = merges[-1]
-    tails: dict[str, int] = {}
-    for piece in halves:
-        tails[piece[-2:]] = max(len(piece), tails.get(piece[-2:], 1))
     decoded = [
         bytes([int(text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else text[i].replace(MARK, " ").encode()
         for i in range(size)
     ]
     found = Pieces(
         ids, ranks, halves, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(),
-        max(map(len, halves), default=1), tails, not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
+        max(map(len, halves), default=1), not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
     )
     sample = " ".join(piece.replace(MARK, " ") + other for piece, other in zip(list(ids)[:500], reversed(list(ids))))
     if np.frombuffer(encoder(found)(sample), np.int32).tolist() != model.encode(sample):
@@ -135,62 +132,113 @@ def stable(left: str, right: str, pieces: Pieces) -> bool:
             limit, right = last_right, halves[right][0]
 
 
-def committed(text: str, pieces: Pieces, is_stable: Callable[[tuple[str, str]], bool]) -> Iterator[list[str]]:
-    """The pieces of a text, in lists that are emitted as soon as all surviving paths agree on them."""
-    longest, halves, tails = pieces.longest, pieces.halves, pieces.tails
-    done = 0
-    back: list[int] = []  # where the survivor at each position after ``done`` starts
-    for end in range(1, len(text) + 1):
-        for start in range(max(done, end - tails.get(text[max(end - 2, 0) : end], 1)), end):
-            piece = text[start:end]
-            if (end - start == 1 or piece in halves) and (start == 0 or is_stable((text[back[start - done - 1] if start > done else before : start], piece))):
-                back.append(start)
-                break
-        else:
-            raise AssertionError("some piece is stable everywhere")
-        if len(back) >= 4 * longest:
-            ends = set(range(end - longest + 1, end + 1))
-            while len(ends) > 1:  # go back from the last of them until one boundary is left
-                late = max(ends)
-                ends.remove(late)
-                ends.add(back[late - done - 1] if late > done else done)
-            boundary = ends.pop()
-            if boundary > done:
-                found, before = _trace(text, back, done, boundary)
-                yield found
-                back, done = back[boundary - done :], boundary
-    if done < len(text):
-        yield _trace(text, back, done, len(text))[0]
-
-
-def _trace(text: str, back: list[int], done: int, end: int) -> tuple[list[str], int]:
-    """The pieces from ``done`` to ``end``, and where the last of them starts."""
-    found, start = [], end
-    while start > done:
-        start, stop = back[start - done - 1], start
-        found.append(text[start:stop])
-    return found[::-1], end - len(found[0])
+class Lattice:
+    """The units of a model (its characters and stable pieces) numbered, to be found backwards from where they end.
+
+    A node leads by the character before to the next node and, by 0, to the unit that the characters on the
+    way to it spell. Whether two units are stable side by side is decided once and kept in a bounded table.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.units = [piece for piece in pieces.ids if len(piece) == 1 or piece in pieces.halves]
+        self.root: dict = {}
+        for number, unit in enumerate(self.units):
+            node = self.root
+            for char in reversed(unit):
+                node = node.setdefault(char, {})
+            node[0] = number
+        self.decided: list[dict[int, bool]] = [{} for _ in self.units]
+        self.held = 0
+
+    def decide(self, left: int, right: int) -> bool:
+        self.held += 1
+        if self.held > DECIDED:
+            for known in self.decided:
+                known.clear()
+            self.held = 1
+        found = self.decided[left][right] = stable(self.units[left], self.units[right], self.pieces)
+        return found
+
+    def committed(self, text: str) -> Iterator[list[tuple[int, int]]]:
+        """The (unit, start) of a text, in lists that are emitted as soon as all surviving paths agree on them.
+
+        A character that no piece has is unit -1; nothing merges with it.
+        """
+        root, decided = self.root, self.decided
+        window = 4 * self.pieces.longest
+        done, before = 0, -1
+        starts: list[int] = []  # where the survivor at each position after ``done`` starts, and which unit it is
+        units: list[int] = []
+        for end in range(1, len(text) + 1):
+            node, start, found = root, end, []
+            while start > done:
+                node = node.get(text[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                if 0 in node:
+                    found.append(start)
+                    found.append(node[0])
+            while found:
+                unit, start = found.pop(), found.pop()  # the longest first
+                left = units[start - done - 1] if start > done else before
+                if left < 0:
+                    break
+                ok = decided[left].get(unit)
+                if ok or ok is None and self.decide(left, unit):
+                    break
+            else:
+                start, unit = end - 1, -1
+            starts.append(start)
+            units.append(unit)
+            if len(starts) >= window:
+                ends = set(range(end - self.pieces.longest + 1, end + 1))
+                while len(ends) > 1:  # go back from the last of them until one boundary is left
+                    late = max(ends)
+                    ends.remove(late)
+                    ends.add(starts[late - done - 1] if late > done else done)
+                boundary = ends.pop()
+                if boundary > done:
+                    yield _trace(starts, units, done, boundary)
+                    before = units[boundary - done - 1]
+                    starts, units, done = starts[boundary - done :], units[boundary - done :], boundary
+        if done < len(text):
+            yield _trace(starts, units, done, len(text))
+
+
+def _trace(starts: list[int], units: list[int], done: int, end: int) -> list[tuple[int, int]]:
+    found = []
+    while end > done:
+        place = end - done - 1
+        end = starts[place]
+        found.append((units[place], end))
+    return found[::-1]
 
 
 def encoder(pieces: Pieces) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit integers."""
-    decided = Memo(lambda pair: stable(*pair, pieces), 2 * MEMO_ENTRIES)
-    known: dict[str, bytes] = {piece: np.int32(i).tobytes() for piece, i in pieces.ids.items()}
+    lattice = Lattice(pieces)
+    id_bytes = [np.int32(pieces.ids[unit]).tobytes() for unit in lattice.units]
 
-    def id_bytes(piece: str) -> bytes:
-        if (found := known.get(piece)) is not None:
-            return found
-        given = [pieces.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")] if pieces.byte_ids else [pieces.unknown]
+    def unknown(char: str) -> bytes:
+        given = [pieces.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if pieces.byte_ids else [pieces.unknown]
         return np.array(given, np.int32).tobytes()
 
     def encode(part: str) -> bytes:
-        return b"".join(id_bytes(piece) for found in committed(part, pieces, decided.__getitem__) for piece in found)
+        return b"".join(id_bytes[unit] if unit >= 0 else unknown(part[start]) for found in lattice.committed(part) for unit, start in found)
 
     memo = Memo(encode, MEMO_ENTRIES, MEMO_LENGTH)
     cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if pieces.cut_at_marks else lambda text: [text]
+    double = MARK + MARK
 
     def ids(text: str) -> bytes:
-        return b"".join(map(memo.__getitem__, cut(MARK + text.replace(" ", MARK)))) if text else b""
+        if not text:
+            return b""
+        marked = MARK + text.replace(" ", MARK)
+        if pieces.cut_at_marks and double not in marked:
+            return b"".join(map(memo.__getitem__, [MARK + word for word in marked[1:].split(MARK)]))
+        return b"".join(map(memo.__getitem__, cut(marked)))
 
     return ids
 
