@@ -14,7 +14,7 @@ Steps, each written to the shared folder:
    (lossy counting). The ``HEAVY_TOKENS`` most frequent form the order's heavy end; any order gives the same links.
 2. A second pass files the prefixes. Only keys under which different classes meet are kept.
 3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
-   meets most often outside its component. Links join components. Rounds go on while large groups fall together.
+   meets most often outside its component. Links join components, so that large groups fall together.
 4. All pairs that meet under a key, are still in different components and meet often and early enough for the threshold
    are compared. What is left out is connected already or cannot link, so no component is missed, whatever the groups' sizes.
 
@@ -45,9 +45,8 @@ SHARE = (4, 5)
 HEAVY_TOKENS = 1 << 17
 #: Tokens that a task looks at together when it counts, and the least count there that it passes on.
 COUNT_WINDOW, COUNT_LEAST = 1 << 22, 4
-#: Pivots of a key and round, rounds at most, and how many pairs for each row that meets are left to the last step at once.
-#: They bear on the work, not on the result: what the rounds leave is compared in the last step.
-PIVOTS, ROUNDS, PAIRS_FOR_EACH = 4, 3, 2
+#: Pivots of a key and round, and rounds. They bear on the work, not on the result: what the rounds leave is compared in the last step.
+PIVOTS, ROUNDS = 4, 2
 #: Lists longer than this are long in the last step.
 LONG_LIST = 32
 #: Bits of a class's sketch.
@@ -260,9 +259,7 @@ def _pairs_to_compare(apart: DataFrame, bodies: DataFrame, listed: int) -> DataF
     must be enough. Pairs that share keys of long lists only must have the first of these early enough in both
     prefixes for the others to follow it, and sketches that do not differ by more than linked sets can.
     """
-    rows = apart.withColumn("length", F.count("*").over(Window.partitionBy("key")))
-    is_long = F.expr(f"length > {LONG_LIST} and place >= 0")
-    rows = written(rows.withColumn("is_long", is_long))
+    rows = written(apart.withColumn("is_long", F.expr(f"length > {LONG_LIST} and place >= 0")).drop("length"))
     longs = small_enough(written(rows.filter("is_long").groupBy("class").agg(F.count("*").alias("longs"))))
     rows = rows.join(longs, "class", "left").select("key", "class", "size", "place", "part", F.coalesce("longs", F.lit(0)).alias("longs"), "is_long")
     rows = written(rows)
@@ -329,24 +326,30 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
 
 
-def _pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
+def _with_parts(met: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The meetings with ``part``, the component of each class; itself before there are links."""
+    if components is None:
+        return met.withColumn("part", F.col("class"))
+    joined = small_enough(written(components).withColumnRenamed("node", "class"))
+    return met.join(joined, "class", "left").select("key", "class", "size", "place", F.coalesce("component", "class").alias("part"))
+
+
+def _pivot_pairs(parts: DataFrame, turn: int) -> DataFrame:
     """(a, b, n, size_a, size_b), a < b: pairs of a class and one of its keys' pivots in another component, by the keys that offer them.
 
-    A key's pivots are its first classes by ``PIVOTS`` hash orders, other ones each turn. They are
-    minima, so a key's rows are not gathered.
+    A key's pivots are its first classes by ``PIVOTS`` hash orders, other ones each turn: minima over the key.
     """
     of_key = Window.partitionBy("key")
-    pivots = [
-        F.min(F.struct(F.xxhash64("class", F.lit(turn * PIVOTS + k)), "class", "size", "part")).over(of_key).alias(f"pivot_{k}") for k in range(PIVOTS)
-    ]
-    offered = apart.select("key", "class", "size", "part", *pivots)
-    offered = offered.select("key", "class", "size", "part", F.explode(F.array_distinct(F.array(*(f"pivot_{k}" for k in range(PIVOTS))))).alias("pivot"))
-    apart_yet = offered.filter("part <> pivot.part").filter(_can_link("size", "pivot.size"))
+    order = lambda k: F.struct(F.xxhash64("class", F.lit(turn * PIVOTS + k)), "class", "size", "part")
+    pivots = F.array_distinct(F.array(*(F.min(order(k)).over(of_key) for k in range(PIVOTS))))
+    offered = parts.select("class", "size", "part", pivots.alias("pivots")).withColumn("pivot", F.explode("pivots"))
+    # Two pivots of one key offer their pair to each other: the smaller one's offer counts.
+    once = F.expr("class < pivot.class or not exists(pivots, x -> x.class = class)")
+    apart = offered.filter("part <> pivot.part").filter(once).filter(_can_link("size", "pivot.size"))
     own, other = F.struct("class", "size"), F.struct("pivot.class", "pivot.size")
     low, high = F.least(own, other), F.greatest(own, other)
-    pair = apart_yet.select("key", low["class"].alias("a"), high["class"].alias("b"), low["size"].alias("size_a"), high["size"].alias("size_b"))
-    # Two pivots of one key offer their pair twice.
-    return pair.distinct().groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
+    pair = apart.select(low["class"].alias("a"), high["class"].alias("b"), low["size"].alias("size_a"), high["size"].alias("size_b"))
+    return pair.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
 
 
 def _most_met(candidates: DataFrame) -> DataFrame:
@@ -357,20 +360,11 @@ def _most_met(candidates: DataFrame) -> DataFrame:
     return both.withColumn("place", place).filter(f"place <= {PIVOTS}").select("a", "b").distinct()
 
 
-def _apart(met: DataFrame, components: DataFrame) -> DataFrame:
-    """The meetings (key, class, size, place, part) under keys where more than one component meets."""
-    joined = small_enough(written(components).withColumnRenamed("node", "class"))
+def _apart(parts: DataFrame) -> DataFrame:
+    """The meetings under keys where more than one component meets, and the ``length`` of their lists."""
     of_key = Window.partitionBy("key")
-    parts = met.join(joined, "class", "left").select("key", "class", "size", "place", F.coalesce("component", "class").alias("part"))
-    return parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high")).filter("low <> high").drop("low", "high")
-
-
-def _pairs_left(apart: DataFrame) -> tuple[int, int]:
-    """How many pairs of rows meet under a key in different components, and how many rows there are."""
-    of_part = apart.groupBy("key", "part").agg(F.count("*").cast("double").alias("n"))
-    of_key = of_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    pairs, rows = of_key.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
-    return int(pairs or 0), int(rows or 0)
+    wide = parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high"), F.count("*").over(of_key).alias("length"))
+    return wide.filter("low <> high").drop("low", "high")
 
 
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -411,21 +405,18 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     nodes = written(met.select("class").distinct())
     bodies = _bodies(rows, classes.join(nodes, "class", "left_semi"))
 
-    apart = met.withColumn("part", F.col("class"))
     listed = least_overlap(boundary + 1)
     tried = links = None
+    parts = _with_parts(met, None)
     for turn in range(ROUNDS):
-        candidates = _pivot_pairs(apart, turn).filter(_enough_met("size_a", "size_b", "n", listed))
+        candidates = _pivot_pairs(parts, turn).filter(_enough_met("size_a", "size_b", "n", listed))
         if tried is not None:
             candidates = candidates.join(tried, ["a", "b"], "left_anti")
         now = written(_most_met(candidates))
         found = written(_linked(now, bodies))
-        tried, links = (now.select("a", "b"), found) if tried is None else (tried.union(now.select("a", "b")), links.union(found))
-        apart = written(_apart(met, connected_components(links)))
-        pairs, meetings = _pairs_left(apart)
-        if pairs <= PAIRS_FOR_EACH * meetings or 50 * found.count() < links.count():
-            break  # little is left, or the rounds find little more
-    rest = _pairs_to_compare(apart, bodies, listed).join(tried, ["a", "b"], "left_anti")
+        tried, links = (now, found) if tried is None else (tried.union(now), links.union(found))
+        parts = _with_parts(met, connected_components(links))
+    rest = _pairs_to_compare(_apart(parts), bodies, listed).join(tried, ["a", "b"], "left_anti")
     all_links = links.union(_linked(written(rest), bodies))
 
     linked = written(connected_components(all_links)).withColumnRenamed("node", "class")
