@@ -31,7 +31,7 @@ from wagerlens.llm.common import table, texts
 
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Digits of the registered score.
 DIGITS = 6
 
@@ -78,8 +78,10 @@ def gram_keys(words: np.ndarray, places: np.ndarray, order: int) -> list[np.ndar
 
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often each occurs; sorted in place, as a block's keys are what a worker's memory goes to."""
+    """Sorted distinct keys and how often each occurs; the list is emptied and the keys are sorted in place, as
+    a block's keys are what a worker's memory goes to."""
     joined = np.concatenate(grams)
+    grams.clear()
     joined.sort()
     first = np.ones(len(joined), bool)
     np.not_equal(joined[1:], joined[:-1], out=first[1:])
@@ -174,10 +176,10 @@ def backoff_scores(
         places = _places(ends)
         grams = gram_keys(words, places, order)
         del words
-        known, _ = _distinct(grams)
+        known = _distinct(list(grams))[0]
         corpus = np.concatenate([_counts(data) for data in counts.sort_by("part")["times"].to_pylist()])
         total, corpus = float(corpus[0]), corpus[1:]
-        level = np.ones(len(places), np.int64)
+        level = np.ones(len(places), np.int8)
         value = np.zeros(len(places))
         shorter = before = value
         for n, keys in enumerate(grams, 1):
@@ -196,8 +198,8 @@ def backoff_scores(
         begins = ends - np.diff(ends, prepend=0)
         n_words = ends - begins
         sums = np.array([np.log2(value[a:b]).sum() for a, b in zip(begins, ends)])
-        of_level = [np.concatenate([[0], np.cumsum(level == n)]) for n in range(1, order + 1)]
-        hits = np.stack([x[ends] - x[begins] for x in of_level], axis=1)
+        of_level = (np.concatenate([[0], np.cumsum(level == n, dtype=np.int32)]) for n in range(1, order + 1))
+        hits = np.stack([(x[ends] - x[begins]).astype(np.int64) for x in of_level], axis=1)
         return pa.table(
             {"doc_id": ids, "n_words": pa.array(n_words), "hits": pa.array(list(hits), pa.list_(pa.int64())), "log2_sum": pa.array(sums, pa.float64(), mask=n_words == 0)}
         )
