@@ -186,6 +186,41 @@ def test_recall_at_the_threshold(spark):
     assert not any(h for h, p in zip(hits, pairs) if not p)
 
 
+def off_centre(draw, n, norm):
+    """Unit vectors about a common direction of that norm, the same for every draw."""
+    centre = np.eye(64)[5] * norm
+    apart = draw.normal(size=(n, 64))
+    return E._unit(centre + np.sqrt(1 - norm**2) * apart / np.linalg.norm(apart, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.7])
+@pytest.mark.parametrize("count", [3000, 28_000, 4_000_000, 30_000_000])
+def test_tables_of_every_count_meet_the_recall(norm, count):
+    """Pairs at the threshold itself, drawn apart from the fitted ones: all but a few in a thousand meet and are compared."""
+    draw = np.random.default_rng(12)
+    fitted = off_centre(draw, 6000, norm)
+    quantiser = E.learn(fitted)
+    index = E.choose_index(fitted, quantiser, count)
+    a, b = E.neighbours(off_centre(draw, 2000, norm), 0.95, draw)
+    assert np.allclose((a * b).sum(axis=1), 0.95)
+    met = np.concatenate([(index.keys(x) == index.keys(y)).any(axis=1) for x, y in zip(np.split(a, 8), np.split(b, 8))])
+    compared = np.bitwise_count((quantiser.codes(a) ^ quantiser.codes(b)).view(np.uint64)) <= index.far_bits
+    assert (met & compared).mean() >= 0.99
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.7])
+def test_recall_with_the_tables_of_many_vectors(spark, monkeypatch, norm):
+    choose, chosen = E.choose_index, []
+    monkeypatch.setattr(E, "choose_index", lambda rows, quantiser, count, threshold: chosen.append(choose(rows, quantiser, 4_000_000, threshold)) or chosen[0])
+    draw = np.random.default_rng(9)
+    a, b = E.neighbours(off_centre(draw, 600, norm), 0.9501, draw)
+    a, b = a[:600], b[:600]  # apart in any direction
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))]
+    found = {r.vec_id: r for r in E.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(found) == 1200 and chosen[0].length > 10 < chosen[0].tables
+    assert sum(found[k].component_id == found[k + 600].component_id for k in range(600)) >= 0.99 * 600
+
+
 def test_vectors_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_vectors(frame).count() == 0

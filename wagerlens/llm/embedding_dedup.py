@@ -1,10 +1,11 @@
-"""Embedding near-duplicates (operator 2): iterative quantisation, multi-index Hamming tables, exact rerank.
+"""Embedding near-duplicates (operator 2): iterative quantisation, hash tables of several code sets, exact rerank.
 
 A rotation is learnt on a bounded sample (``SAMPLE`` distinct vectors, the first by a hash) so that the signs of the rotated
-principal components make balanced binary codes that lose little. Every distinct vector gets a code. The code
-is cut into substrings of about log2(N) bits, one table for each. A vector is filed under its own substrings and probes
-those within ``radius`` bits, where the radius is such that all pairs of codes within ``NEAR_BITS`` meet. Pairs are taken
-in the first table where they meet, passed on if their whole codes differ in at most ``FAR_BITS`` bits, and decided by the cosine of
+principal components make balanced binary codes that lose little; further code sets come from random rotations of it.
+Consecutive bits of the sets are the keys of the tables, and two vectors meet if they share the key of one table. Length and number of
+the tables follow from synthetic neighbours of the sample at the threshold itself: at least ``RECALL`` of them have to
+meet, whatever the number of vectors and wherever their centre, and of all such choices the cheapest for this number is taken. Pairs that
+meet are passed on if their codes differ in no more bits than any such neighbours do, and decided by the cosine of
 the given vectors in double precision. Links found are exact; recall against brute force is measured in the tests.
 
 Equal vectors are one class from the start, however many they are, so only pairs of different vectors are looked at.
@@ -19,12 +20,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wagerlens.llm.common import small_enough, table, written
 from wagerlens.llm.components import connected_components
@@ -32,9 +32,12 @@ from wagerlens.llm.components import connected_components
 THRESHOLD = 0.95
 SAMPLE, ROTATIONS = 20_000, 30
 BITS = 64
-#: Codes within so many bits are sure to meet; those further apart than the second are not compared. At cosine
-#: 0.95 a bit of 64 flips with probability 0.1: 6.5 bits of 64 on average, over 20 bits once in a million pairs.
-NEAR_BITS, FAR_BITS = 7, 20
+#: The least share of pairs at the threshold that meet in a table, and how many synthetic pairs of each kind tell.
+RECALL, TRIALS = 0.999, 4096
+#: What a row filed in a table costs, in pairs compared; bounds of the planes (bits of all tables) and of a key.
+ROW_COST, MOST_PLANES, LONGEST = 32, 8192, 40
+#: Rows whose bits are computed at once.
+CODED_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -74,6 +77,93 @@ def learn(rows: np.ndarray, bits: int = BITS, turns: int = ROTATIONS) -> Quantis
     return Quantiser(centre, projection @ rotation)
 
 
+@dataclass(frozen=True)
+class Index:
+    """Planes of the tables (width x tables * length), and the most bits in which codes of compared vectors differ."""
+
+    centre: np.ndarray
+    planes: np.ndarray
+    tables: int
+    length: int
+    far_bits: int
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """The key of each row in each table; the table's number is part of it."""
+        bits = ((_unit(rows) - self.centre) @ self.planes > 0).reshape(len(rows), self.tables, self.length)
+        return bits @ (1 << np.arange(self.length, dtype=np.int64)) + (np.arange(self.tables, dtype=np.int64) << LONGEST)
+
+
+def neighbours(units: np.ndarray, threshold: float, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine is the threshold: apart in any direction, and in directions in which ``units`` differ."""
+    ways = [draw.normal(size=units.shape), units[draw.permutation(len(units))] - units]
+    apart = np.concatenate(ways)
+    units = np.concatenate([units, units])
+    apart -= (apart * units).sum(axis=1, keepdims=True) * units
+    norm = np.linalg.norm(apart, axis=1, keepdims=True)
+    known = norm[:, 0] > 1e-9
+    units, apart = units[known], apart[known] / norm[known]
+    return units, threshold * units + math.sqrt(max(0.0, 1 - threshold**2)) * apart
+
+
+def choose_index(rows: np.ndarray, quantiser: Quantiser, count: int, threshold: float = THRESHOLD) -> Index:
+    """The cheapest tables for ``count`` vectors like ``rows`` in which ``RECALL`` of the pairs at the threshold meet.
+
+    Keys of no bits, under which all pairs meet, are the first choice looked at, so there always is one.
+    """
+    draw = np.random.default_rng(1)
+    units = _unit(rows[:TRIALS])
+    ones, others = neighbours(units, threshold, draw)
+    kinds = np.arange(len(ones)) < len(ones) / 2
+    bits = quantiser.projection.shape[1]
+    far_bits = int(np.bitwise_count((quantiser.codes(ones) ^ quantiser.codes(others)).view(np.uint64)).max(initial=0)) + 1
+    sets, flips, signs = [], [], []
+
+    def planes_for(number: int) -> None:
+        """Code sets for so many planes at least, their flips between neighbours and signs of the sample."""
+        while len(sets) * bits < number:
+            turn = np.linalg.qr(draw.normal(size=(bits, bits)))[0] if sets else np.eye(bits)
+            sets.append(quantiser.projection @ turn)
+            flips.append(((ones - quantiser.centre) @ sets[-1] > 0) != ((others - quantiser.centre) @ sets[-1] > 0))
+            signs.append((units - quantiser.centre) @ sets[-1] > 0)
+
+    def columns(found: list[np.ndarray], table: int, length: int) -> np.ndarray:
+        first, last = table * length // bits, -(-(table + 1) * length // bits)
+        wide = np.concatenate(found[first:last], axis=1) if length else np.zeros((len(found[0]), 0), bool)
+        return wide[:, table * length - first * bits :][:, :length]
+
+    def met_by(length: int, most: float) -> int | None:
+        """How many tables of this key length are needed, if not more than ``most``."""
+        met, tables = np.zeros(len(ones), bool), 0
+        while tables < 1 or any(len(part) and part.mean() < RECALL for part in (met[kinds], met[~kinds])):
+            if tables + 1 > most or (tables + 1) * length > MOST_PLANES:
+                return None
+            planes_for(max(1, (tables + 1) * length))
+            met |= ~columns(flips, tables, length).any(axis=1)
+            tables += 1
+        return tables
+
+    def shared(length: int, tables: int) -> float:
+        """The share of all pairs of the sample that have the same key in a table."""
+        size, found = len(units), []
+        for t in range(min(tables, 4)):
+            keys = columns(signs, t, length) @ (1 << np.arange(length, dtype=np.int64))
+            times = np.unique(keys, return_counts=True)[1]
+            found.append((times * (times - 1.0)).sum() / max(1, size * (size - 1)))
+        return sum(found) / len(found)
+
+    best, chosen = math.inf, (1, 0)
+    for length in range(LONGEST + 1):
+        tables = met_by(length, best / ROW_COST)
+        if tables is None:
+            break
+        cost = tables * (ROW_COST + count * shared(length, tables))
+        if cost < best:
+            best, chosen = cost, (tables, length)
+    tables, length = chosen
+    planes_for(max(1, tables * length))
+    return Index(quantiser.centre, np.concatenate(sets, axis=1)[:, : tables * length], tables, length, far_bits)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows padded with zeros to ``width``."""
     rows = np.zeros((len(column), width))
@@ -107,36 +197,12 @@ def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str) ->
     return rows.select("vec_id", "class"), written(classes)
 
 
-def hamming_pairs(codes: DataFrame, bits: int, count: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that meet in a table and differ in at most ``FAR_BITS`` bits; each pair once."""
-    length = min(bits, max(8, round(math.log2(max(count, 2)))))
-    tables = max(1, bits // length)
-    radius = NEAR_BITS // tables
-    cuts = [bits * t // tables for t in range(tables + 1)]
-
-    def part(code: Column, t: int) -> Column:
-        wide = cuts[t + 1] - cuts[t]
-        return F.shiftrightunsigned(code, cuts[t]).bitwiseAND(F.lit((1 << wide) - 1 if wide < 64 else -1).cast("long"))
-
-    def probes(t: int) -> Column:
-        """The keys within the radius of a code's own key."""
-        return F.transform(flips[t], lambda flip: part(F.col("code"), t).bitwiseXOR(flip))
-
-    filed = codes.select(F.col("class").alias("b"), F.col("code").alias("code_b"), F.posexplode(F.array(*(part(F.col("code"), t) for t in range(tables)))).alias("t", "key"))
-    flips = [
-        F.array(*(F.lit(sum(1 << bit for bit in chosen)).cast("long") for n in range(radius + 1) for chosen in combinations(range(cuts[t + 1] - cuts[t]), n)))
-        for t in range(tables)
-    ]
-    probed = codes.select(
-        F.col("class").alias("a"), F.col("code").alias("code_a"),
-        F.posexplode(F.array(*map(probes, range(tables)))).alias("t", "keys"),
-    ).select("a", "code_a", "t", F.explode("keys").alias("key"))
-    differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    # The first table where the two meet: in all before it they differ by more than the radius.
-    first = F.lit(tables - 1)
-    for t in reversed(range(tables - 1)):
-        first = F.when(F.bit_count(part(differ, t)) <= radius, F.lit(t)).otherwise(first)
-    return probed.join(filed, ["t", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= FAR_BITS) & (F.col("t") == first)).select("a", "b")
+def meeting_pairs(codes: DataFrame, far_bits: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes that share a key and whose codes differ in at most ``far_bits`` bits; each pair once."""
+    filed = codes.select("class", "code", F.explode("keys").alias("key"))
+    both = filed.toDF("a", "code_a", "key").join(filed.toDF("b", "code_b", "key"), "key")
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= far_bits)
+    return both.filter(near).select("a", "b").distinct()
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -163,13 +229,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
         for i, values in enumerate(drawn):
             fitted[i, : len(values)] = values
         quantiser = learn(fitted)
+        index = choose_index(fitted, quantiser, count, threshold)
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch["class"], pa.array(quantiser.codes(_matrix(batch["vector"], width)))], ["class", "code"])
-
-        codes = written(classes.select("class", "vector").mapInArrow(coded, "class long, code long"))
-        pairs = written(hamming_pairs(codes, quantiser.projection.shape[1], count))
+                for start in range(0, len(batch), CODED_ROWS):
+                    some = batch.slice(start, CODED_ROWS)
+                    rows = _matrix(some["vector"], width)
+                    keys = pa.array(list(index.keys(rows)), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([some["class"], pa.array(quantiser.codes(rows)), keys], ["class", "code", "keys"])
+
+        codes = written(classes.select("class", "vector").mapInArrow(coded, "class long, code long, keys array<long>"))
+        pairs = written(meeting_pairs(codes, index.far_bits))
         links = written(_similar(pairs, classes, width, threshold).select("a", "b"))
     else:
         links = vectors.sparkSession.createDataFrame([], "a long, b long")
