@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import base64
 import random
 from collections import Counter
 
 import pytest
+import zstandard
 
 from wagerlens.llm import compression_rules as R
 
@@ -43,6 +45,25 @@ def test_compression_bands(documents, words):
     assert next(r for r in rows if r.doc_id == 2).most_chunk_ratio > 4.2
 
 
+@pytest.mark.parametrize("size", [70, 100, 130, 200, 300, 450, 600, 800, 900, 1000])
+def test_short_noise_and_clean_prose(spark, size):
+    """Random base64 words of any short length are rejected; passages of clean documents are not."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    pack = zstandard.ZstdCompressor(level=R.LEVEL).compress
+    draw, noise = random.Random(size), 0
+    for _ in range(300):
+        raw = b" ".join(base64.b64encode(draw.randbytes(9))[: draw.randint(3, 9)] for _ in range(size))[:size]
+        noise += R.judge_text(raw, pack, R.Limits(min_words=5))[6]
+    assert noise <= 3
+    clean = []
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id").select("text").collect():
+        raw = row.text.encode()
+        clean += [part for k in range(0, min(len(raw), 4000), 500) if len(part := raw[k : k + size]) == size and len(part.split()) >= R.MIN_WORDS]
+    verdicts = [R.judge_text(raw, pack, R.Limits(max_repeat_percent=100))[6] for raw in clean]
+    assert sum(verdicts) >= 0.995 * len(verdicts) and (size < 128 or len(verdicts) > 200)
+
+
 @pytest.mark.parametrize("size, ratio, fits", [(10, 99.0, True), (128, 3.0, True), (128, 3.1, False), (600, 1.0, False), (70000, 6.9, True), (70000, 7.1, False)])
 def test_in_band(size, ratio, fits):
     assert R.in_band(size, ratio, R.WHOLE_BANDS) is fits

@@ -30,8 +30,17 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = b"#*$%&|<>"
 
 #: From so many bytes on: the least and the greatest ratio of a whole document. Clean prose of 128 bytes to
-#: 100 kB lies between 1.05 and 2.6; the bands leave room on both sides.
-WHOLE_BANDS = ((128, 0.9, 3.0), (512, 1.2, 3.2), (1024, 1.35, 3.6), (4096, 1.45, 4.2), (16384, 1.5, 5.0), (65536, 1.5, 7.0))
+#: 100 kB lies between 1.02 and 2.6; the bands leave room on both sides. A frame's fixed bytes weigh the more the shorter a text is: below 1024 bytes
+#: the low limits lie between random base64 words (0.88 at 64 bytes, 1.0 at 128, 1.32 at 1000) and the least of clean prose of 20 words or more
+#: (0.96 at 80, 1.02 at 128, 1.64 at 1000). Texts shorter than the first band are hardly compressed at all, whatever they hold.
+SHORT_LEAST = (
+    (64, 0.91), (80, 0.94), (96, 0.965), (112, 1.0), (128, 1.02), (144, 1.045), (160, 1.065), (176, 1.085), (192, 1.11), (224, 1.15),
+    (256, 1.19), (320, 1.22), (384, 1.26), (448, 1.29), (512, 1.32), (600, 1.35), (700, 1.38), (850, 1.44),
+)
+WHOLE_BANDS = (
+    *((size, least, 3.0 if size < 512 else 3.2) for size, least in SHORT_LEAST),
+    (1024, 1.35, 3.6), (4096, 1.45, 4.2), (16384, 1.5, 5.0), (65536, 1.5, 7.0),
+)
 #: The same for chunks, by the chunk's bytes.
 CHUNK_BANDS = ((1024, 1.3, 3.6), (2048, 1.35, 4.2))
 
