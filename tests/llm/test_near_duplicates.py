@@ -102,6 +102,21 @@ def test_keep_one(documents, near_copies, odd_rows):
     assert set(got) == wanted and got[4] == 1 and got[None] == 2 and all(n == 1 for i, n in got.items() if i is not None)
 
 
+def test_keep_one_of_repeated_ids(documents, words):
+    """An id with several texts: each text stays or goes with its own group, and each group keeps one row."""
+    one, two, three, four = (" ".join(words(60, seed)) for seed in (71, 72, 73, 74))
+    near = " ".join([*words(60, 73), "more"])
+    rows = [
+        (1, one, "a"), (5, one, "a"), (5, two, "a"),  # the second text of 5 has no group of a smaller id
+        (7, three, "a"), (7, near, "a"), (8, three, "a"),  # two near texts of the smallest id
+        (9, four, "a"), (9, four.upper(), "a"), (9, "quite another few words", "a"), (9, None, "a"), (9, None, "a"), (9, "", "a"), (10, four, "a"), (11, "alone", "a"),
+    ]
+    kept = Counter((r.doc_id, None if r.text is None else r.text.lower()) for r in J.keep_one(documents(rows)).collect())
+    thirds = Counter({key: n for key, n in kept.items() if key[0] == 7})
+    assert sum(thirds.values()) == 1 and set(thirds) <= {(7, three), (7, near)}
+    assert kept - thirds == Counter([(1, one), (5, two), (9, four), (9, "quite another few words"), (9, None), (9, ""), (11, "alone")])
+
+
 def test_registered_join(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source").collect()]
     found = J.op3_ngram_jaccard_join(spark, "/root/testdata/sf0.001").collect()

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wagerlens.llm.common import shared_folder, small_enough, table, texts, written
 from wagerlens.llm.components import connected_components
@@ -382,8 +383,8 @@ def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
     return written(found.select("text").mapInArrow(named, "class long, text binary, sketch array<long>").filter("class is not null"))
 
 
-def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set), component_id (smallest doc_id reachable by links)."""
+def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``jaccard_classes`` and the component by its class, as components of rows that share an id share a component_id."""
     rows = texts(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary"))
     measured, counted = _measure(rows)
     classes = written(measured.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")))
@@ -422,26 +423,51 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str
     linked = written(connected_components(all_links)).withColumnRenamed("node", "class")
     linked = classes.join(linked, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
     first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(linked.join(written(first), "component").select("class", "component_id"))
+    named = written(linked.join(written(first), "component").select("class", "component", "component_id"))
     return measured.join(named, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), "class",
+        "doc_id", F.col("size").alias("n_shingles"), "class", "component",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
+def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class (null for an empty set), component_id (smallest doc_id reachable by links)."""
+    return _components(docs, id_column, text_column).drop("component")
+
+
+def _with_class(docs: DataFrame, text_column: str, name: str) -> DataFrame:
+    """``docs`` and the class of each row's text."""
+    place = docs.columns.index(text_column)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(raw) for raw in batch.column(place).cast(pa.binary()).to_pylist()]
+            names = pa.array([class_of(tokens) if len(tokens) else None for tokens in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, name])
+
+    return docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller doc_id; of wholly repeated rows one stays.
+    """One row of each group of ``docs``: one with its smallest doc_id.
 
-    Rows without doc_id stay. The ids to drop are broadcast if they are few, else joined by a shuffle.
+    Rows without doc_id stay, and so do rows without words, wholly repeated ones once. The ids to drop are broadcast if they are few, else
+    joined by a shuffle. Rows whose id is repeated are told apart by the class of their text, as one id may be in several groups.
     """
-    found = written(jaccard_classes(docs, id_column, text_column))
+    found = written(_components(docs, id_column, text_column))
     drop = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct())
-    twice = written(found.filter("doc_id is not null").groupBy("doc_id", "class").count().filter("count > 1").select(F.col("doc_id").alias(id_column)).distinct())
-    once = docs.join(small_enough(drop), id_column, "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return once
-    again = once.join(small_enough(twice), id_column, "left_semi").dropDuplicates([id_column, text_column])
-    return once.join(small_enough(twice), id_column, "left_anti").select(docs.columns).union(again.select(docs.columns))
+    repeated = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_column)))
+    if repeated.isEmpty():
+        return docs.join(small_enough(drop), id_column, "left_anti").select(docs.columns)
+    repeated = small_enough(repeated)
+    once = docs.join(repeated, id_column, "left_anti").join(small_enough(drop), id_column, "left_anti").select(docs.columns)
+    name = max(docs.columns, key=len) + "_class"
+    first = found.filter("doc_id = component_id and class is not null").groupBy("component").agg(F.min("doc_id").alias(id_column), F.min("class").alias(name))
+    first = written(first.join(repeated, id_column, "left_semi").select(id_column, name))
+    rows = _with_class(docs.join(repeated, id_column, "left_semi").select(docs.columns), text_column, name)
+    worded = rows.filter(F.col(name).isNotNull()).join(small_enough(first), [id_column, name], "left_semi").dropDuplicates([id_column, name])
+    empty = rows.filter(F.col(name).isNull()).dropDuplicates([id_column, text_column])
+    return once.union(worded.select(docs.columns)).union(empty.select(docs.columns))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
