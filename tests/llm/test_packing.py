@@ -69,6 +69,30 @@ def test_a_hot_source_and_a_large_group(documents, words):
     assert len(found) == 300
 
 
+def test_near_copies_share_no_bin(documents, words):
+    """Texts with one word changed are of one cluster, rows without an id included; without clusters they share bins."""
+    rows = []
+    for k in range(24):
+        text = words(60, 500 + k // 4)
+        text[7 * (k % 4)] = f"new{k}"
+        rows.append((k if k % 5 else None, " ".join(text), f"s{k}"))
+    rows = [(i, t + " " + " ".join(words(60, 500 + k // 4)[:60] * 2), s) for k, (i, t, s) in enumerate(rows)]
+    rows += [(100, None, "a"), (101, "other", "b")]
+    near = {s: k // 4 for k, (_, _, s) in enumerate(rows[:24])}
+
+    def shared(found):
+        bins = defaultdict(list)
+        for r in found:
+            if r.bin is not None and r.source in near:
+                bins[r.block, r.part, r.bin].append(near[r.source])
+        return sum(max(Counter(groups).values()) > 1 for groups in bins.values())
+
+    found = P.pack_near_copies(documents(rows), capacity=1000).collect()
+    check_bins(found, 1000)
+    assert len(found) == len(rows) and shared(found) == 0
+    assert shared(P.pack_documents(documents(rows), capacity=1000).collect()) > 0
+
+
 def test_registered_query(spark):
     rows = P.op10_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     check_bins(rows, P.CAPACITY)

@@ -448,6 +448,14 @@ def _with_class(docs: DataFrame, text_column: str, name: str) -> DataFrame:
     return docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
+def clusters(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """(class, cluster) of the classes that links join to one of a smaller name; any other class names its own cluster."""
+    text = F.col(f"`{text_column}`").cast("string")
+    named = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))  # rows without an id take part
+    found = _components(named, "doc_id", "text").filter("class <> component")
+    return written(found.select("class", F.col("component").alias("cluster")).distinct())
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of ``docs``: one with its smallest doc_id.
 

@@ -16,13 +16,14 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wagerlens.llm.common import table, texts
+from wagerlens.llm.common import small_enough, table, texts
+from wagerlens.llm.ngram_join import class_of, clusters, shingles
 
 CAPACITY, BLOCK = 1024, 4096
 
@@ -96,8 +97,14 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pieces:
     return cut.select(*columns, "source_hash").groupBy("block", "part").applyInArrow(packed, types)
 
 
-def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source") -> DataFrame:
-    """doc_id, size in words, source, and a cluster of documents whose words are the same but for A-Z and a-z."""
+def _same_words(words: list[bytes]) -> int | None:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
+
+
+def measured(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source", name: Callable[[list[bytes]], int | None] = _same_words
+) -> DataFrame:
+    """doc_id, size in words, source, and a cluster: what ``name`` gives for the words in lower case, by itself the same for equal words only."""
     kept = texts(docs, id_column, text_column)
     source: Column = F.col(f"`{source_column}`").cast("string") if source_column in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").cast("binary").alias("text"), source.alias("source"))
@@ -105,7 +112,7 @@ def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(raw or b"").lower().split() for raw in batch["text"].to_pylist()]
-            clusters = [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) if w else None for w in words]
+            clusters = [name(w) for w in words]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, words), pa.int64()), batch["source"], pa.array(clusters, pa.int64())], ["doc_id", "size", "source", "cluster"])
 
     return rows.mapInArrow(sized, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, size long, source string, cluster long")
@@ -116,6 +123,18 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK
     return pack(measured(docs), capacity, block, pieces=docs.count())
 
 
+def pack_near_copies(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+    """``pack_documents`` for documents not yet rid of near copies: a cluster is a component of the n-gram Jaccard join."""
+
+    def named(words: list[bytes]) -> int | None:
+        return class_of(shingles(b" ".join(words))) if words else None
+
+    sized = measured(docs, name=named)
+    joined = sized.withColumnRenamed("cluster", "class").join(small_enough(clusters(docs)), "class", "left")
+    rows = joined.select("doc_id", "size", "source", F.coalesce("cluster", "class").alias("cluster"))
+    return pack(rows, capacity, block, pieces=docs.count())
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of all documents."""
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_near_copies(table(spark, sf_dir, "documents"))
