@@ -67,7 +67,7 @@ def near_copies(words):
 @pytest.mark.parametrize("boundary", [None, 1, 500])
 def test_join_against_all_pairs(documents, near_copies, odd_rows, monkeypatch, boundary):
     if boundary is not None:
-        monkeypatch.setattr(J, "choose_boundary", lambda sizes, length: boundary)
+        monkeypatch.setattr(J, "choose_boundary", lambda costs, largest=512: boundary)
     monkeypatch.setattr(J, "COUNT_LEAST", 2)
     rows = near_copies + odd_rows
     found = J.jaccard_classes(documents(rows).repartition(3)).collect()
@@ -136,9 +136,33 @@ def test_prefixes_of_linked_sets_share_enough():
 
 
 def test_boundary_follows_cost():
-    sizes = {n: 100 for n in range(2, 400)}
-    low, high = J.choose_boundary(sizes, 2.0), J.choose_boundary(sizes, 50.0)
-    assert 1 <= low < high < 400 and J.choose_boundary({}, 5.0) == 1
+    """Short lists are scanned, long ones make subsets pay, and the most costly sizes decide how far."""
+    subsets = {n: 200 * J.prefix_length(n, 2) * (J.prefix_length(n, 2) - 1) / 2 for n in range(2, 400)}
+    scans = lambda length: {n: (subsets[n], 100 * J.prefix_length(n, 1) * length) for n in subsets}
+    low, high = J.choose_boundary(scans(2.0)), J.choose_boundary(scans(50.0))
+    assert 1 <= low < high < 400 and J.choose_boundary({}) == 1
+
+
+def filed(documents, rows, monkeypatch):
+    """What the join files for some rows, and the boundary that its costs gave."""
+    seen, by_size = [], J._filed_by_size
+    monkeypatch.setattr(J, "_filed_by_size", lambda lists, costs: seen.append(by_size(lists, costs)) or seen[-1])
+    found = J.jaccard_classes(documents(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_join(rows)
+    return seen[0][1], Counter(r.place < 0 for r in seen[0][0].collect())
+
+
+def test_longer_lists_move_the_boundary(documents, words, monkeypatch):
+    """Pairs of long texts are scanned; short texts over so few words that tokens have long lists, but pairs of tokens short ones, file subsets."""
+    rows = []
+    for k in range(60):
+        base = words(50, 300 + k // 2)
+        rows.append((k, " ".join(base if k % 2 else [*base[:-1], f"end{k}"]), "s"))
+    low, few = filed(documents, rows, monkeypatch)
+    draw = random.Random(6)
+    rows += [(1000 + k, " ".join(draw.choice("abc") for _ in range(12)), "s") for k in range(600)]
+    high, many = filed(documents, rows, monkeypatch)
+    assert (low, few[True]) == (1, 0) and 8 <= high < 46 and many[True] > 300
 
 
 def test_components(spark):

@@ -5,14 +5,16 @@ the first ``n - ceil(4n/5) + c`` of each. Rare tokens come first in the order us
 Small sets file every 2-subset of that prefix (c = 2), so that only sets with both tokens meet;
 large sets scan the inverted lists of their prefix tokens (c = 1), which also hold the small sets
 that are large enough to match a large one. The boundary is the size at which the summed cost of subsets and
-of list scans, from counts over all documents, is least.
+of list scans is least, by the lengths of all lists there are: longer lists move it up.
 
 Steps, each written to the shared folder:
 
 1. One pass over the texts gives each document's set size and 64-bit class (equal sets are one class from here on) and the
    tokens that repeat within a few million tokens of a task. Their summed counts are lower bounds of the true ones
    (lossy counting). The ``HEAVY_TOKENS`` most frequent form the order's heavy end; any order gives the same links.
-2. A second pass files the prefixes. Only keys under which different classes meet are kept.
+2. A second pass files the prefixes. Only tokens under which different classes meet are kept (those of frequent
+   tokens are dealt by class as well, so that no task gets all of a hot token's rows). Their list lengths give the boundary;
+   the sets up to it file subsets of the tokens that they have kept.
 3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
    meets most often outside its component. Links join components, so that large groups fall together.
 4. All pairs that meet under a key, are still in different components and meet often and early enough for the threshold
@@ -45,7 +47,11 @@ SHARE = (4, 5)
 #: Tokens in the broadcast order (12 bytes each): a fixed bound, which bears on speed and not on results.
 HEAVY_TOKENS = 1 << 17
 #: Tokens that a task looks at together when it counts, and the least count there that it passes on.
-COUNT_WINDOW, COUNT_LEAST = 1 << 22, 4
+COUNT_WINDOW, COUNT_LEAST = 1 << 21, 4
+#: Rows of a frequent token that are looked at together, about.
+TOKEN_ROWS = 4096
+#: Groups into which the pairs of a class are dealt before the most met of all are taken.
+DEALT = 16
 #: Pivots of a key and round, and rounds. They bear on the work, not on the result: what the rounds leave is compared in the last step.
 PIVOTS, ROUNDS = 4, 2
 #: Lists longer than this are long in the last step.
@@ -68,17 +74,21 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values * np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
+def shingled(raw: bytes | None, words: int = WORDS) -> tuple[np.ndarray, int]:
+    """Sorted distinct 64-bit hashes of a text's word shingles, and how many words it has."""
     found = raw.lower().split() if raw else []
     if not found:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 0
     width = min(words, len(found))
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     total = np.full(len(found) - width + 1, width, np.uint64)
     for k in range(width):
         total += hashes[k : len(found) - width + 1 + k] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
-    return np.unique(_mixed(total))
+    return np.unique(_mixed(total)), len(found)
+
+
+def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
+    return shingled(raw, words)[0]
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -104,18 +114,19 @@ def prefix_length(size: int, subset: int) -> int:
     return min(size, size - least_overlap(size) + subset)
 
 
-def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
-    """The size up to which enumerating 2-subsets costs least in sum, given the mean length of a light list.
+def choose_boundary(costs: dict[int, tuple[float, float]], largest: int = LARGEST_BOUNDARY) -> int:
+    """The size up to which enumerating 2-subsets costs least in sum, at most ``largest``.
 
-    A set's subsets cost one entry each, in groups that are hardly longer than its copies; a list scan costs the entries of
-    the lists it reads. ``sizes`` counts sets by size, larger ones than ``LARGEST_BOUNDARY`` together.
+    ``costs`` gives, for all sets of a size, what their subsets cost and how many list entries they scan. Sets below
+    ``least_overlap(boundary + 1)`` are in no list, as no larger set than the boundary can link with them.
     """
-    best, boundary, saved = 0.0, 1, 0.0
-    for size in range(2, LARGEST_BOUNDARY + 1):
-        width = prefix_length(size, 2)
-        saved += sizes.get(size, 0) * (prefix_length(size, 1) * (1 + list_length) - 2 * width * (width - 1) / 2)
-        if saved > best:
-            best, boundary = saved, size
+    entries = sum(scanned for _, scanned in costs.values())
+    best, boundary, filed = entries, 1, 0.0
+    for size in range(2, largest + 1):
+        filed += costs.get(size, (0, 0))[0]
+        in_no_list = sum(scanned for other, (_, scanned) in costs.items() if other < least_overlap(size + 1))
+        if filed + entries - in_no_list < best:
+            best, boundary = filed + entries - in_no_list, size
     return boundary
 
 
@@ -123,110 +134,152 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64), pa.int64())
 
 
-def _measure(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, class) of each document, and (token, times) of tokens that repeat, from one pass."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _measure(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, *keep, n_words, size, class) of each document, and (token, times) of tokens that repeat, from one pass."""
+    kept = ["doc_id", *keep]
+    row = StructType([*(StructField(c, docs.schema[c].dataType) for c in kept), *(StructField(c, LongType()) for c in ("n_words", "size", "class", "token", "times"))])
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
-        held, id_type = 0, None
+        held, types = 0, []
+        names = [*kept, "n_words", "size", "class", "token", "times", "kind"]
 
         def repeats() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(waiting), return_counts=True)
             often = times >= COUNT_LEAST
             n = int(often.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _long(token[often]), pa.array(times[often], pa.int64())],
-                ["kind", "doc_id", "size", "class", "token", "times"],
-            )
+            blank = [pa.nulls(n, kind) for kind in (*types, pa.int64(), pa.int64(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*blank, _long(token[often]), pa.array(times[often], pa.int64()), pa.array([1] * n, pa.int32())], names)
 
         for batch in batches:
-            sets = [shingles(raw) for raw in batch["text"].to_pylist()]
-            n, id_type = len(sets), batch["doc_id"].type
-            classes = pa.array([class_of(tokens) if len(tokens) else None for tokens in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), batch["doc_id"], pa.array(map(len, sets), pa.int64()), classes, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                ["kind", "doc_id", "size", "class", "token", "times"],
-            )
-            for tokens in sets:
+            n, types = batch.num_rows, [batch[c].type for c in kept]
+            words, sizes, classes = [], [], []
+            for text in batch["text"]:
+                tokens, count = shingled(text.as_py())
+                words.append(count)
+                sizes.append(len(tokens))
+                classes.append(class_of(tokens) if count else None)
                 waiting.append(tokens)
                 held += len(tokens)
                 if held >= COUNT_WINDOW:
                     yield repeats()
                     waiting, held = [], 0
+            measures = [pa.array(values, pa.int64()) for values in (words, sizes, classes)]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *measures, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([0] * n, pa.int32())], names)
         if held:
             yield repeats()
 
-    both = docs.mapInArrow(passed, f"kind int, doc_id {kind}, size long, class long, token long, times long")
+    both = docs.mapInArrow(passed, row.add("kind", "integer"))
     folder = shared_folder(docs.sparkSession)
     both.write.partitionBy("kind").parquet(folder)
     back = docs.sparkSession.read.schema(both.schema).parquet(folder)
-    return back.filter("kind = 0").select("doc_id", "size", "class"), back.filter("kind = 1").select("token", "times")
+    return back.filter("kind = 0").select(*kept, "n_words", "size", "class"), back.filter("kind = 1").select("token", "times")
 
 
-def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Sorted heavy tokens with their counts; and, of the other counted tokens, the sums of times and of their squares."""
+def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted heavy tokens with their counts."""
     totals = written(counted.groupBy("token").agg(F.sum("times").alias("times")))
-    steps = totals.groupBy(F.floor(4 * F.log2("times")).alias("step")).agg(
-        F.count("*").alias("n"), F.sum("times").alias("times"), F.sum(F.col("times").cast("double") * F.col("times")).alias("squares")
-    ).collect()
-    room, cut, times, squares = HEAVY_TOKENS, math.inf, 0.0, 0.0
+    steps = totals.groupBy(F.floor(4 * F.log2("times")).alias("step")).agg(F.count("*").alias("n")).collect()
+    room, cut = HEAVY_TOKENS, math.inf
     for step in sorted(steps, key=lambda row: -row.step):
         room -= step.n
-        if room >= 0:
-            cut = step.step
-        else:
-            times, squares = times + step.times, squares + step.squares
+        if room < 0:
+            break
+        cut = step.step
     if cut is math.inf:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), times, squares
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     chosen = totals.filter(F.floor(4 * F.log2("times")) >= cut).toPandas()
     token = chosen["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], chosen["times"].to_numpy(np.int64)[order], times, squares
+    return token[order], chosen["times"].to_numpy(np.int64)[order]
 
 
-def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray, boundary: int) -> DataFrame:
-    """(key, class, size, place): what each class files, with the token's place in its prefix or -1 for a subset; once a task."""
+def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """(key, dealt, class, size, place): the tokens in each class's prefix for c = 2 and their places there, once a task.
+
+    ``dealt`` tells the groups apart into which the classes of a frequent token are dealt; it is 0 for the others.
+    """
     order = docs.sparkSession.sparkContext.broadcast((heavy, weight))
-    # Small sets from this size on can match a large one.
-    listed = least_overlap(boundary + 1)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_heavy, weights = order.value
         seen: set[int] = set()
         for batch in batches:
-            keys, names, sizes, places = [], [], [], []
-            for raw in batch["text"].to_pylist():
-                tokens = shingles(raw)
+            keys, deals, names, sizes, places = [], [], [], [], []
+            for text in batch["text"]:
+                tokens = shingles(text.as_py())
                 size = len(tokens)
                 if size < 2 or (name := class_of(tokens)) in seen:
                     continue  # a set of one token links with its equals only
                 seen.add(name)
+                width, dealt = prefix_length(size, 2), None
                 if len(tokens_heavy):
                     place = np.minimum(np.searchsorted(tokens_heavy, tokens), len(tokens_heavy) - 1)
                     known = tokens_heavy[place] == tokens
                     if known.any():
-                        tokens = tokens[np.argsort(np.where(known, weights[place], 0), kind="stable")]
-                own = []
-                if size <= boundary:
-                    first, second = np.triu_indices(prefix_length(size, 2), 1)
-                    low, high = np.minimum(tokens[first], tokens[second]), np.maximum(tokens[first], tokens[second])
-                    own.append((_mixed(low * _ODD[0] + high * _ODD[1] + _ODD[2]), np.full(len(low), -1)))
-                if size >= listed:
-                    width = prefix_length(size, 1)
-                    own.append((tokens[:width], np.arange(width)))
-                for part, place in own:
-                    places.append(place.astype(np.int32))
-                    keys.append(part)
-                    names.append(np.full(len(part), name, np.int64))
-                    sizes.append(np.full(len(part), size, np.int32))
+                        weighed = np.where(known, weights[place], 0)
+                        by_weight = np.argsort(weighed, kind="stable")[:width]
+                        tokens = tokens[by_weight]
+                        dealt = (name & 0xFFFFFFFF) % (1 + weighed[by_weight] // TOKEN_ROWS)
+                keys.append(tokens[:width])
+                deals.append(np.zeros(width, np.int32) if dealt is None else dealt.astype(np.int32))
+                places.append(np.arange(width, dtype=np.int32))
+                names.append(np.full(width, name, np.int64))
+                sizes.append(np.full(width, size, np.int32))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate(keys)), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))],
-                    ["key", "class", "size", "place"],
+                    [_long(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in (deals, names, sizes, places))],
+                    ["key", "dealt", "class", "size", "place"],
                 )
 
-    return docs.mapInArrow(filed, "key long, class long, size int, place int")
+    return docs.mapInArrow(filed, "key long, dealt int, class long, size int, place int")
+
+
+def _lists(filed: DataFrame) -> DataFrame:
+    """(key, class, size, place) of the tokens under which classes meet; a few lists of frequent tokens may hold one class."""
+    group = Window.partitionBy("key", "dealt")
+    found = filed.select("*", F.min("class").over(group).alias("low"), F.max("class").over(group).alias("high"), F.max("dealt").over(group).alias("some"))
+    return written(found.filter("low <> high or some > 0").select("key", "dealt", "class", "size", "place").distinct().drop("dealt"))
+
+
+def _costs(lists: DataFrame) -> dict[int, tuple[float, float]]:
+    """By set size (larger ones than ``LARGEST_BOUNDARY`` together): how many subsets the sets would file, how many list entries they scan."""
+    scanned = lists.filter(f"place < {_prefix('size')}")
+    lengths = scanned.groupBy("key").agg(F.count("*").alias("length"))
+    read = scanned.join(lengths, "key").groupBy("size").agg(F.sum("length").alias("read"))
+    pairs = lists.groupBy("class", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("subsets"))
+    both = read.join(pairs, "size", "full").groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size"))
+    found = both.agg(F.sum(F.coalesce("subsets", F.lit(0.0))).alias("subsets"), F.sum(F.coalesce("read", F.lit(0))).alias("read"))
+    return {row.size: (float(row.subsets), float(row.read)) for row in found.collect()}
+
+
+def _subsets(lists: DataFrame, largest: int) -> tuple[DataFrame, dict[int, float]]:
+    """(key, class, size, place) of the 2-subsets of the sets up to a size under which classes meet, with place -1; and what they cost by size.
+
+    A subset costs its own entry and those that it meets. A set's kept tokens are bounded by the prefix of the largest size.
+    """
+    tokens = lists.filter(f"size <= {largest}").groupBy("class", "size").agg(F.sort_array(F.collect_list("key")).alias("tokens"))
+    subsets = tokens.select(F.explode(F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")).alias("key"), "class", "size")
+    subsets = written(subsets)
+    lengths = subsets.groupBy("key").agg(F.count("*").alias("length"))
+    entries = subsets.join(lengths, "key")
+    costs = {row.size: float(row.cost) for row in entries.groupBy("size").agg(F.sum(F.col("length") + 1).alias("cost")).collect()}
+    return entries.filter("length > 1").select("key", "class", "size", F.lit(-1).alias("place")), costs
+
+
+def _filed_by_size(lists: DataFrame, costs: dict[int, tuple[float, float]]) -> tuple[DataFrame, int]:
+    """(key, class, size, place): the lists for c = 1 of the sets that a large one may link with, and the subsets of small sets; and the boundary.
+
+    Subsets are filed up to where their mere number allows; the lengths of the lists that they make then give the boundary.
+    """
+    largest = choose_boundary(costs)
+    boundary, small = 1, None
+    if largest > 1:
+        subsets, measured = _subsets(lists, largest)
+        boundary = choose_boundary({size: (measured.get(size, 0.0), scanned) for size, (_, scanned) in costs.items()}, largest)
+        small = subsets.filter(f"size <= {boundary}")
+    large = lists.filter(f"size >= {least_overlap(boundary + 1)} and place < {_prefix('size')}")
+    return (large if small is None else large.union(small)), boundary
 
 
 def _can_link(a: str, b: str) -> str:
@@ -258,10 +311,10 @@ def _pairs_to_compare(apart: DataFrame, bodies: DataFrame, listed: int) -> DataF
 
     Short lists give their pairs with the number of keys shared; with as many more as both have keys in long lists, that
     must be enough. Pairs that share keys of long lists only must have the first of these early enough in both
-    prefixes for the others to follow it, and sketches that do not differ by more than linked sets can.
+    prefixes for the others to follow it (a long list of a subset tells nothing of the kind), and sketches that do not differ by more than linked sets can.
     """
-    rows = written(apart.withColumn("is_long", F.expr(f"length > {LONG_LIST} and place >= 0")).drop("length"))
-    longs = small_enough(written(rows.filter("is_long").groupBy("class").agg(F.count("*").alias("longs"))))
+    rows = written(apart.withColumn("is_long", F.expr(f"length > {LONG_LIST}")).drop("length"))
+    longs = small_enough(written(rows.filter("is_long and place >= 0").groupBy("class").agg(F.count("*").alias("longs"))))
     rows = rows.join(longs, "class", "left").select("key", "class", "size", "place", "part", F.coalesce("longs", F.lit(0)).alias("longs"), "is_long")
     rows = written(rows)
 
@@ -287,7 +340,7 @@ def _pairs_to_compare(apart: DataFrame, bodies: DataFrame, listed: int) -> DataF
     many = (
         one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
         .filter(f"{SHARE[0] + SHARE[1]} * ({differ}) <= {SHARE[1] - SHARE[0]} * (size_a + size_b)")
-        .filter(f"least(longs_a, longs_b) >= {sure} and place_a <= {_prefix('size_a')} - {sure} and place_b <= {_prefix('size_b')} - {sure}")
+        .filter(f"place_a < 0 or least(longs_a, longs_b) >= {sure} and place_a <= {_prefix('size_a')} - {sure} and place_b <= {_prefix('size_b')} - {sure}")
     )
     return few.select("a", "b").union(many.select("a", "b")).distinct()
 
@@ -340,10 +393,11 @@ def _pivot_pairs(parts: DataFrame, turn: int) -> DataFrame:
 
     A key's pivots are its first classes by ``PIVOTS`` hash orders, other ones each turn: minima over the key.
     """
-    of_key = Window.partitionBy("key")
     order = lambda k: F.struct(F.xxhash64("class", F.lit(turn * PIVOTS + k)), "class", "size", "part")
-    pivots = F.array_distinct(F.array(*(F.min(order(k)).over(of_key) for k in range(PIVOTS))))
-    offered = parts.select("class", "size", "part", pivots.alias("pivots")).withColumn("pivot", F.explode("pivots"))
+    of_key = parts.groupBy("key").agg(*(F.min(order(k)).alias(f"pivot{k}") for k in range(PIVOTS)))
+    of_key = of_key.select("key", F.array_distinct(F.array(*(f"pivot{k}" for k in range(PIVOTS)))).alias("pivots"))
+    parts = parts.join(of_key, "key")
+    offered = parts.select("class", "size", "part", "pivots").withColumn("pivot", F.explode("pivots"))
     # Two pivots of one key offer their pair to each other: the smaller one's offer counts.
     once = F.expr("class < pivot.class or not exists(pivots, x -> x.class = class)")
     apart = offered.filter("part <> pivot.part").filter(once).filter(_can_link("size", "pivot.size"))
@@ -356,16 +410,17 @@ def _pivot_pairs(parts: DataFrame, turn: int) -> DataFrame:
 def _most_met(candidates: DataFrame) -> DataFrame:
     """Of the pairs (a, b, n), those that are among the ``PIVOTS`` most met of either class."""
     both = candidates.select(F.col("a").alias("of"), "a", "b", "n").union(candidates.select(F.col("b").alias("of"), "a", "b", "n"))
-    # A pivot of thousands has as many rows here; they come in order and only the first are kept on either side of the shuffle.
-    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "a", "b"))
-    return both.withColumn("place", place).filter(f"place <= {PIVOTS}").select("a", "b").distinct()
+    # A pivot of thousands has as many rows here: the most met are taken of each of its dealt groups first, then of those.
+    for of in (("of", "dealt"), ("of",)):
+        place = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("n"), "a", "b"))
+        both = both.withColumn("dealt", F.pmod(F.xxhash64("a", "b"), F.lit(DEALT))).withColumn("place", place).filter(f"place <= {PIVOTS}")
+    return both.select("a", "b").distinct()
 
 
 def _apart(parts: DataFrame) -> DataFrame:
     """The meetings under keys where more than one component meets, and the ``length`` of their lists."""
-    of_key = Window.partitionBy("key")
-    wide = parts.select("*", F.min("part").over(of_key).alias("low"), F.max("part").over(of_key).alias("high"), F.count("*").over(of_key).alias("length"))
-    return wide.filter("low <> high").drop("low", "high")
+    wide = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("length"))
+    return parts.join(wide.filter("low <> high").select("key", "length"), "key")
 
 
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -375,36 +430,28 @@ def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(raw) for raw in batch["text"].to_pylist()]
-            names = [class_of(tokens) if len(tokens) else None for tokens in sets]
-            cells = pa.array([sketch(tokens) for tokens in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"], cells], ["class", "text", "sketch"])
+            names, cells = [], []
+            for text in batch["text"]:
+                tokens = shingles(text.as_py())
+                names.append(class_of(tokens) if len(tokens) else None)
+                cells.append(sketch(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"], pa.array(cells, pa.list_(pa.int64()))], ["class", "text", "sketch"])
 
     return written(found.select("text").mapInArrow(named, "class long, text binary, sketch array<long>").filter("class is not null"))
 
 
-def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``jaccard_classes`` and the component by its class, as components of rows that share an id share a component_id."""
-    rows = texts(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary"))
-    measured, counted = _measure(rows)
+def classes_and_components(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For a frame of doc_id, text (binary) and the columns to ``keep``: these without the text, and n_words, n_shingles, class, component
+    (the class by which it goes) and component_id, as components of rows that share an id share a component_id."""
+    measured, counted = _measure(rows, keep)
     classes = written(measured.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")))
-
-    sizes = {row.size: row.n for row in classes.groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size")).agg(F.count("*").alias("n")).collect()}
-    all_tokens = measured.agg(F.sum("size")).first()[0] or 0
-    heavy, weight, times, squares = _heavy(counted)
-    # Tokens that no task saw repeat have lists of one; those counted below the heavy ones have lists of their counts.
-    list_length = (max(all_tokens - times, 0) + squares) / max(all_tokens, 1)
-    boundary = choose_boundary(sizes, list_length)
-
+    heavy, weight = _heavy(counted)
     # Classes of rows that have an id, so that every meeting can be looked up.
-    filed = _file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight, boundary)
-    of_key = Window.partitionBy("key")
-    met = written(
-        filed.select("*", F.min("class").over(of_key).alias("low"), F.max("class").over(of_key).alias("high"))
-        .filter("low <> high").select("key", "class", "size", "place").distinct()
-    )
+    lists = _lists(_file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight))
+    met, boundary = _filed_by_size(lists, _costs(lists))
+    met = written(met)
     nodes = written(met.select("class").distinct())
-    bodies = _bodies(rows, classes.join(nodes, "class", "left_semi"))
+    bodies = _bodies(rows.select("doc_id", "text"), classes.join(nodes, "class", "left_semi"))
 
     listed = least_overlap(boundary + 1)
     tried = links = None
@@ -425,14 +472,18 @@ def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     first = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = written(linked.join(written(first), "component").select("class", "component", "component_id"))
     return measured.join(named, "class", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), "class", "component",
+        "doc_id", *keep, "n_words", F.col("size").alias("n_shingles"), "class", "component",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
+def _components(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return classes_and_components(texts(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary")))
+
+
 def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, class (null for an empty set), component_id (smallest doc_id reachable by links)."""
-    return _components(docs, id_column, text_column).drop("component")
+    return _components(docs, id_column, text_column).select("doc_id", "n_shingles", "class", "component_id")
 
 
 def _with_class(docs: DataFrame, text_column: str, name: str) -> DataFrame:
@@ -448,14 +499,6 @@ def _with_class(docs: DataFrame, text_column: str, name: str) -> DataFrame:
     return docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
-def clusters(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(class, cluster) of the classes that links join to one of a smaller name; any other class names its own cluster."""
-    text = F.col(f"`{text_column}`").cast("string")
-    named = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))  # rows without an id take part
-    found = _components(named, "doc_id", "text").filter("class <> component")
-    return written(found.select("class", F.col("component").alias("cluster")).distinct())
-
-
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of ``docs``: one with its smallest doc_id.
 

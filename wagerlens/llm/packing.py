@@ -1,6 +1,7 @@
 """Best-fit packing (operator 10) under conflicts of source and duplicate cluster.
 
 Documents are cut into pieces of at most ``capacity`` units; full pieces fill a bin each. The others are dealt by a hash of their id
+(rows of an id that fills a good part of a block, and rows without one, by their place)
 into blocks of about ``BLOCK`` pieces, and each block is packed by itself, so that work grows with the pieces and no task holds
 more than a block. Within a block pieces go from the largest down. Open bins are kept ordered by residual;
 the first bin whose residual is large enough is the tightest, and the search goes on to its
@@ -16,16 +17,18 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wagerlens.llm.common import small_enough, table, texts
-from wagerlens.llm.ngram_join import class_of, clusters, shingles
+from wagerlens.llm.common import ship, small_enough, table, texts, written
+from wagerlens.llm.ngram_join import classes_and_components
 
 CAPACITY, BLOCK = 1024, 4096
+#: Rows of one id from which on they are spread by place.
+REPEATED = 64
 
 
 def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) -> list[int]:
@@ -59,19 +62,21 @@ def best_fit(items: list[tuple[int, int | None, int | None]], capacity: int) ->
     return found
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pieces: int | None = None) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Pack a frame of doc_id, size, source, cluster.
 
     Returns doc_id, piece, start, size (of the piece), source, cluster, block, part, bin and bin_size. A bin is named by block, part
-    and bin: part 0 holds packed pieces, further parts full ones. ``pieces`` is about their number, if known; else the frame is counted.
+    and bin: part 0 holds packed pieces, further parts full ones.
     """
     kind = sized.schema["doc_id"].dataType.simpleString()
-    number = sized.count() if pieces is None else pieces
-    blocks = max(1, -(-number // block))
-    cut = sized.select(
+    sized = written(sized.select("doc_id", "size", "source", "cluster"))  # the rows' places must not change from here on
+    blocks = max(1, -(-sized.count() // block))
+    often = sized.filter("doc_id is not null").groupBy("doc_id").count().filter(f"count >= {REPEATED}").select("doc_id", F.lit(True).alias("often"))
+    placed = sized.withColumn("place", F.monotonically_increasing_id()).join(small_enough(written(often)), "doc_id", "left")
+    spread = F.when(F.col("doc_id").isNull() | F.col("often"), F.col("place"))
+    cut = placed.select(
         "doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("total"), F.xxhash64("source").alias("source_hash"), "source", F.col("cluster").cast("long").alias("cluster"),
-        # Rows without an id are spread by their place, else by their id.
-        F.pmod(F.xxhash64(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(blocks)).alias("block"),
+        F.pmod(F.xxhash64(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), spread), F.lit(blocks)).alias("block"),
     )
     last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / capacity).cast("long"))
     cut = cut.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -97,42 +102,42 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, pieces:
     return cut.select(*columns, "source_hash").groupBy("block", "part").applyInArrow(packed, types)
 
 
-def _same_words(words: list[bytes]) -> int | None:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
-
-
-def measured(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source", name: Callable[[list[bytes]], int | None] = _same_words
-) -> DataFrame:
-    """doc_id, size in words, source, and a cluster: what ``name`` gives for the words in lower case, by itself the same for equal words only."""
+def measured(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str | None = "source") -> DataFrame:
+    """doc_id, size in words, source, and a cluster: the same for texts of equal words, but for case."""
     kept = texts(docs, id_column, text_column)
-    source: Column = F.col(f"`{source_column}`").cast("string") if source_column in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").cast("binary").alias("text"), source.alias("source"))
+    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").cast("string").cast("binary").alias("text"), _source(docs, source_column))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(raw or b"").lower().split() for raw in batch["text"].to_pylist()]
-            clusters = [name(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(len, words), pa.int64()), batch["source"], pa.array(clusters, pa.int64())], ["doc_id", "size", "source", "cluster"])
+            sizes, clusters = [], []
+            for text in batch["text"]:  # one text's words at a time
+                words = (text.as_py() or b"").lower().split()
+                sizes.append(len(words))
+                clusters.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), batch["source"], pa.array(clusters, pa.int64())], ["doc_id", "size", "source", "cluster"])
 
     return rows.mapInArrow(sized, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, size long, source string, cluster long")
 
 
+def _source(docs: DataFrame, source_column: str | None) -> Column:
+    return (F.col(f"`{source_column}`").cast("string") if source_column in docs.columns else F.lit(None).cast("string")).alias("source")
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """``pack`` for documents by their words; the documents are counted for the number of blocks (a Parquet table's footers tell)."""
-    return pack(measured(docs), capacity, block, pieces=docs.count())
+    """``pack`` for documents by their words."""
+    return pack(measured(docs), capacity, block)
 
 
 def pack_near_copies(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
-    """``pack_documents`` for documents not yet rid of near copies: a cluster is a component of the n-gram Jaccard join."""
-
-    def named(words: list[bytes]) -> int | None:
-        return class_of(shingles(b" ".join(words))) if words else None
+    """``pack_documents`` for documents not yet rid of near copies: a cluster is a component of the n-gram Jaccard join.
 
-    sized = measured(docs, name=named)
-    joined = sized.withColumnRenamed("cluster", "class").join(small_enough(clusters(docs)), "class", "left")
-    rows = joined.select("doc_id", "size", "source", F.coalesce("cluster", "class").alias("cluster"))
-    return pack(rows, capacity, block, pieces=docs.count())
+    Sizes come from the join's first pass over the texts. The join knows a row by its text, so that rows without an id take part.
+    """
+    ship(docs.sparkSession)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64(text).alias("doc_id"), text.cast("binary").alias("text"), F.col("doc_id").alias("given_id"), _source(docs, "source"))
+    found = classes_and_components(rows, keep=("given_id", "source"))
+    return pack(found.select(F.col("given_id").alias("doc_id"), F.col("n_words").alias("size"), "source", F.col("component").alias("cluster")), capacity, block)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
