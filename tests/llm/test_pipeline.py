@@ -40,6 +40,6 @@ def test_odd_rows_and_no_rows(spark, documents, odd_rows, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in driver.queries() if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in driver.queries() if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in driver.queries()
     assert packing.CAPACITY > 0

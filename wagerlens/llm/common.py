@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zipfile
+from collections import OrderedDict
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,14 +35,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``. Only a local master may leave that unset; it then gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_wagerlens_folder", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="wagerlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.sparkContext._wagerlens_folder = tempfile.mkdtemp(prefix="wagerlens-")
     return f"{root.rstrip('/')}/wagerlens-{uuid.uuid4().hex}"
 
 
+#: Things that a worker process keeps for the tasks to come; each has bounds of its own.
+RESIDENTS = 3
+_residents: OrderedDict[str, Any] = OrderedDict()
+
+
+def resident(key: str, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, made once in a worker process for a key, as long as it is among the last ``RESIDENTS`` that were used."""
+    if key not in _residents:
+        while len(_residents) >= RESIDENTS:
+            _residents.popitem(last=False)
+        _residents[key] = build()
+    _residents.move_to_end(key)
+    return _residents[key]
+
+
+def version(kind: str, path: str) -> str:
+    """A name of a file's content, as a key for ``resident``."""
+    return f"{kind}:{hashlib.sha256(Path(path).read_bytes()).hexdigest()}"
+
+
 #: Rows that one task writes of a step whose number of rows is known beforehand.
 TASK_ROWS = 100_000
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wagerlens.llm import backoff, url_filter
+from wagerlens.llm import backoff, conversations, decontamination, spelling, url_filter
 from wagerlens.llm.bpe_count import op6_token_counts
 from wagerlens.llm.compression_rules import op8_quality_rules
 from wagerlens.llm.embedding_dedup import op2_embedding_dedup
@@ -27,6 +27,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL, "op5_lm_scoring": backoff.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
+    "op5_lm_scoring": backoff.ORACLE_SQL,
+    "op11_benchmark_decontamination": decontamination.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
+}
