@@ -13,7 +13,7 @@ from wagerlens.operators.financial import fin_total_ggr
 from wagerlens.operators.payments import pay_peak_hours
 from wagerlens.sources.checks import check_domains, check_keys, verify_row_counts
 from wagerlens.sources.cleaning import clean_all, clean_deposits, clean_players, split_bad_rows
-from wagerlens.sources.store import bad_rows, load, prepare, write_part
+from wagerlens.sources.store import LOAD, bad_rows, load, prepare, write_part
 from wagerlens.sources.text import RAW_COLUMNS, export_result, raw_schema, read_table
 from wagerlens.streaming.ingest import ingest_new_files
 
@@ -176,6 +176,65 @@ def test_a_repeated_batch_is_not_doubled(spark, tmp_path):
     assert spark.read.parquet(f"{store}/players/*").count() == 1
 
 
+def _land(landing, **files):
+    landing.mkdir(exist_ok=True)
+    for name, line in files.items():
+        (landing / f"{name}.csv").write_text(",".join(RAW_COLUMNS["players"]) + f"\n{line}\n")
+
+
+def test_ingest_under_another_checkpoint(spark, tmp_path, monkeypatch):
+    """Neither another shared folder nor a lost checkpoint loses or doubles a row; files that go together differently count once."""
+    store, landing = _store(tmp_path), tmp_path / "landing"
+    ids = lambda: sorted(r.user_id for r in load(spark, store).players.collect())
+    monkeypatch.setattr("wagerlens.streaming.ingest.checkpoint_folder", lambda store_dir, table: str(tmp_path / f"checkpoint-{uuid.uuid4().hex}"))
+    _land(landing, a="1,34,M,40\n2,,F,")
+    ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+    _land(landing, b="3,19,M,276")
+    for _ in range(2):  # each run sees all files
+        ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+        assert ids() == [1, 2, 3]
+    _land(landing, b="4,19,M,276", c="3,19,M,276")  # a file with other rows and an old file's rows under another name are new files
+    ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+    assert ids() == [1, 2, 3, 3, 4]
+
+
+def test_an_unfinished_batch_is_not_read(spark, tmp_path, monkeypatch):
+    """A part without a record counts for nothing; the next run takes its files in, whatever comes with them."""
+    store, landing = _store(tmp_path), tmp_path / "landing"
+    _land(landing, a="1,34,M,40")
+    with monkeypatch.context() as patch:
+        patch.setattr("wagerlens.streaming.ingest.record_folder", lambda *_: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+    assert spark.read.parquet(f"{store}/players/*").count() == 1 and load(spark, store).players.count() == 0
+    _land(landing, b="2,34,M,40")
+    monkeypatch.setattr("wagerlens.streaming.ingest.checkpoint_folder", lambda *_: str(tmp_path / "other"))
+    ingest_new_files(spark, "players", str(landing), store).awaitTermination()
+    assert sorted(r.user_id for r in load(spark, store).players.collect()) == [1, 2]
+
+
+def test_a_store_with_empty_tables_and_foreign_parts(spark, tmp_path, rows):
+    from wagerlens.plans.catalog import REPORTS
+
+    store = _store(tmp_path)
+    write_part(spark.createDataFrame([("1", "34", "M", "40")], raw_schema("players")), "players", store, LOAD)
+    t = load(spark, store)
+    assert [getattr(t, name).count() for name in SCHEMAS] == [1, 0, 0, 0, 0]
+    assert rows(REPORTS["acq_player_count"](t)) and REPORTS["risk_composite_score"](t).count() == 0
+    write_part(spark.createDataFrame([("1", "34", "M", "40")], raw_schema("players")), "players", store, "batch-000000000")
+    with pytest.raises(ValueError, match="load the store anew"):
+        load(spark, store)
+
+
+def test_parts_are_sorted_by_date(spark, tmp_path):
+    store = _store(tmp_path)
+    raw = spark.range(3000).selectExpr("string(id % 7)", "string(date_add(date'2015-01-01', int(id * 37 % 400)))", "'1'", "'1.00'", "'0.50'").toDF(*RAW_COLUMNS["cash_days"])
+    write_part(raw, "cash_days", store, LOAD)
+    for file in (tmp_path / store.rsplit("/")[-1]).rglob("*.parquet"):
+        days = [r.play_date for r in spark.read.parquet(str(file)).collect()]
+        assert days == sorted(days)
+
+
 def test_ingest_refuses_a_swapped_header(spark, tmp_path):
     store, landing = _store(tmp_path), tmp_path / "landing"
     landing.mkdir()
