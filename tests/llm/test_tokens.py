@@ -66,6 +66,70 @@ def test_pieces_match_the_library(strange_texts):
     assert [np.frombuffer(ids(x), np.int32).tolist() for x in texts] == [library.encode(x) for x in texts]
 
 
+def piece_model(path, pieces, kind, byte_pieces):
+    """A model file of given (piece, score) and kind, written out by hand; nothing is trained."""
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + np.float32(value).tobytes()
+        size, head = len(value), b""
+        while size >= 0x80:
+            head, size = head + bytes([size & 0x7F | 0x80]), size >> 7
+        return bytes([number << 3 | 2]) + head + bytes([size]) + value
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] * byte_pieces + [(p, s, 1) for p, s in pieces]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in rows)
+    body += field(2, field(3, kind) + (bytes([35 << 3 & 0x7F | 0x80, 35 << 3 >> 7, 1]) if byte_pieces else b""))
+    body += field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path.write_bytes(body)
+    return str(path)
+
+
+def score_pieces(seed, step):
+    """Pieces over a few letters; scores are multiples of ``step``, so that many paths tie."""
+    draw = random.Random(seed)
+    pieces = {"".join(draw.choice("▁abcdé") for _ in range(draw.randint(1, 7))) for _ in range(150)} | set("▁abcd")
+    return [(p, -step * draw.randint(1, 40) * len(p) ** 0.5 if step < 0.5 else -step * draw.randint(1, 12)) for p in sorted(pieces)]
+
+
+@pytest.mark.parametrize("byte_pieces", [False, True])
+@pytest.mark.parametrize("step", [0.37, 1.0])
+def test_scored_pieces_match_the_library(tmp_path, strange_texts, step, byte_pieces):
+    """Unigram models: sums that tie, unknown characters, pieces with marks inside, long texts in which sums are rounded."""
+    import sentencepiece
+
+    path = piece_model(tmp_path / "unigram.model", score_pieces(int(step * 9), step), 1, byte_pieces)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = C.encoder(C.read_pieces(path))
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(" aabbccddéx") for _ in range(draw.randint(0, 90))) for _ in range(2000)] + strange_texts[:300] + ["abcd" * 9000, "xy  z" * 50, "".join(draw.choice("ab cdé") for _ in range(60_000))]
+    assert [np.frombuffer(ids(x), np.int32).tolist() for x in texts] == [library.encode(x) for x in texts]
+
+
+def test_the_window_of_scores_stays_small(tmp_path):
+    pieces = C.read_pieces(piece_model(tmp_path / "m.model", score_pieces(3, 0.37), 1, False))
+    lattice, draw = C.ScoreLattice(pieces), random.Random(5)
+    parts = list(lattice.committed("".join(draw.choice("▁abcdé") for _ in range(20_000))))
+    assert len(parts) > 100 and max(len(part) for part in parts) < 20 * pieces.longest
+
+
+def test_scored_frames(documents, odd_rows, tmp_path):
+    import sentencepiece
+
+    path = piece_model(tmp_path / "u.model", score_pieces(3, 0.37), 1, True)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = C.encode_pieces(documents(odd_rows), path).collect()
+    assert sorted(((r.doc_id, r.ids) for r in found), key=str) == sorted(((i, library.encode(t or "")) for i, t, _ in odd_rows), key=str)
+    assert all(r.round_trip for r in C.round_trips(documents(odd_rows), path).collect())
+
+
+def test_other_models_are_refused(tmp_path):
+    with pytest.raises(ValueError, match="only unigram and BPE"):
+        C.read_pieces(piece_model(tmp_path / "w.model", score_pieces(3, 1.0), 3, False))
+
+
 def test_the_window_stays_small():
     """On a text without a cut the search commits as it goes, and what it commits is the whole encoding."""
     import sentencepiece

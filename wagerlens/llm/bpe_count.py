@@ -5,7 +5,7 @@ pair that has a rank; the lowest rank is popped (the leftmost first), the two sy
 become one, and the pairs it now forms are pushed. The count is symbols minus merges.
 
 Texts are cut where the library's pre-tokenizer always cuts (before white space that follows
-other text), and the counts of pieces seen are kept in a bounded memo. A special string inside a text
+other text), and the counts of pieces seen are kept in a bounded memo, as long as its worker process lives (some 150 MB of it when full). A special string inside a text
 counts as one token, as by the library's default. Vocabulary: the ``.json`` of a byte-level BPE, read
 on the driver from a given path and broadcast; ``MAX_MERGES`` bounds its size.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from wagerlens.llm.common import table, texts
+from wagerlens.llm.common import resident, table, texts, version
 
 MAX_MERGES = 1_000_000
 #: Entries of one generation of a worker's memo, and the longest key that is kept; longer pieces are counted each time.
@@ -141,10 +141,10 @@ def counter(merges: Merges) -> Callable[[str], int]:
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     rows = texts(docs, id_column, text_column)
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_merges(path))
+    vocabulary, name = docs.sparkSession.sparkContext.broadcast(read_merges(path)), version("merges", path)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary.value)
+        count = resident(name, lambda: counter(vocabulary.value))
         for batch in batches:
             given = [text or "" for text in batch["text"].to_pylist()]
             n_bytes = [len(text.encode("utf-8", "surrogatepass")) for text in given]

@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Things that a worker process keeps for the tasks to come; each has bounds of its own.
-RESIDENTS = 3
+RESIDENTS = 2
 _residents: OrderedDict[str, Any] = OrderedDict()
 
 

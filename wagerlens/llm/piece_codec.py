@@ -1,17 +1,22 @@
 """SentencePiece encoding and decoding (operator 9) by a streaming Viterbi search.
 
-The public model is of the BPE kind, whose encoding is not the path of greatest summed scores. It is, all the same, the one
-path through the lattice of pieces whose neighbours are all *stable*: merging the two side by side, the
-best pair first, ends in the two again. So each position has one survivor, the piece that is stable after the survivor
-where it starts, found among the pieces that end there. The search keeps backpointers from the last committed boundary on.
-Whenever all paths from the last ``longest`` positions (the longest piece's length) go back to one boundary, the ids before it are final: they are
-emitted and forgotten, so that a text of any length needs a window only.
-
-No piece of the model has a word mark inside, so all paths converge before each run of word marks; texts are
-cut there, and the ids of short cuts are kept in a bounded memo.
-
-Defined cases: null and empty texts have no ids; characters without a piece are their UTF-8 bytes' pieces, or the unknown piece
-if the model has no byte pieces; decoding drops the leading space that encoding adds and turns broken UTF-8 into U+FFFD; a
+A model's pieces span a lattice over a text. The search keeps, for each place, the one survivor that ends there, with a
+backpointer to where its last piece starts, from the last committed boundary on. Whenever all paths from the last ``longest`` positions (the
+longest piece's length) go back to one boundary, the ids before it are final: they are emitted and forgotten, so that a text of any
+length needs a window only. The model's kind says which path survives.
+
+*Unigram*: the one with the greatest sum of scores, the first found of equals, a character without a piece at the least score less a
+penalty. Sums are kept in single precision from the text's start, as the library does, or long texts would round otherwise.
+
+*BPE*: such a model's encoding is not the path of greatest summed scores. It is, all the same, the one path through the lattice whose
+neighbours are all *stable*: merging the two side by side, the best pair first, ends in the two again. So each position has one
+survivor, the piece that is stable after the survivor where it starts, found among the pieces that end there.
+
+Where no piece of a BPE model has a word mark inside, all paths converge before each run of word marks; texts are
+cut there, and the ids of short cuts are kept in a bounded memo. An encoder lives as long as its worker process.
+
+Defined cases: null and empty texts have no ids; characters without a piece are their UTF-8 bytes' pieces, or the unknown piece,
+once for several in a row, if the model has no byte pieces; decoding drops the leading space that encoding adds and turns broken UTF-8 into U+FFFD; a
 word mark (U+2581) in a text decodes as a space, so such texts do not round-trip; every given row gives one row; no rows give no
 rows; other columns are ignored.
 """
@@ -19,7 +24,8 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
@@ -29,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wagerlens.llm.bpe_count import Memo
-from wagerlens.llm.common import table, texts
+from wagerlens.llm.common import resident, table, texts, version
 
 MAX_PIECES = 1_000_000
 MEMO_ENTRIES, MEMO_LENGTH = 200_000, 48
@@ -37,6 +43,11 @@ MEMO_ENTRIES, MEMO_LENGTH = 200_000, 48
 DECIDED = 1_000_000
 MARK = "▁"
 
+# Fixed values of the model files: kinds of models and of pieces, and how far below the least score an unknown character lies.
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNKNOWN_PENALTY = 10.0
+
 
 @dataclass(frozen=True)
 class Pieces:
@@ -51,6 +62,9 @@ class Pieces:
     cut_at_marks: bool
     #: What each id decodes to.
     bytes_of_id: tuple[bytes, ...]
+    #: Scores of pieces and of an unknown character; None for a BPE model.
+    scores: dict[str, float] | None = None
+    unknown_score: float = 0.0
 
 
 def merge_all(text: str, ranks: dict[str, float]) -> list[tuple[str, str]]:
@@ -76,35 +90,74 @@ def merge_all(text: str, ranks: dict[str, float]) -> list[tuple[str, str]]:
     return merges
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a message: number and value, bytes for texts and messages."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value, shift = 0, 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = number() if tag & 7 == 2 else 4 if tag & 7 == 5 else 8
+            yield tag >> 3, raw[at : at + size]
+            at += size
+
+
 def read_pieces(path: str) -> Pieces:
-    """Read a ``.model`` file of the BPE kind with identity normalisation, through its library; other kinds are refused on a sample."""
+    """Read a ``.model`` file of the BPE or the unigram kind with identity normalisation; what else it may ask for is refused on a sample."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.vocab_size()
     if size > MAX_PIECES:
         raise ValueError(f"more than {MAX_PIECES} pieces")
-    text = [model.id_to_piece(i) for i in range(size)]
-    byte_ids = {int(text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-    plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-    ids, ranks = {text[i]: i for i in plain}, {text[i]: -model.get_score(i) for i in plain}
-    if model.encode(" ﬁ  x", out_type=str)[0][:1] != MARK or "ﬁ" not in model.decode(model.encode("ﬁ")):
+    text, scores, types, kind = [], [], [], UNIGRAM
+    for field, value in _fields(model.serialized_model_proto()):
+        if field == 1:
+            given = dict(_fields(value))
+            text.append(given[1].decode())
+            scores.append(float(np.frombuffer(given[2], np.float32)[0]) if 2 in given else 0.0)
+            types.append(given.get(3, NORMAL))
+        elif field == 2:
+            kind = dict(_fields(value)).get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE) or USER_DEFINED in types:
+        raise ValueError("only unigram and BPE models without pieces of a user's own are supported")
+    byte_ids = {int(text[i][3:5], 16): i for i in range(size) if types[i] == BYTE}
+    plain = [i for i in range(size) if types[i] == NORMAL]
+    ids = {text[i]: i for i in plain}
+    if model.encode(" ﬁ  x", out_type=str)[0][:1] != MARK or model.decode(model.encode("a  ")) != "a  ":
         raise ValueError("only models with a leading mark and identity normalisation are supported")
-    halves = {}
-    for piece in ids:
-        if len(piece) > 1 and (merges := merge_all(piece, ranks)) and "".join(merges[-1]) == piece:
-            halves[piece] = merges[-1]
+    ranks, halves = {}, {}
+    if kind == BPE:
+        ranks = {text[i]: -scores[i] for i in plain}
+        for piece in ids:
+            if len(piece) > 1 and (merges := merge_all(piece, ranks)) and "".join(merges[-1]) == piece:
+                halves[piece] = merges[-1]
     decoded = [
-        bytes([int(text[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else text[i].replace(MARK, " ").encode()
+        bytes([int(text[i][3:5], 16)]) if types[i] == BYTE else b"" if types[i] == CONTROL else " ⁇ ".encode() if types[i] == UNKNOWN else text[i].replace(MARK, " ").encode()
         for i in range(size)
     ]
+    least = min((scores[i] for i in plain), default=0.0)
     found = Pieces(
         ids, ranks, halves, tuple(byte_ids[b] for b in range(256)) if len(byte_ids) == 256 else (), model.unk_id(),
-        max(map(len, halves), default=1), not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
+        max(map(len, ids if kind == UNIGRAM else halves), default=1), not any(re.search(f"[^{MARK}]{MARK}", piece) for piece in ids), tuple(decoded),
+        {text[i]: scores[i] for i in plain} if kind == UNIGRAM else None, float(np.float32(np.float32(least) - np.float32(UNKNOWN_PENALTY))),
     )
-    sample = " ".join(piece.replace(MARK, " ") + other for piece, other in zip(list(ids)[:500], reversed(list(ids))))
+    sample = " ".join(piece.replace(MARK, " ") + other for piece, other in zip(list(ids)[:500], reversed(list(ids)))) + " ﬁ  ①\u3000é"
     if np.frombuffer(encoder(found)(sample), np.int32).tolist() != model.encode(sample):
-        raise ValueError("the model does not merge pieces by rank")
+        raise ValueError("the model asks for more than its pieces say, such as another normalisation")
     return found
 
 
@@ -193,12 +246,7 @@ class Lattice:
             starts.append(start)
             units.append(unit)
             if len(starts) >= window:
-                ends = set(range(end - self.pieces.longest + 1, end + 1))
-                while len(ends) > 1:  # go back from the last of them until one boundary is left
-                    late = max(ends)
-                    ends.remove(late)
-                    ends.add(starts[late - done - 1] if late > done else done)
-                boundary = ends.pop()
+                boundary = _converged(starts, done, range(end - self.pieces.longest + 1, end + 1))
                 if boundary > done:
                     yield _trace(starts, units, done, boundary)
                     before = units[boundary - done - 1]
@@ -207,6 +255,16 @@ class Lattice:
             yield _trace(starts, units, done, len(text))
 
 
+def _converged(starts: list[int], done: int, positions: Iterable[int]) -> int:
+    """The boundary to which all paths from some positions go back."""
+    ends = set(positions)
+    while len(ends) > 1:  # go back from the last of them until one is left
+        late = max(ends)
+        ends.remove(late)
+        ends.add(starts[late - done - 1] if late > done else done)
+    return ends.pop()
+
+
 def _trace(starts: list[int], units: list[int], done: int, end: int) -> list[tuple[int, int]]:
     found = []
     while end > done:
@@ -216,9 +274,71 @@ def _trace(starts: list[int], units: list[int], done: int, end: int) -> list[tup
     return found[::-1]
 
 
+class ScoreLattice:
+    """The pieces of a unigram model by a trie over their characters; ``committed`` as in ``Lattice``."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.units = list(pieces.scores)
+        self.root: dict = {}
+        for number, unit in enumerate(self.units):
+            node = self.root
+            for char in unit:
+                node = node.setdefault(char, {})
+            node[0] = number, pieces.scores[unit]
+
+    def committed(self, text: str) -> Iterator[list[tuple[int, int]]]:
+        root, unknown = self.root, self.pieces.unknown_score
+        longest, size, single = self.pieces.longest, len(text), struct.Struct("f")
+        window = 4 * longest
+        done = 0
+        # For each position after ``done``: where its survivor starts, which unit it is, and the sum; -1 where nothing ends yet.
+        starts: list[int] = []
+        units: list[int] = []
+        sums: list[float] = []
+        so_far = 0.0
+        for start in range(size):
+            if start > done:
+                so_far = sums[start - done - 1]
+            node, end, alone = root, start, False
+            while end < size:
+                node = node.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                if end - done > len(starts):
+                    starts.append(-1)
+                    units.append(-1)
+                    sums.append(0.0)
+                if 0 in node:
+                    unit, score = node[0]
+                    place, total = end - done - 1, single.unpack(single.pack(score + so_far))[0]
+                    if starts[place] < 0 or total > sums[place]:
+                        starts[place], units[place], sums[place] = start, unit, total
+                    alone = alone or end == start + 1
+            if not alone:
+                if start + 1 - done > len(starts):
+                    starts.append(-1)
+                    units.append(-1)
+                    sums.append(0.0)
+                place, total = start - done, single.unpack(single.pack(unknown + so_far))[0]
+                if starts[place] < 0 or total > sums[place]:
+                    starts[place], units[place], sums[place] = start, -1, total
+            if start + 1 - done >= window:
+                # Paths that go on leave from here or from a position behind it where something ends.
+                live = [start + 1] + [done + k + 1 for k in range(start + 1 - done, len(starts)) if starts[k] >= 0]
+                boundary = _converged(starts, done, live)
+                if boundary > done:
+                    yield _trace(starts, units, done, boundary)
+                    so_far = sums[boundary - done - 1]
+                    starts, units, sums, done = starts[boundary - done :], units[boundary - done :], sums[boundary - done :], boundary
+        if done < size:
+            yield _trace(starts, units, done, size)
+
+
 def encoder(pieces: Pieces) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian 32-bit integers."""
-    lattice = Lattice(pieces)
+    lattice = Lattice(pieces) if pieces.scores is None else ScoreLattice(pieces)
     id_bytes = [np.int32(pieces.ids[unit]).tobytes() for unit in lattice.units]
 
     def unknown(char: str) -> bytes:
@@ -240,16 +360,27 @@ def encoder(pieces: Pieces) -> Callable[[str], bytes]:
             return b"".join(map(memo.__getitem__, [MARK + word for word in marked[1:].split(MARK)]))
         return b"".join(map(memo.__getitem__, cut(marked)))
 
-    return ids
+    def scored(text: str) -> bytes:
+        return encode(MARK + text.replace(" ", MARK)) if text else b""
+
+    whole = ids if pieces.scores is None else scored
+    return whole if pieces.byte_ids else lambda text: _once(whole(text), pieces.unknown)
+
+
+def _once(found: bytes, unknown: int) -> bytes:
+    """Ids with one unknown piece for several in a row."""
+    ids = np.frombuffer(found, np.int32)
+    again = (ids[1:] == unknown) & (ids[:-1] == unknown)
+    return np.delete(ids, np.flatnonzero(again) + 1).tobytes() if again.any() else found
 
 
 def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, text, ids (array<int>) of every row."""
     rows = texts(docs, id_column, text_column)
-    model = docs.sparkSession.sparkContext.broadcast(read_pieces(path))
+    model, name = docs.sparkSession.sparkContext.broadcast(read_pieces(path)), version("pieces", path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(model.value)
+        ids_of = resident(name, lambda: encoder(model.value))
         for batch in batches:
             found = [ids_of(text or "") for text in batch["text"].to_pylist()]
             ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int64)
