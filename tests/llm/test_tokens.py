@@ -195,6 +195,15 @@ def test_shards_round_trip(spark, documents, odd_rows, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, manifest))
 
 
+def test_ids_of_any_type(spark, tmp_path):
+    """Ids are kept as they are, and a group of sequences is split over many shards."""
+    docs = spark.createDataFrame([(k, "some words here " * k) for k in range(1, 40)], "k int, text string").selectExpr("date_add(date'2020-01-01', k) as d", "cast(k as decimal(9,2)) as m", "encode(text, 'utf-8') as b", "text")
+    for name, values in (("d", 39), ("m", 39), ("b", 39)):
+        manifest, count = S.write_shards(docs, RANKS, str(tmp_path / name), length=16, per_shard=7, id_column=name)
+        assert len({str(i) for r in manifest.collect() for i in r.doc_ids}) == values
+        assert S.read_slots(spark, str(tmp_path / name), 0, count, 16, 7).count() == count > 100
+
+
 def test_shards_of_nothing(documents, tmp_path):
     manifest, total = S.write_shards(documents([]), RANKS, str(tmp_path / "s"))
     assert manifest.count() == total == 0

@@ -1,16 +1,17 @@
 """Token ids in training order (operator 7): a keyed permutation, fixed-stride shards, resumable reads.
 
 Documents become one stream of ids for each input split, every document followed by the end id, cut into sequences of
-``length`` ids; a split's last sequence is padded with the end id. A first pass counts the sequences of each split (one number a
-split), so that the second can number all sequences from 0 to N - 1 without a global sort. A keyed Feistel
+``length`` ids; a split's last sequence is padded with the end id. The texts are tokenised once: their sequences are written in compressed
+groups, and counted by split (one number a split), so that all can be numbered from 0 to N - 1 without a global sort. A keyed Feistel
 network over the next even number of bits, walked until it falls below N, is a permutation of those numbers: it gives each
 sequence its slot in training order, with no table and no shuffle of its own.
 
-Rows are then dealt by shard, a range of slots, sorted by slot and written by Spark's text writer: a record is the sequence's
+The sequences of a group that go to one shard, a range of slots, travel together and compressed. Each task gets a range of shards, sorts
+their slots and writes them by Spark's text writer: a record is the sequence's
 little-endian 16-bit ids and a newline byte, so slot s is at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``. A reader
 that stopped at a slot goes on from it (``read_slots``); a task that is lost is run again and its file committed once.
 
-Splits must be the same in both passes, as they are for tables; the number of sequences is checked. Defined cases: null and
+Defined cases: null and
 empty texts are a lone end id; special strings in texts are ordinary text; a row without doc_id counts like any other
 and is null in ``doc_ids``; repeated rows are written repeatedly; very long texts span many sequences; no rows write no shard and
 give no rows; other columns are ignored.
@@ -19,24 +20,23 @@ give no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import json
-import re
 import sys
-from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wagerlens.llm.bpe_count import PRETOKEN, WHITE_SPACE, Memo
-from wagerlens.llm.common import shared_folder, table, texts, written
+from wagerlens.llm.bpe_count import PRETOKEN
+from wagerlens.llm.common import resident, shared_folder, table, texts, version, written
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 8192, 0x5EED, 4
 MAX_RANKS = 60_000
-MEMO_ENTRIES = 150_000
+#: Sequences that are compressed together, and tasks that write shards at most.
+GROUP, WRITERS = 1024, 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,28 +49,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def id_writer(ranks: dict[bytes, int]) -> Callable[[str], bytes]:
-    """A function from a text to its ids as 16-bit integers; pieces seen of late come from a bounded memo."""
+    """A function from a text to its ids as 16-bit integers."""
     import tiktoken
 
     if sys.byteorder != "little":
         raise RuntimeError("records are little-endian")
     library = tiktoken.Encoding("given", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
-
-    def ids(piece: str) -> bytes:
-        return array("H", library.encode_ordinary(piece)).tobytes()
-
-    plain, spaced = Memo(ids, MEMO_ENTRIES), Memo(lambda word: ids(" " + word), MEMO_ENTRIES)
-    cut = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
-    beside_space = re.compile(f" [{WHITE_SPACE}]|[{WHITE_SPACE}] ").search
-
-    def write(text: str) -> bytes:
-        if beside_space(text):
-            return b"".join(map(plain.__getitem__, cut(text)))
-        # Where single spaces stand between other text, the library cuts before each of them.
-        words = text.split(" ")
-        return plain[words[0]] + b"".join(map(spaced.__getitem__, words[1:]))
-
-    return write
+    return lambda text: library.encode_to_numpy(text, disallowed_special=()).astype(np.uint16).tobytes()
 
 
 def feistel(index: np.ndarray, count: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -124,56 +109,76 @@ def write_shards(
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     size = 2 * length
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
-        write, end = id_writer(ranks.value), np.uint16(len(ranks.value)).tobytes()
-        yield from _streams(write, end, batches, size)
+    name = version("ranks", path)
+
+    def staged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write, end = resident(name, lambda: id_writer(ranks.value)), np.uint16(len(ranks.value)).tobytes()
+        split, made, squeeze, kinds = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=3).compress, []
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, made = TaskContext.get().partitionId(), 0
-        for group in _groups(sequences(batches)):
-            n = len(group)
+        def noted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds.append(batch["doc_id"].type)
+                yield batch
+
+        for group in _groups(_streams(write, end, noted(), size)):
+            tokens = [len(body) // 2 for body, _ in group]
+            body = b"".join(body for body, _ in group) + end * (length - tokens[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([split] * n, pa.int32()), pa.array(range(made, made + n), pa.int64()), pa.array([len(body) // 2 for body, _ in group], pa.int32()),
-                 pa.array([json.dumps(owners) for _, owners in group])],
-                ["split", "place", "n_tokens", "owners"],
+                [pa.array([split], pa.int32()), pa.array([made], pa.int64()), pa.array([len(group)], pa.int64()), pa.array([tokens], pa.list_(pa.int32())),
+                 pa.array([[owners for _, owners in group]], pa.list_(pa.list_(kinds[0]))), pa.array([squeeze(body)], pa.binary())],
+                ["split", "place", "n", "n_tokens", "doc_ids", "body"],
             )
-            made += n
+            made += len(group)
 
-    plan = written(rows.mapInArrow(listed, "split int, place long, n_tokens int, owners string").withColumn("doc_ids", F.from_json("owners", f"array<{kind}>")).drop("owners"))
+    plan = written(rows.mapInArrow(staged, f"split int, place long, n long, n_tokens array<int>, doc_ids array<array<{kind}>>, body binary"))
     # One number for each input split: the only thing that is collected.
     first, count = {}, 0
-    for split, n in sorted(tuple(row) for row in plan.groupBy("split").count().collect()):
-        first[split] = count, n
+    for split, n in sorted(tuple(row) for row in plan.groupBy("split").agg(F.sum("n")).collect()):
+        first[split] = count
         count += n
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, expected = first.get(TaskContext.get().partitionId(), (0, 0))
-        end, made = np.uint16(len(ranks.value)).tobytes(), 0
-        for group in _groups(sequences(batches)):
-            slots = feistel(np.arange(start + made, start + made + len(group)), count, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([body + end * ((size - len(body)) // 2) for body, _ in group])], ["slot", "body"])
-            made += len(group)
-        if made != expected:
-            raise RuntimeError(f"a split has {made} sequences, {expected} were counted: write the input as a table first")
+        unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for split, place, n, body in zip(*(batch[c] for c in ("split", "place", "n", "body"))):
+                slots = feistel(first[split.as_py()] + place.as_py() + np.arange(n.as_py()), count, key)
+                order = np.argsort(slots)
+                records = np.frombuffer(unpack(body.as_py()), np.uint8).reshape(-1, size)[order]
+                shards, starts = np.unique(slots[order] // per_shard, return_index=True)
+                parts = list(zip(starts, [*starts[1:], len(order)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards, pa.int32()), pa.array([slots[order[a:b]] for a, b in parts], pa.list_(pa.int64())),
+                     pa.array([squeeze(records[a:b].tobytes()) for a, b in parts], pa.binary())],
+                    ["shard", "slots", "body"],
+                )
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for shard, slots, body in zip(*(batch[c] for c in ("shard", "slots", "body"))):
+                raw = unpack(body.as_py())
+                records = [raw[k : k + size] for k in range(0, len(raw), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * len(records), pa.int32()), slots.values, pa.array(records, pa.binary())], ["shard", "slot", "record"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = np.array([first[split][0] for split in batch["split"].to_pylist()], np.int64)
-            index = start + batch["place"].to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(feistel(index, count, key)), pa.array(index), batch["n_tokens"], batch["doc_ids"]], ["slot", "sequence", "n_tokens", "doc_ids"])
+            for split, place, n, tokens, owners in zip(*(batch[c] for c in ("split", "place", "n", "n_tokens", "doc_ids"))):
+                index = first[split.as_py()] + place.as_py() + np.arange(n.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(feistel(index, count, key)), pa.array(index), tokens.values, owners.values], ["slot", "sequence", "n_tokens", "doc_ids"])
 
     if count:
-        records = rows.mapInArrow(dealt, "slot long, body binary").select(
-            F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), "slot", F.col("body").cast("string").alias("record")
-        )
+        shards = -(-count // per_shard)
+        each = -(-shards // WRITERS)  # a task writes the shards of a range of slots
+        records = plan.select("split", "place", "n", "body").mapInArrow(dealt, "shard int, slots array<long>, body binary")
+        opened_rows = records.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).mapInArrow(opened, "shard int, slot long, record binary")
         (
-            records.repartition(-(-count // per_shard), "shard").sortWithinPartitions("shard", "slot").select("shard", "record")
+            opened_rows.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
             .write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(folder)
         )
-    return plan.mapInArrow(placed, f"slot long, sequence long, n_tokens int, doc_ids array<{kind}>"), count
+    return plan.drop("body").mapInArrow(placed, f"slot long, sequence long, n_tokens int, doc_ids array<{kind}>"), count
 
 
-def _groups(items: Iterator[tuple[bytes, list]], most: int = 1024) -> Iterator[list[tuple[bytes, list]]]:
+def _groups(items: Iterator[tuple[bytes, list]], most: int = GROUP) -> Iterator[list[tuple[bytes, list]]]:
     while group := list(islice(items, most)):
         yield group
 
