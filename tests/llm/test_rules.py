@@ -34,14 +34,17 @@ def test_base_against_brute_force(documents, odd_rows, words):
     assert all(not (r.kept and r.base_failed) for r in found)
 
 
-def test_compression_bands(documents, words):
+def test_compression_bands(spark, documents, words):
+    """Prose is kept; prose with a repetitive part, blobs and random words of a-z are not."""
     noise = random.Random(4)
-    clean = " ".join(words(2000, 7, "abcdefghijklmnopqrstuvwxyz"))
+    found = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1"), "doc_id")
+    clean = found.filter("length(text) between 12000 and 20000").orderBy("doc_id").first().text
+    random_words = " ".join(words(2000, 7, "abcdefghijklmnopqrstuvwxyz"))
     mixed = clean[:6000] + " " + " ".join(f"w{i % 3}" for i in range(900)) + " " + clean[6000:]
     blob = " ".join("".join(chr(noise.randint(0x4E00, 0x9FA0)) for _ in range(9)) for _ in range(300))
-    rows = R.rules_frame(documents([(1, clean, "s"), (2, mixed, "s"), (3, blob, "s")]), R.Limits(max_repeat_percent=100)).collect()
+    rows = R.rules_frame(documents([(1, clean, "s"), (2, mixed, "s"), (3, blob, "s"), (4, random_words, "s")]), R.Limits(max_repeat_percent=100)).collect()
     kept = {r.doc_id: r.kept for r in rows}
-    assert kept == {1: True, 2: False, 3: False}
+    assert kept == {1: True, 2: False, 3: False, 4: False}
     assert next(r for r in rows if r.doc_id == 2).most_chunk_ratio > 4.2
 
 
@@ -64,6 +67,39 @@ def test_short_noise_and_clean_prose(spark, size):
     assert sum(verdicts) >= 0.995 * len(verdicts) and (size < 128 or len(verdicts) > 200)
 
 
+NOISE = {
+    "base64": lambda draw: base64.b64encode(draw.randbytes(9)),
+    "a-z": lambda draw: bytes(draw.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(9)),
+    "hexadecimal": lambda draw: bytes(draw.choice(b"0123456789abcdef") for _ in range(9)),
+}
+
+
+@pytest.mark.parametrize("kind, least", [("base64", 300), ("a-z", 1024), ("hexadecimal", 4096)])
+def test_noise_of_every_length(kind, least):
+    """Random words of 3 to 9 letters are rejected wherever a limit can part them from prose."""
+    pack, draw = zstandard.ZstdCompressor(level=R.LEVEL).compress, random.Random(kind)
+    for size in (300, 512, 700, 900, 1024, 1279, 1500, 2047, 2048, 3000, 4095, 4096, 6000, 8192, 16_384, 32_767, 70_000):
+        if size >= least:
+            for _ in range(30 if size < 10_000 else 5):
+                raw = b" ".join(NOISE[kind](draw)[: draw.randint(3, 9)] for _ in range(size // 3))[:size]
+                assert not R.judge_text(raw, pack, R.Limits())[6], size
+
+
+def test_clean_documents_of_every_length_are_kept(spark):
+    """All documents marked as good that the base rules keep, and every one of their beginnings of a length at which a limit changes, but for a few in ten thousand."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    pack, kept, parts = zstandard.ZstdCompressor(level=R.LEVEL).compress, [], []
+    for row in spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id").select("text").collect():
+        raw = row.text.encode()
+        found = R.judge_text(raw, pack, R.Limits())
+        if not found[5]:
+            kept.append(found[6])
+            parts += [R.in_band(n, n / len(pack(raw[:n])), R.WHOLE_BANDS) for n, _, _ in R.WHOLE_BANDS if 128 <= n <= len(raw) and len(raw[:n].split()) >= R.MIN_WORDS]
+    assert all(kept) and len(kept) > 1000
+    assert sum(parts) >= 0.999 * len(parts)
+
+
 @pytest.mark.parametrize("size, ratio, fits", [(10, 99.0, True), (128, 3.0, True), (128, 3.1, False), (600, 1.0, False), (70000, 6.9, True), (70000, 7.1, False)])
 def test_in_band(size, ratio, fits):
     assert R.in_band(size, ratio, R.WHOLE_BANDS) is fits

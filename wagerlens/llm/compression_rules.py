@@ -29,20 +29,28 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = b"#*$%&|<>"
 
-#: From so many bytes on: the least and the greatest ratio of a whole document. Clean prose of 128 bytes to
-#: 100 kB lies between 1.02 and 2.6; the bands leave room on both sides. A frame's fixed bytes weigh the more the shorter a text is: below 1024 bytes
-#: the low limits lie between random base64 words (0.88 at 64 bytes, 1.0 at 128, 1.32 at 1000) and the least of clean prose of 20 words or more
-#: (0.96 at 80, 1.02 at 128, 1.64 at 1000). Texts shorter than the first band are hardly compressed at all, whatever they hold.
-SHORT_LEAST = (
+#: From so many bytes on: the least ratio of a whole document, a curve that follows noise as it grows with length and stays below clean prose of 20 words or
+#: more. Random base64 words have 0.88 at 64 bytes, 1.0 at 128, 1.31 at 1024 and 1.38 from 8 kB on; random words of a-z 1.62 at 1024 and 1.72 at most;
+#: random hexadecimal words 1.9 at 4096 and 1.97 at most. Clean prose has 0.96 at least at 80 bytes, 1.02 at 128, 1.66 at 1024, 1.82 at 2048, 1.95 at
+#: 4096, 2.16 at 8192 and 2.3 at 32 kB. So a-z words can be told from prose from 1024 bytes on and hexadecimal ones from 4096 on; base64 at any length
+#: from 128 on. Texts shorter than the first band are hardly compressed at all, whatever they hold.
+LEAST = (
     (64, 0.91), (80, 0.94), (96, 0.965), (112, 1.0), (128, 1.02), (144, 1.045), (160, 1.065), (176, 1.085), (192, 1.11), (224, 1.15),
     (256, 1.19), (320, 1.22), (384, 1.26), (448, 1.29), (512, 1.32), (600, 1.35), (700, 1.38), (850, 1.44),
+    (1024, 1.65), (1280, 1.67), (1536, 1.71), (2048, 1.75), (2560, 1.78), (3072, 1.82), (4096, 1.93), (5120, 1.96), (6144, 2.0), (8192, 2.03), (16384, 2.06), (32768, 2.1),
 )
-WHOLE_BANDS = (
-    *((size, least, 3.0 if size < 512 else 3.2) for size, least in SHORT_LEAST),
-    (1024, 1.35, 3.6), (4096, 1.45, 4.2), (16384, 1.5, 5.0), (65536, 1.5, 7.0),
-)
+#: The same for the greatest ratio, above repetition in clean prose.
+MOST = ((0, 3.0), (512, 3.2), (1024, 3.6), (4096, 4.2), (16384, 5.0), (65536, 7.0))
+
+
+def _at(size: int, steps: Sequence[tuple[int, float]]) -> float:
+    return steps[bisect_right([step[0] for step in steps], size) - 1][1]
+
+
+#: Least and greatest ratio by size: wherever one of the two changes.
+WHOLE_BANDS = tuple((size, _at(size, LEAST), _at(size, MOST)) for size in sorted({step[0] for step in (*LEAST, *MOST) if step[0] >= LEAST[0][0]}))
 #: The same for chunks, by the chunk's bytes.
-CHUNK_BANDS = ((1024, 1.3, 3.6), (2048, 1.35, 4.2))
+CHUNK_BANDS = ((1024, 1.62, 3.6), (1536, 1.7, 3.6), (2048, 1.74, 4.2))
 
 Band = tuple[int, float, float]
 _CONTINUATION = bytes(range(0x80, 0xC0))
