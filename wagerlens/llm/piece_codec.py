@@ -13,7 +13,7 @@ neighbours are all *stable*: merging the two side by side, the best pair first,
 survivor, the piece that is stable after the survivor where it starts, found among the pieces that end there.
 
 Where no piece of a BPE model has a word mark inside, all paths converge before each run of word marks; texts are
-cut there, and the ids of short cuts are kept in a bounded memo. An encoder lives as long as its worker process.
+cut there, and the ids of short cuts are kept in a bounded memo. New ones are cut further where two characters stand side by side in no piece. An encoder lives as long as its worker process.
 
 Defined cases: null and empty texts have no ids; characters without a piece are their UTF-8 bytes' pieces, or the unknown piece,
 once for several in a row, if the model has no byte pieces; decoding drops the leading space that encoding adds and turns broken UTF-8 into U+FFFD; a
@@ -38,7 +38,7 @@ from wagerlens.llm.bpe_count import Memo
 from wagerlens.llm.common import resident, table, texts, version
 
 MAX_PIECES = 1_000_000
-MEMO_ENTRIES, MEMO_LENGTH = 200_000, 48
+MEMO_ENTRIES, MEMO_LENGTH = 250_000, 48
 #: Pairs of units that a worker remembers as stable or not.
 DECIDED = 1_000_000
 MARK = "▁"
@@ -188,19 +188,18 @@ def stable(left: str, right: str, pieces: Pieces) -> bool:
 class Lattice:
     """The units of a model (its characters and stable pieces) numbered, to be found backwards from where they end.
 
-    A node leads by the character before to the next node and, by 0, to the unit that the characters on the
-    way to it spell. Whether two units are stable side by side is decided once and kept in a bounded table.
+    A node is a pair: where the character before leads, and the unit that the characters on the way to it spell, or -1. Whether two units are stable side by side is decided once and kept in a bounded table.
     """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.units = [piece for piece in pieces.ids if len(piece) == 1 or piece in pieces.halves]
-        self.root: dict = {}
+        self.root: list = [{}, -1]
         for number, unit in enumerate(self.units):
             node = self.root
             for char in reversed(unit):
-                node = node.setdefault(char, {})
-            node[0] = number
+                node = node[0].setdefault(char, [{}, -1])
+            node[1] = number
         self.decided: list[dict[int, bool]] = [{} for _ in self.units]
         self.held = 0
 
@@ -218,29 +217,27 @@ class Lattice:
 
         A character that no piece has is unit -1; nothing merges with it.
         """
-        root, decided = self.root, self.decided
+        root, decided = self.root[0], self.decided
         window = 4 * self.pieces.longest
         done, before = 0, -1
         starts: list[int] = []  # where the survivor at each position after ``done`` starts, and which unit it is
         units: list[int] = []
         for end in range(1, len(text) + 1):
-            node, start, found = root, end, []
+            leads, start = root, end
             while start > done:
-                node = node.get(text[start - 1])
+                node = leads.get(text[start - 1])
                 if node is None:
+                    start, unit = end - 1, -1
                     break
                 start -= 1
-                if 0 in node:
-                    found.append(start)
-                    found.append(node[0])
-            while found:
-                unit, start = found.pop(), found.pop()  # the longest first
-                left = units[start - done - 1] if start > done else before
-                if left < 0:
-                    break
-                ok = decided[left].get(unit)
-                if ok or ok is None and self.decide(left, unit):
-                    break
+                leads, unit = node
+                if unit >= 0:  # just one of them is stable
+                    left = units[start - done - 1] if start > done else before
+                    if left < 0:
+                        break
+                    ok = decided[left].get(unit)
+                    if ok or ok is None and self.decide(left, unit):
+                        break
             else:
                 start, unit = end - 1, -1
             starts.append(start)
@@ -348,7 +345,16 @@ def encoder(pieces: Pieces) -> Callable[[str], bytes]:
     def encode(part: str) -> bytes:
         return b"".join(id_bytes[unit] if unit >= 0 else unknown(part[start]) for found in lattice.committed(part) for unit, start in found)
 
-    memo = Memo(encode, MEMO_ENTRIES, MEMO_LENGTH)
+    # No merge crosses two characters that stand side by side in no piece, so what they part is encoded apart.
+    inside = {piece[k : k + 2] for piece in pieces.ids for k in range(len(piece) - 1)}
+
+    def parted(part: str) -> bytes:
+        cuts = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in inside]
+        if not cuts:
+            return encode(part)
+        return b"".join([memo[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])])
+
+    memo = Memo(parted, MEMO_ENTRIES, MEMO_LENGTH)
     cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if pieces.cut_at_marks else lambda text: [text]
     double = MARK + MARK
 

@@ -35,8 +35,8 @@ from wagerlens.llm.common import resident, shared_folder, table, texts, version,
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 1024, 8192, 0x5EED, 4
 MAX_RANKS = 60_000
-#: Sequences that are compressed together, and tasks that write shards at most.
-GROUP, WRITERS = 1024, 50_000
+#: Sequences that are compressed together, groups that are dealt together, and tasks that write shards at most.
+GROUP, GROUPS, WRITERS = 128, 8, 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,8 +82,8 @@ def _streams(write: Callable[[str], bytes], end: bytes, batches: Iterator[pa.Rec
     """A split's sequences of ``size`` bytes with the ids of the documents that they hold; the last may be shorter."""
     held, total, owners = [], 0, []
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            body = write(text or "") + end
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            body = write(text.as_py() or "") + end
             held.append(body)
             total += len(body)
             owners.append(doc_id)
@@ -139,18 +139,21 @@ def write_shards(
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for split, place, n, body in zip(*(batch[c] for c in ("split", "place", "n", "body"))):
-                slots = feistel(first[split.as_py()] + place.as_py() + np.arange(n.as_py()), count, key)
-                order = np.argsort(slots)
-                records = np.frombuffer(unpack(body.as_py()), np.uint8).reshape(-1, size)[order]
-                shards, starts = np.unique(slots[order] // per_shard, return_index=True)
-                parts = list(zip(starts, [*starts[1:], len(order)]))
+
+        def groups() -> Iterator[tuple[np.ndarray, bytes]]:
+            for batch in batches:
+                for split, place, n, body in zip(*(batch[c] for c in ("split", "place", "n", "body"))):
+                    yield feistel(first[split.as_py()] + place.as_py() + np.arange(n.as_py()), count, key), unpack(body.as_py())
+
+        for some in _groups(groups(), GROUPS):
+            slots = np.concatenate([found for found, _ in some])
+            order = np.argsort(slots)
+            records = np.frombuffer(b"".join(body for _, body in some), np.uint8).reshape(-1, size)[order]
+            shards, starts = np.unique(slots[order] // per_shard, return_index=True)
+            for shard, a, b in zip(shards.tolist(), starts, [*starts[1:], len(order)]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards, pa.int32()), pa.array([slots[order[a:b]] for a, b in parts], pa.list_(pa.int64())),
-                     pa.array([squeeze(records[a:b].tobytes()) for a, b in parts], pa.binary())],
-                    ["shard", "slots", "body"],
-                )
+                    [pa.array([shard], pa.int32()), pa.array([slots[order[a:b]]], pa.list_(pa.int64())), pa.array([squeeze(records[a:b].tobytes())], pa.binary())], ["shard", "slots", "body"]
+                )
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -178,7 +181,7 @@ def write_shards(
     return plan.drop("body").mapInArrow(placed, f"slot long, sequence long, n_tokens int, doc_ids array<{kind}>"), count
 
 
-def _groups(items: Iterator[tuple[bytes, list]], most: int = GROUP) -> Iterator[list[tuple[bytes, list]]]:
+def _groups(items: Iterator, most: int = GROUP) -> Iterator[list]:
     while group := list(islice(items, most)):
         yield group
 
