@@ -12,10 +12,9 @@ known, a few keys are repeated and a few codes are wrong, so that outer joins, s
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from wagerlens.model import CASH, TOURNAMENT, Tables
 from wagerlens.sources.text import RAW_COLUMNS
@@ -62,20 +61,25 @@ def _div(n: Column, d: Column | int) -> Column:
     return F.call_function("div", n, F.lit(d).cast("bigint"))
 
 
+# The given tables. A file that differs from them fails to be read.
+GIVEN = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 class DerivedTables:
     """Same attributes as ``Tables``; each frame is built on first use."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._directory = directory
-        self._schemas: dict[str, StructType] = {}
 
     def read(self, name: str) -> DataFrame:
-        """A given table. Its schema is read from a footer once, however many frames use it."""
-        path = f"{self._directory}/{name}.parquet"
-        if path not in self._schemas:
-            self._schemas[path] = self._spark.read.parquet(path).schema
-        return self._spark.read.schema(self._schemas[path]).parquet(path)
+        """A given table; its schema is known, so no footer is read for it."""
+        return self._spark.read.schema(GIVEN[name]).parquet(f"{self._directory}/{name}.parquet")
 
     @cached_property
     def players(self) -> DataFrame:
@@ -209,6 +213,12 @@ class DerivedTables:
         )
 
 
+@lru_cache(16)
+def derived_tables(spark: SparkSession, directory: str) -> DerivedTables:
+    """The derived tables of a folder, whose frames are built once a session: most of a small report's time is the building of its plan."""
+    return DerivedTables(spark, directory)
+
+
 def as_text(t: Tables, table: str) -> DataFrame:
     """A table back in its raw all-text form; what is not known is blank where blank text is cleaned, else NULL."""
     df = getattr(t, table)
