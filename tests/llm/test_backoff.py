@@ -50,3 +50,28 @@ def test_of_nothing(documents):
 def test_registered_query(spark):
     sf_dir = "/root/testdata/sf0.001"
     assert difference(B.op5_lm_scoring(spark, sf_dir), open_oracle(sf_dir), B.ORACLE_SQL) is None
+
+
+def test_inputs_that_change_between_the_scans(documents, words):
+    """Scores of other texts than were counted are refused."""
+    docs = documents([(k, " ".join(words(20, k)), "s") for k in range(50)])
+
+    def other(batches):
+        import uuid
+
+        for batch in batches:
+            batch["text"] = [f"some words {uuid.uuid4()}" for _ in batch["text"]]
+            yield batch
+
+    changing = docs.mapInPandas(other, docs.schema)
+    with pytest.raises(Exception, match="write the input as a table first"):
+        B.backoff_scores(changing).collect()
+
+
+def test_parts_follow_the_bytes(documents, words, monkeypatch):
+    """Many parts and blocks give the same scores as few."""
+    rows = [(k, " ".join(words(60, k % 20)), "s") for k in range(200)]
+    few = sorted(map(tuple, B.backoff_scores(documents(rows)).collect()))
+    monkeypatch.setattr(B, "PART_BYTES", 500)
+    many = B.backoff_scores(documents(rows))
+    assert sorted(map(tuple, many.collect())) == few

@@ -9,7 +9,10 @@ Relations: n-grams of each block of documents, exploded and counted within the b
 64-bit hash (``part``). A part sums the blocks' counts into its piece of the corpus table and joins them back: each block gets
 the corpus counts of its own n-grams. A block's documents then meet those counts, and scores are
 summed per document. N-grams of a block and part travel as one sorted array, so a frequent n-gram is at most one entry a
-block. Every n-gram of every document is counted; nothing is pruned or held on the driver.
+block. Every n-gram of every document is counted; nothing is pruned or held on the driver. There are as many parts, and tasks that sum or
+score, as the texts' bytes ask for, so that a task holds as much of 1 GB as of 1 TB.
+
+The texts are read twice and must come in the same splits both times, as they do from tables; each block's n-grams are checked for it.
 
 Defined cases: words are lower-cased in A-Z; null texts and texts without words have no score; a document of one word has
 a unigram score; repeated rows count and score repeatedly; a row without doc_id counts and scores like any other; no rows give no
@@ -32,6 +35,8 @@ from wagerlens.llm.common import table, texts
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 12 << 20
+#: Text bytes whose n-grams a part holds, about.
+PART_BYTES = 4 << 20
 #: Digits of the registered score.
 DIGITS = 6
 
@@ -113,6 +118,13 @@ def _squeezed(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(counts.astype(np.uint64).tobytes())
 
 
+def _digest(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(keys, initial=np.uint64(0)).view(np.int64))
+
+
+UNEQUAL = "a split had other documents when it was read again: write the input as a table first"
+
+
 def _counts(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64)
 
@@ -125,7 +137,9 @@ def backoff_scores(
         raise ValueError(f"order must be from 1 to {len(_ODD) - 1}")
     rows = texts(docs, id_column, text_column).withColumn("text", F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    bits = max(1, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, (size // PART_BYTES).bit_length())
+    tasks = 1 + size // BLOCK_BYTES
     starts = [part << (64 - bits) for part in range(1 << bits)]
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +153,9 @@ def backoff_scores(
             yield pa.RecordBatch.from_arrays(
                 [pa.array(parts, pa.int32()), pa.array([block] * len(parts), pa.int64()),
                  pa.array([_packed(keys[cuts[p] : cuts[p + 1]], starts[p]) for p in parts], pa.binary()),
-                 pa.array([_squeezed(times[cuts[p] : cuts[p + 1]]) for p in parts], pa.binary())],
-                ["part", "block", "keys", "times"],
+                 pa.array([_squeezed(times[cuts[p] : cuts[p + 1]]) for p in parts], pa.binary()),
+                 pa.array([_digest(keys[cuts[p] : cuts[p + 1]]) for p in parts], pa.int64())],
+                ["part", "block", "keys", "times", "digest"],
             )
 
     def counted(group: pa.Table) -> pa.Table:
@@ -156,7 +171,7 @@ def backoff_scores(
         corpus = np.empty_like(times)
         corpus[by_key] = np.repeat(sums, np.diff(first, append=len(joined)))
         back = [_squeezed(x) for x in np.split(corpus, sizes)]
-        return pa.table({"block": group["block"], "part": group["part"], "times": pa.array(back, pa.binary())})
+        return pa.table({"block": group["block"], "part": group["part"], "times": pa.array(back, pa.binary()), "digest": group["digest"]})
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -168,6 +183,8 @@ def backoff_scores(
             )
 
     def scored(documents: pa.Table, counts: pa.Table) -> pa.Table:
+        if documents.num_rows != 1 or not counts.num_rows:
+            raise RuntimeError(UNEQUAL)
         ids, sizes = documents["ids"].combine_chunks().flatten(), documents["sizes"][0].as_py()
         body = zstandard.ZstdDecompressor().decompress(documents["body"][0].as_py())
         limits = np.cumsum([0, *sizes])
@@ -179,6 +196,8 @@ def backoff_scores(
         known = _distinct(list(grams))[0]
         corpus = np.concatenate([_counts(data) for data in counts.sort_by("part")["times"].to_pylist()])
         total, corpus = float(corpus[0]), corpus[1:]
+        if len(corpus) != len(known) or np.bitwise_xor.reduce(counts["digest"].to_numpy()) != _digest(known):
+            raise RuntimeError(UNEQUAL)
         level = np.ones(len(places), np.int8)
         value = np.zeros(len(places))
         shorter = before = value
@@ -204,8 +223,9 @@ def backoff_scores(
             {"doc_id": ids, "n_words": pa.array(n_words), "hits": pa.array(list(hits), pa.list_(pa.int64())), "log2_sum": pa.array(sums, pa.float64(), mask=n_words == 0)}
         )
 
-    counts = rows.mapInArrow(exploded, "part int, block long, keys binary, times binary").groupBy("part").applyInArrow(counted, "block long, part int, times binary")
-    documents = rows.mapInArrow(gathered, f"block long, ids array<{kind}>, sizes array<long>, body binary")
+    grams = rows.mapInArrow(exploded, "part int, block long, keys binary, times binary, digest long").repartition(1 << bits, "part")
+    counts = grams.groupBy("part").applyInArrow(counted, "block long, part int, times binary, digest long").repartition(tasks, "block")
+    documents = rows.mapInArrow(gathered, f"block long, ids array<{kind}>, sizes array<long>, body binary").repartition(tasks, "block")
     return documents.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, n_words long, hits array<long>, log2_sum double")
 
 
