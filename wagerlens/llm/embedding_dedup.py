@@ -38,6 +38,8 @@ RECALL, TRIALS = 0.999, 4096
 ROW_COST, MOST_PLANES, LONGEST = 32, 8192, 40
 #: Rows whose bits are computed at once.
 CODED_ROWS = 1000
+#: Components of the vectors that a task looks at together.
+MATRIX = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -164,14 +166,27 @@ def choose_index(rows: np.ndarray, quantiser: Quantiser, count: int, threshold:
     return Index(quantiser.centre, np.concatenate(sets, axis=1)[:, : tables * length], tables, length, far_bits)
 
 
+def _lengths(column: pa.Array) -> np.ndarray:
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows padded with zeros to ``width``."""
+    """Rows padded with zeros to ``width``; null components are NaN."""
+    lengths, values = _lengths(column), column.flatten().to_numpy(zero_copy_only=False)
+    if (lengths == width).all():
+        return values.reshape(len(column), width).astype(float)
     rows = np.zeros((len(column), width))
-    for i, values in enumerate(column.to_pylist()):
-        rows[i, : len(values)] = values
+    rows[np.arange(width) < lengths[:, None]] = values
     return rows
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows that are looked at together: their matrix is bounded, however long some rows are."""
+    lengths = _lengths(column)
+    step = max(1, min(CODED_ROWS, MATRIX // max(1, int(lengths.max(initial=1)))))
+    return ((start, min(start + step, len(column))) for start in range(0, len(column), step))
+
+
 def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, DataFrame]:
     """(vec_id, class) of every row, the class null where the row links with nothing; and (class, vec_id, n, vector)."""
     given = vectors.select(F.col(f"`{id_column}`").alias("vec_id"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
@@ -179,18 +194,18 @@ def distinct_vectors(vectors: DataFrame, id_column: str, vector_column: str) ->
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names: list[int | None] = []
-            vectors: list[np.ndarray | None] = []
-            for key, values in zip(batch["vec_id"].to_pylist(), batch["vector"].to_pylist()):
-                row = None if not values or None in values else np.array(values) + 0.0  # -0 becomes 0
-                if key is None or row is None or not np.isfinite(row).all() or not row.any():
-                    names.append(None)
-                    vectors.append(None)
-                else:
-                    row = np.trim_zeros(row, "b")
-                    names.append(int(np.uint64(xxhash.xxh3_64_intdigest(row.tobytes())).astype(np.int64)))
-                    vectors.append(row)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(names, pa.int64()), pa.array(vectors, pa.list_(pa.float64()))], ["vec_id", "class", "vector"])
+            for start, stop in _slices(batch["vector"]):
+                part = batch.slice(start, stop - start)
+                lengths = _lengths(part["vector"])
+                rows = _matrix(part["vector"], int(lengths.max(initial=0))) + 0.0  # -0 becomes 0
+                used = rows != 0
+                good = np.isfinite(rows).all(axis=1) & used.any(axis=1) & ~np.asarray(part["vec_id"].is_null())
+                sizes = np.where(good, rows.shape[1] - used[:, ::-1].argmax(axis=1), 0) if rows.shape[1] else lengths
+                names = [int(np.uint64(xxhash.xxh3_64_intdigest(row[:size].tobytes())).astype(np.int64)) if size else None for row, size in zip(rows, sizes)]
+                kept = rows[np.arange(rows.shape[1]) < sizes[:, None]]
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                vectors = pa.ListArray.from_arrays(ends, pa.array(kept, pa.float64()), mask=pa.array(~good))
+                yield pa.RecordBatch.from_arrays([part["vec_id"], pa.array(names, pa.int64()), vectors], ["vec_id", "class", "vector"])
 
     rows = written(given.mapInArrow(named, f"vec_id {kind}, class long, vector array<double>"))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("vector").alias("vector"))
@@ -210,9 +225,11 @@ def _similar(pairs: DataFrame, classes: DataFrame, width: int, threshold: float)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cosine = (_unit(_matrix(batch["vector_a"], width)) * _unit(_matrix(batch["vector_b"], width))).sum(axis=1)
-            near = pa.array(cosine >= threshold)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near), pa.array(cosine).filter(near)], ["a", "b", "cosine"])
+            for start in range(0, len(batch), CODED_ROWS):
+                some = batch.slice(start, CODED_ROWS)
+                cosine = (_unit(_matrix(some["vector_a"], width)) * _unit(_matrix(some["vector_b"], width))).sum(axis=1)
+                near = pa.array(cosine >= threshold)
+                yield pa.RecordBatch.from_arrays([some["a"].filter(near), some["b"].filter(near), pa.array(cosine).filter(near)], ["a", "b", "cosine"])
 
     vectors = classes.select("class", "vector")
     with_a = pairs.join(vectors.toDF("a", "vector_a"), "a")
@@ -236,7 +253,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
                 for start in range(0, len(batch), CODED_ROWS):
                     some = batch.slice(start, CODED_ROWS)
                     rows = _matrix(some["vector"], width)
-                    keys = pa.array(list(index.keys(rows)), pa.list_(pa.int64()))
+                    found = index.keys(rows)
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
                     yield pa.RecordBatch.from_arrays([some["class"], pa.array(quantiser.codes(rows)), keys], ["class", "code", "keys"])
 
         codes = written(classes.select("class", "vector").mapInArrow(coded, "class long, code long, keys array<long>"))
