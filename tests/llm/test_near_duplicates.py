@@ -67,7 +67,7 @@ def near_copies(words):
 @pytest.mark.parametrize("boundary", [None, 1, 500])
 def test_join_against_all_pairs(documents, near_copies, odd_rows, monkeypatch, boundary):
     if boundary is not None:
-        monkeypatch.setattr(J, "choose_boundary", lambda costs, largest=512: boundary)
+        monkeypatch.setattr(J, "choose_boundary", lambda costs: boundary)
     monkeypatch.setattr(J, "COUNT_LEAST", 2)
     rows = near_copies + odd_rows
     found = J.jaccard_classes(documents(rows).repartition(3)).collect()
@@ -146,7 +146,7 @@ def test_boundary_follows_cost():
 def filed(documents, rows, monkeypatch):
     """What the join files for some rows, and the boundary that its costs gave."""
     seen, by_size = [], J._filed_by_size
-    monkeypatch.setattr(J, "_filed_by_size", lambda lists, costs: seen.append(by_size(lists, costs)) or seen[-1])
+    monkeypatch.setattr(J, "_filed_by_size", lambda lists, kept, boundary: seen.append((by_size(lists, kept, boundary), boundary)) or seen[-1][0])
     found = J.jaccard_classes(documents(rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_join(rows)
     return seen[0][1], Counter(r.place < 0 for r in seen[0][0].collect())

@@ -13,8 +13,8 @@ Steps, each written to the shared folder:
    tokens that repeat within a few million tokens of a task. Their summed counts are lower bounds of the true ones
    (lossy counting). The ``HEAVY_TOKENS`` most frequent form the order's heavy end; any order gives the same links.
 2. A second pass files the prefixes. Only tokens under which different classes meet are kept (those of frequent
-   tokens are dealt by class as well, so that no task gets all of a hot token's rows). Their list lengths give the boundary;
-   the sets up to it file subsets of the tokens that they have kept.
+   tokens are dealt by class as well, so that no task gets all of a hot token's rows). The lengths of these lists, and
+   of those of some subsets of every set, give the boundary; the sets up to it file subsets of the tokens that they have kept.
 3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
    meets most often outside its component. Links join components, so that large groups fall together.
 4. All pairs that meet under a key, are still in different components and meet often and early enough for the threshold
@@ -114,15 +114,15 @@ def prefix_length(size: int, subset: int) -> int:
     return min(size, size - least_overlap(size) + subset)
 
 
-def choose_boundary(costs: dict[int, tuple[float, float]], largest: int = LARGEST_BOUNDARY) -> int:
-    """The size up to which enumerating 2-subsets costs least in sum, at most ``largest``.
+def choose_boundary(costs: dict[int, tuple[float, float]]) -> int:
+    """The size up to which enumerating 2-subsets costs least in sum.
 
     ``costs`` gives, for all sets of a size, what their subsets cost and how many list entries they scan. Sets below
     ``least_overlap(boundary + 1)`` are in no list, as no larger set than the boundary can link with them.
     """
     entries = sum(scanned for _, scanned in costs.values())
     best, boundary, filed = entries, 1, 0.0
-    for size in range(2, largest + 1):
+    for size in range(2, LARGEST_BOUNDARY + 1):
         filed += costs.get(size, (0, 0))[0]
         in_no_list = sum(scanned for other, (_, scanned) in costs.items() if other < least_overlap(size + 1))
         if filed + entries - in_no_list < best:
@@ -242,44 +242,40 @@ def _lists(filed: DataFrame) -> DataFrame:
     return written(found.filter("low <> high or some > 0").select("key", "dealt", "class", "size", "place").distinct().drop("dealt"))
 
 
-def _costs(lists: DataFrame) -> dict[int, tuple[float, float]]:
-    """By set size (larger ones than ``LARGEST_BOUNDARY`` together): how many subsets the sets would file, how many list entries they scan."""
-    scanned = lists.filter(f"place < {_prefix('size')}")
-    lengths = scanned.groupBy("key").agg(F.count("*").alias("length"))
-    read = scanned.join(lengths, "key").groupBy("size").agg(F.sum("length").alias("read"))
-    pairs = lists.groupBy("class", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.sum(F.expr("n * (n - 1) / 2")).alias("subsets"))
-    both = read.join(pairs, "size", "full").groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size"))
-    found = both.agg(F.sum(F.coalesce("subsets", F.lit(0.0))).alias("subsets"), F.sum(F.coalesce("read", F.lit(0))).alias("read"))
-    return {row.size: (float(row.subsets), float(row.read)) for row in found.collect()}
-
-
-def _subsets(lists: DataFrame, largest: int) -> tuple[DataFrame, dict[int, float]]:
-    """(key, class, size, place) of the 2-subsets of the sets up to a size under which classes meet, with place -1; and what they cost by size.
-
-    A subset costs its own entry and those that it meets. A set's kept tokens are bounded by the prefix of the largest size.
-    """
-    tokens = lists.filter(f"size <= {largest}").groupBy("class", "size").agg(F.sort_array(F.collect_list("key")).alias("tokens"))
-    subsets = tokens.select(F.explode(F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")).alias("key"), "class", "size")
-    subsets = written(subsets)
-    lengths = subsets.groupBy("key").agg(F.count("*").alias("length"))
-    entries = subsets.join(lengths, "key")
-    costs = {row.size: float(row.cost) for row in entries.groupBy("size").agg(F.sum(F.col("length") + 1).alias("cost")).collect()}
-    return entries.filter("length > 1").select("key", "class", "size", F.lit(-1).alias("place")), costs
+def _kept_tokens(lists: DataFrame) -> DataFrame:
+    """(class, size, tokens) of the sets up to ``LARGEST_BOUNDARY``: the tokens that they share with others, the rarest first; no more than a prefix holds."""
+    rows = lists.filter(f"size <= {LARGEST_BOUNDARY}").groupBy("class", "size").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("tokens"))
+    return written(rows.select("class", "size", F.col("tokens.key").alias("tokens")).filter("size(tokens) > 1"))
 
 
-def _filed_by_size(lists: DataFrame, costs: dict[int, tuple[float, float]]) -> tuple[DataFrame, int]:
-    """(key, class, size, place): the lists for c = 1 of the sets that a large one may link with, and the subsets of small sets; and the boundary.
+def _costs(lists: DataFrame, kept: DataFrame) -> dict[int, tuple[float, float]]:
+    """By set size: what the subsets of its sets would cost, and how many list entries they scan.
 
-    Subsets are filed up to where their mere number allows; the lengths of the lists that they make then give the boundary.
+    A subset costs its own entry and those that it meets. How many these are is measured on three subsets of every set: its rarest
+    tokens, two in the middle, and the rarest with the most frequent; so the work is linear whatever the groups' sizes.
     """
-    largest = choose_boundary(costs)
-    boundary, small = 1, None
-    if largest > 1:
-        subsets, measured = _subsets(lists, largest)
-        boundary = choose_boundary({size: (measured.get(size, 0.0), scanned) for size, (_, scanned) in costs.items()}, largest)
-        small = subsets.filter(f"size <= {boundary}")
+    scanned = lists.filter(f"place < {_prefix('size')}")
+    lengths = scanned.groupBy("key").agg(F.count("*").alias("length"))
+    read = scanned.join(lengths, "key").groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size")).agg(F.sum("length").alias("read"))
+    some = "array(xxhash64(tokens[0], tokens[1]), xxhash64(tokens[n div 2 - 1], tokens[n div 2]), xxhash64(tokens[0], tokens[n - 1]))"
+    looked = kept.withColumn("n", F.size("tokens").cast("long")).select("class", "size", "n", F.explode(F.array_distinct(F.expr(some))).alias("key"))
+    met = looked.groupBy("key").agg(F.count("*").alias("length"))
+    each = looked.join(met, "key").groupBy("class", "size").agg(F.first("n").alias("n"), F.avg("length").alias("length"))
+    filed = each.groupBy("size").agg(F.sum(F.expr("n * (n - 1) / 2 * (1 + length)")).alias("cost"))
+    both = read.join(filed, "size", "full").select("size", F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("read", F.lit(0)).alias("read"))
+    return {row.size: (float(row.cost), float(row.read)) for row in both.collect()}
+
+
+def _filed_by_size(lists: DataFrame, kept: DataFrame, boundary: int) -> DataFrame:
+    """(key, class, size, place): the lists for c = 1 of the sets that a large one may link with, and the subsets of small sets, with place -1."""
     large = lists.filter(f"size >= {least_overlap(boundary + 1)} and place < {_prefix('size')}")
-    return (large if small is None else large.union(small)), boundary
+    if boundary < 2:
+        return large
+    tokens = kept.filter(f"size <= {boundary}").select("class", "size", F.sort_array("tokens").alias("tokens"))
+    subsets = tokens.select(F.explode(F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")).alias("key"), "class", "size")
+    subsets = written(subsets.withColumn("place", F.lit(-1)))
+    met = subsets.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    return large.union(subsets.join(met, "key").select("key", "class", "size", "place"))
 
 
 def _can_link(a: str, b: str) -> str:
@@ -448,8 +444,9 @@ def classes_and_components(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     heavy, weight = _heavy(counted)
     # Classes of rows that have an id, so that every meeting can be looked up.
     lists = _lists(_file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight))
-    met, boundary = _filed_by_size(lists, _costs(lists))
-    met = written(met)
+    kept = _kept_tokens(lists)
+    boundary = choose_boundary(_costs(lists, kept))
+    met = written(_filed_by_size(lists, kept, boundary))
     nodes = written(met.select("class").distinct())
     bodies = _bodies(rows.select("doc_id", "text"), classes.join(nodes, "class", "left_semi"))
 
