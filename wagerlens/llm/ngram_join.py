@@ -53,7 +53,7 @@ TOKEN_ROWS = 4096
 #: Groups into which the pairs of a class are dealt before the most met of all are taken.
 DEALT = 16
 #: Pivots of a key and round, and rounds. They bear on the work, not on the result: what the rounds leave is compared in the last step.
-PIVOTS, ROUNDS = 4, 2
+PIVOTS, ROUNDS = 4, 3
 #: Lists longer than this are long in the last step.
 LONG_LIST = 32
 #: Bits of a class's sketch.
