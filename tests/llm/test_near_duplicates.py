@@ -247,6 +247,23 @@ def test_tables_of_every_count_meet_the_recall(norm, count):
     assert (met & compared).mean() >= 0.99
 
 
+def test_further_code_sets_are_learnt():
+    """They lose less than random rotations do, differ from one another, and the trials of the tables are not among what they learn from."""
+    draw = np.random.default_rng(6)
+    reduced = off_centre(draw, 3000, 0.3) @ np.diag(np.linspace(0.2, 1, 64))
+
+    def loss(rotation):
+        turned = reduced @ rotation
+        return ((np.sign(turned) - turned / np.abs(turned).mean()) ** 2).mean()
+
+    sets = [E.rotation_for(reduced, start) for start in range(3)]
+    assert all(loss(E.rotation_for(reduced, start)) < 0.97 * loss(E.rotation_for(reduced, start, 0)) for start in range(3))
+    assert all(np.allclose(one.T @ one, np.eye(64)) for one in sets)
+    assert all(np.abs(one.T @ other).max(axis=0).mean() < 0.7 for one, other in zip(sets, sets[1:]))
+    many = np.arange(2 * E.TRIALS)
+    assert set(E.for_learning(many)).isdisjoint(many[: E.TRIALS]) and len(E.for_learning(many[1:])) == len(many) - 1
+
+
 @pytest.mark.parametrize("norm", [0.0, 0.7])
 def test_recall_with_the_tables_of_many_vectors(spark, monkeypatch, norm):
     choose, chosen = E.choose_index, []

@@ -1,7 +1,7 @@
 """Embedding near-duplicates (operator 2): iterative quantisation, hash tables of several code sets, exact rerank.
 
 A rotation is learnt on a bounded sample (``SAMPLE`` distinct vectors, the first by a hash) so that the signs of the rotated
-principal components make balanced binary codes that lose little; further code sets come from random rotations of it.
+principal components make balanced binary codes that lose little; further code sets are learnt alike, each from a random start of its own.
 Consecutive bits of the sets are the keys of the tables, and two vectors meet if they share the key of one table. Length and number of
 the tables follow from synthetic neighbours of the sample at the threshold itself: at least ``RECALL`` of them have to
 meet, whatever the number of vectors and wherever their centre, and of all such choices the cheapest for this number is taken. Pairs that
@@ -61,8 +61,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def rotation_for(reduced: np.ndarray, start: int, turns: int = ROTATIONS) -> np.ndarray:
+    """A rotation of the rows towards the corners of the cube, learnt from the random rotation numbered ``start``."""
+    bits = reduced.shape[1]
+    rotation = np.linalg.qr(np.random.default_rng(start).normal(size=(bits, bits)))[0]
+    for _ in range(turns):
+        corners = np.where(reduced @ rotation >= 0, 1.0, -1.0)
+        left, _, right = np.linalg.svd(reduced.T @ corners)
+        rotation = left @ right
+    return rotation
+
+
+def for_learning(rows: np.ndarray) -> np.ndarray:
+    """The rows that code sets are learnt from: all but the first ``TRIALS``, on which the tables are tried, unless too few are left."""
+    return rows[TRIALS:] if len(rows) >= 2 * TRIALS else rows
+
+
 def learn(rows: np.ndarray, bits: int = BITS, turns: int = ROTATIONS) -> Quantiser:
-    """Iterative quantisation: principal components, then a rotation towards the corners of the cube."""
+    """Iterative quantisation: principal components, then a learnt rotation of them."""
     width = rows.shape[1]
     bits = min(bits, width)
     units = _unit(rows)
@@ -70,13 +86,7 @@ def learn(rows: np.ndarray, bits: int = BITS, turns: int = ROTATIONS) -> Quantis
     centred = units - centre
     _, _, axes = np.linalg.svd(centred.T @ centred)
     projection = axes[:bits].T
-    reduced = centred @ projection
-    rotation = np.linalg.qr(np.random.default_rng(0).normal(size=(bits, bits)))[0]
-    for _ in range(turns):
-        corners = np.where(reduced @ rotation >= 0, 1.0, -1.0)
-        left, _, right = np.linalg.svd(reduced.T @ corners)
-        rotation = left @ right
-    return Quantiser(centre, projection @ rotation)
+    return Quantiser(centre, projection @ rotation_for(centred @ projection, 0, turns))
 
 
 @dataclass(frozen=True)
@@ -118,13 +128,13 @@ def choose_index(rows: np.ndarray, quantiser: Quantiser, count: int, threshold:
     kinds = np.arange(len(ones)) < len(ones) / 2
     bits = quantiser.projection.shape[1]
     far_bits = int(np.bitwise_count((quantiser.codes(ones) ^ quantiser.codes(others)).view(np.uint64)).max(initial=0)) + 1
+    reduced = (_unit(for_learning(rows)) - quantiser.centre) @ quantiser.projection
     sets, flips, signs = [], [], []
 
     def planes_for(number: int) -> None:
         """Code sets for so many planes at least, their flips between neighbours and signs of the sample."""
         while len(sets) * bits < number:
-            turn = np.linalg.qr(draw.normal(size=(bits, bits)))[0] if sets else np.eye(bits)
-            sets.append(quantiser.projection @ turn)
+            sets.append(quantiser.projection @ rotation_for(reduced, len(sets)) if sets else quantiser.projection)
             flips.append(((ones - quantiser.centre) @ sets[-1] > 0) != ((others - quantiser.centre) @ sets[-1] > 0))
             signs.append((units - quantiser.centre) @ sets[-1] > 0)
 
@@ -245,7 +255,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
         fitted = np.zeros((len(drawn), width))
         for i, values in enumerate(drawn):
             fitted[i, : len(values)] = values
-        quantiser = learn(fitted)
+        quantiser = learn(for_learning(fitted))
         index = choose_index(fitted, quantiser, count, threshold)
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
