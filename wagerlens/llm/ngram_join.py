@@ -12,12 +12,14 @@ Steps, each written to the shared folder:
 1. One pass over the texts gives each document's set size and 64-bit class (equal sets are one class from here on) and the
    tokens that repeat within a few million tokens of a task. Their summed counts are lower bounds of the true ones
    (lossy counting). The ``HEAVY_TOKENS`` most frequent form the order's heavy end; any order gives the same links.
-2. A second pass files the prefixes. Only tokens under which different classes meet are kept (those of frequent
+2. A second pass files the prefixes, in buckets of tokens that NumPy looks through. Only tokens under which different classes meet are kept (those of frequent
    tokens are dealt by class as well, so that no task gets all of a hot token's rows). The lengths of these lists, and
    of those of some subsets of every set, give the boundary; the sets up to it file subsets of the tokens that they have kept.
-3. In rounds, each key names a few pivots among its classes, and each class is compared with the pivots that it
-   meets most often outside its component. Links join components, so that large groups fall together.
-4. All pairs that meet under a key, are still in different components and meet often and early enough for the threshold
+3. Short lists name all their pairs, with the number of keys under which they meet; only those that meet often and early enough for the threshold
+   stay, and only those whose sketches differ by no more than linked sets can. Of a long list, a few pivots are named in each round.
+4. In rounds, each class is compared with those of its pairs that meet most often, outside its component.
+   Links join components, so that large groups fall together.
+5. All pairs that are still in different components and can link, of long lists as well,
    are compared. What is left out is connected already or cannot link, so no component is missed, whatever the groups' sizes.
 
 Comparisons are exact on 64-bit token hashes of whole texts.
@@ -34,31 +36,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wagerlens.llm.common import shared_folder, small_enough, table, texts, written
+from wagerlens.llm.common import BROADCAST_ROWS, shared_folder, small_enough, table, texts, written
 from wagerlens.llm.components import connected_components
+from wagerlens.llm.word_hashes import hashed_words
 
 WORDS = 5
 #: Jaccard threshold as a fraction.
 SHARE = (4, 5)
 #: Tokens in the broadcast order (12 bytes each): a fixed bound, which bears on speed and not on results.
 HEAVY_TOKENS = 1 << 17
+#: Bytes of text that are split and hashed together.
+PART_BYTES = 1 << 19
 #: Tokens that a task looks at together when it counts, and the least count there that it passes on.
 COUNT_WINDOW, COUNT_LEAST = 1 << 21, 4
 #: Rows of a frequent token that are looked at together, about.
 TOKEN_ROWS = 4096
+#: Prefix tokens that are looked through together for those that meet, about, and the least number of such buckets.
+BUCKET_ROWS, BUCKETS = 1 << 18, 64
+#: Prefix tokens that a task holds before it files them, and rows of short lists of which it names the pairs together.
+FILED_ROWS, PAIRED_ROWS = 1 << 19, 1 << 18
 #: Groups into which the pairs of a class are dealt before the most met of all are taken.
 DEALT = 16
-#: Pivots of a key and round, and rounds. They bear on the work, not on the result: what the rounds leave is compared in the last step.
+#: Pivots of a long list and round, and rounds. They bear on the work, not on the result: what the rounds leave is compared in the last step.
 PIVOTS, ROUNDS = 4, 3
-#: Lists longer than this are long in the last step.
+#: Lists longer than this are long: their pairs are not all named.
 LONG_LIST = 32
+#: The ratio of sizes from one band to the next: more than that of any linked sets.
+SIZE_BAND = 1.3
 #: Bits of a class's sketch.
 SKETCH = 1024
-#: Tokens of the sets that a task remembers while it compares.
+#: Pairs that are compared together, and tokens of the sets that a task remembers while it compares.
+COMPARED = 256
 REMEMBERED = 1 << 22
 #: Sizes from here on are one class of the cost model; enumeration never pays there.
 LARGEST_BOUNDARY = 512
@@ -91,9 +104,57 @@ def shingles(raw: bytes | None, words: int = WORDS) -> np.ndarray:
     return shingled(raw, words)[0]
 
 
+def shingled_texts(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingled`` for many texts at once: all their tokens, where each text's begin (and the last ones end), and the texts' numbers of words."""
+    hashes, n_words = hashed_words(texts.cast(pa.binary()))
+    starts = np.concatenate([[0], np.cumsum(n_words)])
+
+    windows = max(0, len(hashes) - words + 1)
+    total = np.full(len(hashes), words, np.uint64)
+    for k in range(words):
+        total[:windows] += hashes[k : windows + k] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
+    whole = np.ones(len(hashes), bool)
+    for k in range(1, words):
+        whole[starts[1:][n_words >= words] - k] = False
+    for text in np.flatnonzero((n_words > 0) & (n_words < words)):
+        begin, width = starts[text], int(n_words[text])
+        whole[begin + 1 : begin + width] = False
+        total[begin] = width
+        for k in range(width):
+            total[begin : begin + 1] += hashes[begin + k : begin + k + 1] * _ODD[k % len(_ODD)] * np.uint64(2 * (k // len(_ODD)) + 1)
+    tokens = _mixed(total[whole])
+    bounds = np.concatenate([[0], np.cumsum(np.where(n_words > 0, np.maximum(n_words - words + 1, 1), 0))])
+    for begin, end in zip(bounds.tolist(), bounds[1:].tolist()):
+        tokens[begin:end].sort()
+    distinct_here = np.ones(len(tokens), bool)
+    distinct_here[1:] = tokens[1:] != tokens[:-1]
+    distinct_here[bounds[:-1][bounds[:-1] < len(tokens)]] = True
+    return tokens[distinct_here], np.concatenate([[0], np.cumsum(distinct_here)])[bounds], n_words
+
+
+def _in_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of the texts of about ``PART_BYTES`` each, a longer text by itself."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + PART_BYTES, side="right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
+def _sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """``shingled`` of each text."""
+    for part in _in_parts(texts):
+        tokens, bounds, n_words = shingled_texts(part)
+        for begin, end, count in zip(bounds.tolist(), bounds[1:].tolist(), n_words.tolist()):
+            yield tokens[begin:end], count
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set."""
-    return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], np.uint64).view(np.int64)[0])
+    name = xxhash.xxh3_64_intdigest(tokens.tobytes())
+    return name - (1 << 64) if name >> 63 else name
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -154,8 +215,7 @@ def _measure(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFra
         for batch in batches:
             n, types = batch.num_rows, [batch[c].type for c in kept]
             words, sizes, classes = [], [], []
-            for text in batch["text"]:
-                tokens, count = shingled(text.as_py())
+            for tokens, count in _sets(batch["text"]):
                 words.append(count)
                 sizes.append(len(tokens))
                 classes.append(class_of(tokens) if count else None)
@@ -194,52 +254,108 @@ def _heavy(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], chosen["times"].to_numpy(np.int64)[order]
 
 
-def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """(key, dealt, class, size, place): the tokens in each class's prefix for c = 2 and their places there, once a task.
+def _file_prefixes(docs: DataFrame, heavy: np.ndarray, weight: np.ndarray, buckets: int) -> DataFrame:
+    """The tokens in each class's prefix for c = 2 and their places there, once a task: rows of a bucket and, as arrays of bytes, key, class, size, place, deals.
 
-    ``dealt`` tells the groups apart into which the classes of a frequent token are dealt; it is 0 for the others.
+    ``deals`` is the number of groups into which the classes of a frequent token are dealt; it is 1 for the others. Token and group give the bucket.
     """
     order = docs.sparkSession.sparkContext.broadcast((heavy, weight))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_heavy, weights = order.value
+        some_heavy = np.zeros(1 << 22, bool)  # by their first bits, which tells nearly all others apart
+        some_heavy[tokens_heavy >> np.uint64(42)] = True
         seen: set[int] = set()
+        waiting: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            key, name, size, place, deals = (np.concatenate(column) for column in zip(*waiting))
+            bucket = ((key ^ _mixed(_dealt(name, deals).astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
+            by_bucket = np.argsort(bucket)
+            bucket = bucket[by_bucket]
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            columns = [[x.tobytes() for x in np.split(column[by_bucket], starts[1:])] for column in (key, name, size, place, deals)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array(column, pa.binary()) for column in columns)], ["bucket", *_FILED])
+
         for batch in batches:
-            keys, deals, names, sizes, places = [], [], [], [], []
-            for text in batch["text"]:
-                tokens = shingles(text.as_py())
-                size = len(tokens)
-                if size < 2 or (name := class_of(tokens)) in seen:
-                    continue  # a set of one token links with its equals only
-                seen.add(name)
-                width, dealt = prefix_length(size, 2), None
-                if len(tokens_heavy):
-                    place = np.minimum(np.searchsorted(tokens_heavy, tokens), len(tokens_heavy) - 1)
-                    known = tokens_heavy[place] == tokens
-                    if known.any():
-                        weighed = np.where(known, weights[place], 0)
-                        by_weight = np.argsort(weighed, kind="stable")[:width]
-                        tokens = tokens[by_weight]
-                        dealt = (name & 0xFFFFFFFF) % (1 + weighed[by_weight] // TOKEN_ROWS)
-                keys.append(tokens[:width])
-                deals.append(np.zeros(width, np.int32) if dealt is None else dealt.astype(np.int32))
-                places.append(np.arange(width, dtype=np.int32))
-                names.append(np.full(width, name, np.int64))
-                sizes.append(np.full(width, size, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in (deals, names, sizes, places))],
-                    ["key", "dealt", "class", "size", "place"],
-                )
-
-    return docs.mapInArrow(filed, "key long, dealt int, class long, size int, place int")
+            for part in _in_parts(batch["text"]):
+                tokens, bounds, _ = shingled_texts(part)
+                weighed = np.zeros(len(tokens), np.int64)
+                maybe = np.flatnonzero(some_heavy[tokens >> np.uint64(42)])
+                if len(tokens_heavy) and len(maybe):
+                    place = np.minimum(np.searchsorted(tokens_heavy, tokens[maybe]), len(tokens_heavy) - 1)
+                    weighed[maybe] = np.where(tokens_heavy[place] == tokens[maybe], weights[place], 0)
+                known = np.diff(np.concatenate([[0], np.cumsum(weighed > 0)])[bounds])
+                names, sizes, widths, places = [], [], [], []
+                for begin, end, any_known in zip(bounds.tolist(), bounds[1:].tolist(), known.tolist()):
+                    size = end - begin
+                    if size < 2 or (name := class_of(tokens[begin:end])) in seen:
+                        continue  # a set of one token links with its equals only
+                    seen.add(name)
+                    width = prefix_length(size, 2)
+                    places.append(begin + (np.argsort(weighed[begin:end], kind="stable")[:width] if any_known else np.arange(width)))
+                    names.append(name)
+                    sizes.append(size)
+                    widths.append(width)
+                if names:
+                    at, width = np.concatenate(places), np.array(widths)
+                    place = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
+                    deals = 1 + weighed[at] // TOKEN_ROWS
+                    waiting.append((tokens[at], np.repeat(np.array(names, np.int64), width), np.repeat(np.array(sizes, np.int32), width), place.astype(np.int32), deals.astype(np.int32)))
+                    held += len(at)
+                if held >= FILED_ROWS:
+                    yield rows()
+                    waiting, held = [], 0
+        if held:
+            yield rows()
+
+    return docs.mapInArrow(filed, "bucket int, " + ", ".join(f"{name} binary" for name in _FILED))
+
+
+#: The columns of filed prefixes and the types of their arrays.
+_FILED = {"key": np.int64, "class": np.int64, "size": np.int32, "place": np.int32, "deals": np.int32}
+
+
+def _dealt(name: np.ndarray, deals: np.ndarray) -> np.ndarray:
+    """The group of a frequent token into which a class is dealt."""
+    return (name & 0xFFFFFFFF) % deals
+
+
+def _meeting(key: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray, deals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a bucket, each class once, hold a frequent token or one under which classes meet, and the lengths of their lists (for c = 1)."""
+    mark = key ^ _dealt(name, deals) * -0x61C8864680B583EB
+    order = np.argsort(mark)
+    mark = mark[order]
+    again = np.concatenate([[False], mark[1:] == mark[:-1], [False]])
+    order = order[again[1:] | again[:-1] | (deals[order] > 1)]
+    group = _dealt(name[order], deals[order])
+    by_list = np.lexsort((name[order], group, key[order]))
+    order, group = order[by_list], group[by_list]
+    new_list = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (group[1:] != group[:-1])])[: len(order)]
+    new = new_list | np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)]
+    order, new_list = order[new], new_list[new]
+    numbers = np.cumsum(new_list) - 1
+    classes = np.bincount(numbers)[numbers]
+    listed = place[order] < size[order] + SHARE[0] * size[order] // -SHARE[1] + 1
+    lengths = np.bincount(numbers, listed)[numbers].astype(np.int64) * deals[order]
+    lengths = np.where(deals[order] > 1, np.maximum(lengths, LONG_LIST + 1), lengths)
+    kept = (classes > 1) | (deals[order] > 1)
+    return order[kept], lengths[kept]
 
 
 def _lists(filed: DataFrame) -> DataFrame:
-    """(key, class, size, place) of the tokens under which classes meet; a few lists of frequent tokens may hold one class."""
-    group = Window.partitionBy("key", "dealt")
-    found = filed.select("*", F.min("class").over(group).alias("low"), F.max("class").over(group).alias("high"), F.max("dealt").over(group).alias("some"))
-    return written(found.filter("low <> high or some > 0").select("key", "dealt", "class", "size", "place").distinct().drop("dealt"))
+    """(key, class, size, place, length) of the tokens under which classes meet, and ``length`` of their lists for c = 1.
+
+    All of a frequent token's classes are kept, as those it meets may be in its other groups; its list counts as long.
+    """
+
+    def met(bucket: pa.Table) -> pa.Table:
+        filed = {name: np.concatenate([np.frombuffer(rows.as_buffer(), kind) for rows in bucket[name]]) for name, kind in _FILED.items()}
+        rows, lengths = _meeting(*filed.values())
+        return pa.table({**{name: pa.array(filed[name][rows]) for name in ("key", "class", "size", "place")}, "length": pa.array(lengths, pa.int64())})
+
+    return written(filed.groupBy("bucket").applyInArrow(met, "key long, class long, size int, place int, length long"))
 
 
 def _kept_tokens(lists: DataFrame) -> DataFrame:
@@ -255,8 +371,7 @@ def _costs(lists: DataFrame, kept: DataFrame) -> dict[int, tuple[float, float]]:
     tokens, two in the middle, and the rarest with the most frequent; so the work is linear whatever the groups' sizes.
     """
     scanned = lists.filter(f"place < {_prefix('size')}")
-    lengths = scanned.groupBy("key").agg(F.count("*").alias("length"))
-    read = scanned.join(lengths, "key").groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size")).agg(F.sum("length").alias("read"))
+    read = scanned.groupBy(F.least("size", F.lit(LARGEST_BOUNDARY + 1)).alias("size")).agg(F.sum("length").alias("read"))
     some = "array(xxhash64(tokens[0], tokens[1]), xxhash64(tokens[n div 2 - 1], tokens[n div 2]), xxhash64(tokens[0], tokens[n - 1]))"
     looked = kept.withColumn("n", F.size("tokens").cast("long")).select("class", "size", "n", F.explode(F.array_distinct(F.expr(some))).alias("key"))
     met = looked.groupBy("key").agg(F.count("*").alias("length"))
@@ -267,15 +382,15 @@ def _costs(lists: DataFrame, kept: DataFrame) -> dict[int, tuple[float, float]]:
 
 
 def _filed_by_size(lists: DataFrame, kept: DataFrame, boundary: int) -> DataFrame:
-    """(key, class, size, place): the lists for c = 1 of the sets that a large one may link with, and the subsets of small sets, with place -1."""
+    """(key, class, size, place, length): the lists for c = 1 of the sets that a large one may link with, and the subsets of small sets, with place -1."""
     large = lists.filter(f"size >= {least_overlap(boundary + 1)} and place < {_prefix('size')}")
     if boundary < 2:
         return large
     tokens = kept.filter(f"size <= {boundary}").select("class", "size", F.sort_array("tokens").alias("tokens"))
     subsets = tokens.select(F.explode(F.expr("flatten(transform(tokens, (x, i) -> transform(slice(tokens, i + 2, size(tokens)), y -> xxhash64(x, y))))")).alias("key"), "class", "size")
     subsets = written(subsets.withColumn("place", F.lit(-1)))
-    met = subsets.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    return large.union(subsets.join(met, "key").select("key", "class", "size", "place"))
+    met = subsets.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("length")).filter("low <> high")
+    return large.union(subsets.join(met, "key").select("key", "class", "size", "place", "length"))
 
 
 def _can_link(a: str, b: str) -> str:
@@ -302,43 +417,114 @@ def _enough_met(a: str, b: str, n: str, listed: int) -> str:
     return f"least({a}, {b}) < {listed} or {n} >= {_sure(a, b)}"
 
 
-def _pairs_to_compare(apart: DataFrame, bodies: DataFrame, listed: int) -> DataFrame:
-    """(a, b), a < b: the pairs of classes in different components that can link, by all keys under which they meet.
+def pairs_of_short_lists(key: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(a, b, size_a, size_b, n), a < b: the pairs of classes that meet under a key and may link, and under how many keys of tokens.
+
+    Sets share at most as many tokens before one that they meet under as the lower of its places tells, and at most as many behind it as
+    the shorter rest has; keys that leave too few so are not counted for a pair, as linked sets meet under no such key. Subsets (place -1) tell no place.
+    """
+    by_key = np.lexsort((name, key))
+    key, name, size, place = key[by_key], name[by_key], size[by_key].astype(np.int64), place[by_key].astype(np.int64)
+    found: list[tuple[np.ndarray, ...]] = []
+    for apart in range(1, len(key)):
+        one = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(one):
+            break
+        other = one + apart
+        a, b, at, to = size[one], size[other], place[one], place[other]
+        overlap = -(-SHARE[0] * (a + b) // (SHARE[0] + SHARE[1]))
+        enough = (at < 0) | (to < 0) | (np.minimum(at, to) + np.minimum(a - at, b - to) >= overlap)
+        good = enough & (name[one] != name[other]) & (SHARE[1] * np.minimum(a, b) >= SHARE[0] * np.maximum(a, b))
+        one, other = one[good], other[good]
+        found.append((name[one], name[other], size[one], size[other], (place[one] >= 0) & (place[other] >= 0)))
+    if not found:
+        return (np.empty(0, np.int64),) * 5
+    a, b, size_a, size_b, counts = (np.concatenate(column) for column in zip(*found))
+    by_pair = np.lexsort((b, a))
+    a, b = a[by_pair], b[by_pair]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+    n = np.add.reduceat(counts[by_pair].astype(np.int64), new) if len(new) else np.empty(0, np.int64)
+    return a[new], b[new], size_a[by_pair][new], size_b[by_pair][new], n
+
+
+def _pairs_of_short_lists(met: DataFrame, longs: DataFrame, listed: int) -> DataFrame:
+    """(a, b, size_a, size_b, n), a < b: the pairs of classes that meet under keys of short lists and can link.
+
+    With as many more keys as both have in long lists, those under which they meet must be enough.
+    """
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+
+        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs_of_short_lists(*rows)], ["a", "b", "size_a", "size_b", "n"])
+
+        for batch in batches:  # sorted by key: the last one's rows wait for those to come
+            waiting.append([batch[name].to_numpy() for name in ("key", "class", "size", "place")])
+            held += batch.num_rows
+            if held >= PAIRED_ROWS:
+                rows = [np.concatenate(column) for column in zip(*waiting)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))
+                if whole:
+                    yield pairs([column[:whole] for column in rows])
+                waiting = [[column[whole:] for column in rows]]
+                held = len(waiting[0][0])
+        if held:
+            yield pairs([np.concatenate(column) for column in zip(*waiting)])
+
+    short = met.filter(f"length <= {LONG_LIST}").select("key", "class", "size", "place").repartition("key").sortWithinPartitions("key")
+    pairs = short.mapInArrow(paired, "a long, b long, size_a long, size_b long, n long")
+    pairs = written(pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")))
+    sure = pairs.filter(_enough_met("size_a", "size_b", "n", listed))
+    # The others need their keys in long lists, which few classes have.
+    more = pairs.filter(f"not ({_enough_met('size_a', 'size_b', 'n', listed)})")
+    for x in "ab":
+        more = more.join(longs.select(F.col("class").alias(x), F.col("longs").alias(f"longs_{x}")), x)
+    more = more.filter(_enough_met("size_a", "size_b", "n + least(longs_a, longs_b)", listed))
+    columns = ("a", "b", "n", "size_a", "size_b")
+    return sure.select(*columns).union(more.select(*columns))
+
+
+def _differ(a: str = "a", b: str = "b") -> str:
+    """In how many bits two sketches differ."""
+    return " + ".join(f"bit_count(s{k}_{a} ^ s{k}_{b})" for k in range(SKETCH // 64))
+
+
+def _sketches(bodies: DataFrame) -> DataFrame:
+    return bodies.select("class", *(F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)))
+
+
+#: Whether sketches differ by no more than those of linked sets can.
+_SKETCHES_ALLOW = f"{SHARE[0] + SHARE[1]} * ({_differ()}) <= {SHARE[1] - SHARE[0]} * (size_a + size_b)"
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not differ by more than linked sets can."""
+    columns = pairs.columns
+    for x in "ab":
+        pairs = pairs.join(sketches.toDF(x, *(f"s{k}_{x}" for k in range(SKETCH // 64))), x)
+    return pairs.filter(_SKETCHES_ALLOW).select(columns)
 
-    Short lists give their pairs with the number of keys shared; with as many more as both have keys in long lists, that
-    must be enough. Pairs that share keys of long lists only must have the first of these early enough in both
+
+def _pairs_of_long_lists(apart: DataFrame, longs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of classes in different components that can link, of those that share keys of long lists only.
+
+    They must have the first of these early enough in both
     prefixes for the others to follow it (a long list of a subset tells nothing of the kind), and sketches that do not differ by more than linked sets can.
+    Sizes more than one band apart allow no link, so that only rows of a key in neighbouring bands meet.
     """
-    rows = written(apart.withColumn("is_long", F.expr(f"length > {LONG_LIST}")).drop("length"))
-    longs = small_enough(written(rows.filter("is_long and place >= 0").groupBy("class").agg(F.count("*").alias("longs"))))
-    rows = rows.join(longs, "class", "left").select("key", "class", "size", "place", "part", F.coalesce("longs", F.lit(0)).alias("longs"), "is_long")
-    rows = written(rows)
-
-    def meeting(lists: DataFrame) -> DataFrame:
-        one, other = (lists.drop("is_long").toDF("key", x, f"size_{x}", f"place_{x}", f"part_{x}", f"longs_{x}") for x in "ab")
-        return one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
-
-    first = lambda *names: [F.first(n).alias(n) for n in names]
-    few = (
-        meeting(rows.filter("not is_long"))
-        .groupBy("a", "b").agg(F.count(F.when(F.expr("place_a >= 0 and place_b >= 0"), 1)).alias("n"), *first("size_a", "size_b", "longs_a", "longs_b"))
-        .filter(_enough_met("size_a", "size_b", "n + least(longs_a, longs_b)", listed))
-    )
+    rows = apart.join(longs, "class", "left").withColumn("longs", F.coalesce("longs", F.lit(0))).withColumn("band", F.floor(F.log("size") / math.log(SIZE_BAND)))
+    one, other = (rows.select("key", "band", F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "part", "longs"))) for x in "ab")
+    other = other.withColumn("band", F.explode(F.expr("sequence(band - 1, band + 1)")))
     sure = _sure("size_a", "size_b")
-    words = SKETCH // 64
-    sketches = bodies.select("class", *(F.col("sketch")[k].alias(f"s{k}") for k in range(words))).dropDuplicates(["class"])
-    long_rows = rows.filter("is_long").join(sketches, "class")
-    one, other = (
-        long_rows.select("key", F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "place", "part", "longs", *(f"s{k}" for k in range(words)))))
-        for x in "ab"
-    )
-    differ = " + ".join(f"bit_count(s{k}_a ^ s{k}_b)" for k in range(words))
+    early = f"least(longs_a, longs_b) >= {sure} and place_a <= {_prefix('size_a')} - {sure} and place_b <= {_prefix('size_b')} - {sure}"
+    behind = f"{SHARE[0] + SHARE[1]} * (least(place_a, place_b) + least(size_a - place_a, size_b - place_b)) >= {SHARE[0]} * (size_a + size_b)"
     many = (
-        one.join(other, "key").filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
-        .filter(f"{SHARE[0] + SHARE[1]} * ({differ}) <= {SHARE[1] - SHARE[0]} * (size_a + size_b)")
-        .filter(f"place_a < 0 or least(longs_a, longs_b) >= {sure} and place_a <= {_prefix('size_a')} - {sure} and place_b <= {_prefix('size_b')} - {sure}")
+        one.join(other, ["key", "band"]).filter("a < b and part_a <> part_b").filter(_can_link("size_a", "size_b"))
+        .filter(f"place_a < 0 or {behind} and {early}").groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     )
-    return few.select("a", "b").union(many.select("a", "b")).distinct()
+    return _may_link(many, sketches).select("a", "b")
 
 
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -347,32 +533,28 @@ def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         held = 0
-
-        def tokens_of(name: int, text: pa.Scalar) -> np.ndarray:
-            nonlocal held
-            found = known.get(name)
-            if found is None:
-                found = shingles(text.as_py())
-                if held > REMEMBERED:
-                    known.clear()
-                    held = 0
-                known[name] = found
-                held += len(found)
-            return found
-
-        for batch in batches:
+        for batch in (whole.slice(start, COMPARED) for whole in batches for start in range(0, whole.num_rows, COMPARED)):
             a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            if held > REMEMBERED:
+                known, held = {}, 0
+            new = {name: (text, i) for text, names in (("text_a", a), ("text_b", b)) for i, name in enumerate(names) if name not in known}
+            for name, (tokens, _) in zip(new, _sets(pa.array([batch[text][i].as_py() for text, i in new.values()], pa.binary()))):
+                known[name] = tokens
+                held += len(tokens)
             links = []
-            for i, (left, right) in enumerate(zip(batch["text_a"], batch["text_b"])):
-                one, other = tokens_of(a[i], left), tokens_of(b[i], right)
+            for i in range(batch.num_rows):
+                one, other = known[a[i]], known[b[i]]
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 if SHARE[1] * shared >= SHARE[0] * (len(one) + len(other) - shared):
                     links.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
+    found = bodies.select("class", "text")
+    wanted = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct())
+    if wanted.count() <= BROADCAST_ROWS:  # no other texts are moved
+        found = written(found.join(F.broadcast(wanted), "class", "left_semi"))
     # Joins between two exchanges: adaptive execution splits the rows of a hot b.
-    with_a = pairs.join(bodies.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(bodies.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    with_both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(compared, "a long, b long")
 
 
@@ -381,7 +563,17 @@ def _with_parts(met: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return met.withColumn("part", F.col("class"))
     joined = small_enough(written(components).withColumnRenamed("node", "class"))
-    return met.join(joined, "class", "left").select("key", "class", "size", "place", F.coalesce("component", "class").alias("part"))
+    return met.join(joined, "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+
+
+def _apart_pairs(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) of classes in different components."""
+    if components is None:
+        return pairs
+    columns, joined = pairs.columns, small_enough(written(components))
+    for x in "ab":
+        pairs = pairs.join(joined.toDF(x, f"part_{x}"), x, "left")
+    return pairs.filter("coalesce(part_a, a) <> coalesce(part_b, b)").select(columns)
 
 
 def _pivot_pairs(parts: DataFrame, turn: int) -> DataFrame:
@@ -414,26 +606,33 @@ def _most_met(candidates: DataFrame) -> DataFrame:
 
 
 def _apart(parts: DataFrame) -> DataFrame:
-    """The meetings under keys where more than one component meets, and the ``length`` of their lists."""
-    wide = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("length"))
-    return parts.join(wide.filter("low <> high").select("key", "length"), "key")
+    """The meetings under keys where more than one component meets."""
+    wide = parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    return parts.join(wide.filter("low <> high").select("key"), "key")
 
 
 def _bodies(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(class, text, sketch) of the representatives of the classes in ``members`` (class, doc_id)."""
+    """(class, text, sketch) of the representatives of the classes in ``members`` (class, doc_id), one row each."""
     wanted = members.select("doc_id").distinct()
     found = docs.join(small_enough(written(wanted)), "doc_id", "left_semi")
+    schema = "class long, text binary, sketch array<long>"
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            names, cells = [], []
-            for text in batch["text"]:
-                tokens = shingles(text.as_py())
-                names.append(class_of(tokens) if len(tokens) else None)
-                cells.append(sketch(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"], pa.array(cells, pa.list_(pa.int64()))], ["class", "text", "sketch"])
+            names, cells, places = [], [], []
+            for place, (tokens, _) in enumerate(_sets(batch["text"])):
+                if len(tokens) and (name := class_of(tokens)) not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    cells.append(sketch(tokens))
+                    places.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch["text"].take(pa.array(places, pa.int64())), pa.array(cells, pa.list_(pa.int64()))], ["class", "text", "sketch"])
 
-    return written(found.select("text").mapInArrow(named, "class long, text binary, sketch array<long>").filter("class is not null"))
+    bodies = written(found.select("text").mapInArrow(named, schema).withColumn("row", F.monotonically_increasing_id()))
+    # Equal texts of several tasks: the first row stays.
+    repeated = written(bodies.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("class", "first"))
+    return bodies.join(small_enough(repeated), "class", "left").filter("first is null or row = first").select("class", "text", "sketch")
 
 
 def classes_and_components(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -443,26 +642,32 @@ def classes_and_components(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     classes = written(measured.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")))
     heavy, weight = _heavy(counted)
     # Classes of rows that have an id, so that every meeting can be looked up.
-    lists = _lists(_file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight))
+    tokens = classes.filter("size > 1").agg(F.sum(F.expr(f"{_prefix('size')} + 1"))).first()[0] or 0
+    lists = _lists(_file_prefixes(rows.filter("doc_id is not null").select("text"), heavy, weight, max(BUCKETS, -(-tokens // BUCKET_ROWS))))
     kept = _kept_tokens(lists)
     boundary = choose_boundary(_costs(lists, kept))
     met = written(_filed_by_size(lists, kept, boundary))
-    nodes = written(met.select("class").distinct())
+    listed = least_overlap(boundary + 1)
+    long_rows = written(met.filter(f"length > {LONG_LIST}").select("key", "class", "size", "place"))
+    longs = small_enough(written(long_rows.filter("place >= 0").groupBy("class").agg(F.count("*").alias("longs"))))
+    pairs = written(_pairs_of_short_lists(met, longs, listed))
+    nodes = written(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long_rows.select("class")).distinct())
     bodies = _bodies(rows.select("doc_id", "text"), classes.join(nodes, "class", "left_semi"))
+    sketches = written(_sketches(bodies))
+    pairs = written(_may_link(pairs, sketches))
 
-    listed = least_overlap(boundary + 1)
-    tried = links = None
-    parts = _with_parts(met, None)
+    tried = links = components = None
     for turn in range(ROUNDS):
-        candidates = _pivot_pairs(parts, turn).filter(_enough_met("size_a", "size_b", "n", listed))
+        offered = _may_link(_pivot_pairs(_with_parts(long_rows, components), turn), sketches)
+        candidates = _apart_pairs(pairs, components).unionByName(offered).groupBy("a", "b").agg(F.sum("n").alias("n"))
         if tried is not None:
             candidates = candidates.join(tried, ["a", "b"], "left_anti")
         now = written(_most_met(candidates))
         found = written(_linked(now, bodies))
         tried, links = (now, found) if tried is None else (tried.union(now), links.union(found))
-        parts = _with_parts(met, connected_components(links))
-    rest = _pairs_to_compare(_apart(parts), bodies, listed).join(tried, ["a", "b"], "left_anti")
-    all_links = links.union(_linked(written(rest), bodies))
+        components = connected_components(links)
+    rest = _pairs_of_long_lists(_apart(_with_parts(long_rows, components)), longs, sketches).union(_apart_pairs(pairs, components).select("a", "b"))
+    all_links = links.union(_linked(written(rest.distinct().join(tried, ["a", "b"], "left_anti")), bodies))
 
     linked = written(connected_components(all_links)).withColumnRenamed("node", "class")
     linked = classes.join(linked, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
@@ -489,8 +694,7 @@ def _with_class(docs: DataFrame, text_column: str, name: str) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(raw) for raw in batch.column(place).cast(pa.binary()).to_pylist()]
-            names = pa.array([class_of(tokens) if len(tokens) else None for tokens in sets], pa.int64())
+            names = pa.array([class_of(tokens) if len(tokens) else None for tokens, _ in _sets(batch.column(place).cast(pa.binary()))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], [*batch.schema.names, name])
 
     return docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(name, LongType())]))
