@@ -125,6 +125,23 @@ def test_a_frequent_word_and_nothing(spark, documents):
         S.spelling_forms(spark.createDataFrame([("common", 5)], "word string, n long"), ratio=1)
 
 
+def test_no_join_broadcasts(spark, monkeypatch):
+    """Each side of a join grows with the vocabulary, and Spark sizes it too low: a few words, whose tables Spark takes for small."""
+    plans, write = [], S.written
+
+    def run(df):
+        df.collect()  # the plan is final then
+        plans.append(df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+        return write(df)
+
+    monkeypatch.setattr(S, "written", run)
+    counts = vocabulary(7, 120, "abc")
+    found = run(S.spelling_forms(spark.createDataFrame(list(counts.items()), "word string, n long")))
+    assert {tuple(r) for r in found.collect()} == brute_forms(counts)
+    assert sum("Join" in plan for plan in plans) >= 4  # lists, two steps of roots, the result
+    assert all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans if "Join" in plan)
+
+
 def test_registered_query(spark):
     sf_dir = "/root/testdata/sf0.001"
     counts = brute_counts([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])

@@ -12,6 +12,9 @@ word, as far from the start if it is the first and from the end if it is the sec
 length and two for those that are one longer: of all pairs of grams the bound allows, the two whose lists are shortest. Words that
 meet in a list are verified by their edit distance within the join, so that only near words come out of it.
 
+All joins are told to shuffle, as every side grows with the vocabulary and Spark sizes it too low: it takes rows made in Python for as many as those
+they are made of (a word is in some 17 lists), and a written step for its compressed files. What Spark broadcasts goes through the driver.
+
 Defined cases: null texts have no words; a row without id is damaged as if its id were empty; runs count once for each time they occur, in
 repeated rows too; words of any length are compared whole; equal counts go by code-point order; no words give no rows; other columns are ignored.
 """
@@ -191,7 +194,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     index, probes = listed(True).toDF("key", "b", "n_b"), listed(False).toDF("key", "a", "n_a")
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = probes.join(index, "key").filter(once & (F.levenshtein("a", "b", 1) == 1))
+    met = probes.join(index.hint("merge"), "key").filter(once & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -201,7 +204,7 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         # Steps double each time.
         further = current.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = written(current.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        after = written(current.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         current = after.select("word", "root")
         if after.filter("moved").isEmpty():
             return current
@@ -221,7 +224,7 @@ def spelling_forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     is_form = -F.col("best.least") >= ratio * F.col("n")
     near = written(best.select("word", "n_near", F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, -F.col("best.least")).alias("form_n")))
     ends = roots(near.filter("form is not null"))
-    return words.join(near, "word", "left").join(ends, "word", "left").select(
+    return words.join(near.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n"
     )
 
